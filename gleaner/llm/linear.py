@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import _TABLE, ascii_lower, byte_view, chunks, mixed, short_batches, span_hashes, spans
@@ -252,27 +252,40 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, loss
     return _calibrated(loss(feats, y), feats, y)
 
 
-def score(docs: DataFrame, model: dict, features: Features) -> DataFrame:
-    """(doc_id, score) of every row: the probability of class 1. Null and empty texts score by the intercept."""
-    spark = docs.sparkSession
-    short_batches(spark)
+def margin_function(spark: SparkSession, model: dict, features: Features) -> Callable[[], Callable[[pa.Array], np.ndarray]]:
+    """What makes, in a task, a function from a text column to the probabilities of class 1."""
     r, w = model["r"].astype(np.float32), model["w"].astype(np.float32)
     held = spark.sparkContext.broadcast((r * r, r * w, float(model["b"]), float(model["slope"])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.Array], np.ndarray]:
         rr, rw, b0, slope = held.value
         used, distinct = rr != 0, Distinct()
-        for b in batches:
-            data, offs = byte_view(b.column(1))
-            margins = np.zeros(b.num_rows)
+
+        def probabilities(texts: pa.Array) -> np.ndarray:
+            data, offs = byte_view(texts)
+            margins = np.zeros(len(texts))
             for lo, hi in chunks(offs):
                 parts = features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 for i, f in enumerate(by_row(parts, hi - lo), lo):
                     f = distinct(f[used[f]])
                     norm = np.sqrt(rr[f].sum())
                     margins[i] = rw[f].sum() / (norm or 1) + b0
-            p = 1 / (1 + np.exp(-np.clip(margins * slope, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
+            return 1 / (1 + np.exp(-np.clip(margins * slope, -30, 30)))
+
+        return probabilities
+
+    return make
+
+
+def score(docs: DataFrame, model: dict, features: Features) -> DataFrame:
+    """(doc_id, score) of every row: the probability of class 1. Null and empty texts score by the intercept."""
+    short_batches(docs.sparkSession)
+    margins = margin_function(docs.sparkSession, model, features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_of = margins()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_of(b.column(1)))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double")
 
@@ -292,3 +305,22 @@ def quality_model(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int
 def toxicity_model(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, per_class: int = PER_CLASS) -> dict:
     """Logistic model on character n-grams, fitted to labels.toxic."""
     return fit(docs, labels, "toxic", char_ngrams, fit_logistic, held, folds, per_class)
+
+
+def accepted(docs: DataFrame, model: dict, features: Features) -> DataFrame:
+    """The rows of docs, with all their columns, that a model scores at 0.5 or more.
+
+    Rows are scored beside their columns, so nothing is joined or shuffled.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    cols = docs.columns
+    at = cols.index("text")
+    margins = margin_function(spark, model, features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_of = margins()
+        for b in batches:
+            yield b.filter(pa.array(score_of(b.column(at)) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

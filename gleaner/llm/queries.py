@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import linear, simhash
+from gleaner.llm import decontaminate, linear, mixing, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,27 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.scored(docs, model, linear.char_ngrams, 0, 5)
 
 
+#: Shares of expected tokens by language.
+LANGUAGE_WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = mixing.sample_labelled(docs, table(spark, sf_dir, "labels"), "lang")
+    rates, _ = mixing.mix(docs, labelled, LANGUAGE_WEIGHTS)
+    posteriors = [F.round(f"q_{k}", 6).alias(f"p_{d}") for k, d in enumerate(sorted(LANGUAGE_WEIGHTS))]
+    return rates.select("doc_id", "copies", "n_tokens", *posteriors, F.round("rate", 6).alias("rate"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = decontaminate.split_items(table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), items)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = linear.quality_model(docs, table(spark, sf_dir, "labels"))
@@ -35,6 +56,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3_simhash,
         "op4_toxicity": op4_toxicity,
+        "op5_mixing": op5_mixing,
+        "op6_decontaminate": op6_decontaminate,
+        "op7_sharding": op7_sharding,
         "op8_quality": op8_quality,
     }
 
