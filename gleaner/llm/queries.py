@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, linear, mixing, sharding, simhash
+from gleaner.llm import decontaminate, linear, mixing, repeats, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.scored(docs, model, linear.word_ngrams, 1, 3)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3_simhash,
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": op6_decontaminate,
         "op7_sharding": op7_sharding,
         "op8_quality": op8_quality,
+        "op9_repeats": op9_repeats,
     }
 
 
