@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, linear, mixing, repeats, sharding, simhash
+from gleaner.llm import decontaminate, linear, media, mixing, quotes, repeats, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document: a cut at a quarter, an insertion in the middle, a change at three quarters."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.length(F.coalesce("text", F.lit("")))
+    edit = lambda seq, share, removed, added: F.struct(
+        F.lit(seq).cast("bigint").alias("seq"), F.floor(n * share).cast("bigint").alias("at"), F.lit(removed).cast("bigint").alias("removed"), F.lit(added).alias("added"))
+    edits = F.array(edit(0, 0.25, 5, ""), edit(1, 0.5, 0, " newly written "), edit(2, 0.75, 7, "\n\n  It's 42! "))
+    return tokens.counted(docs.select("doc_id", "text", edits.alias("edits")))
+
+
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations read as mail threads, in which each turn quotes the two before it."""
+    found = quotes.conversations(quotes.as_mail(table(spark, sf_dir, "conversations")))
+    return found.select(F.col("thread").alias("conv_id"), F.col("seq").alias("turn"), "position", "parent", "root", "depth", "n_quoted", "n_linked", "role", "text")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,8 +72,14 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.without_repeats(table(spark, sf_dir, "documents")))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.read_media(media.with_media(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "op2_quotes": op2_quotes,
         "op3_simhash": op3_simhash,
         "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
@@ -65,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sharding": op7_sharding,
         "op8_quality": op8_quality,
         "op9_repeats": op9_repeats,
+        "op10_media": op10_media,
     }
 
 
