@@ -73,9 +73,9 @@ def memberships(docs: DataFrame, model: tuple[list[float], list[list[float]]], d
     """(doc_id, key, copies, n_tokens, q_0 ... q_k): posteriors of each distinct row and how often it stands there."""
     prior, logs = model
     tables = [F.array(*map(F.lit, x)) for x in logs]
-    words = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), F.explode(tokens(F.col("text"))).alias("t")
-    ).where("t is null or t <> ''")
+    # the key is made before the words are laid out, else it is made again for each of them
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), "text")
+    words = keyed.select("doc_id", "key", F.explode(tokens(F.col("text"))).alias("t")).where("t is null or t <> ''")
     words = words.select("doc_id", "key", F.col("t").isNull().cast("int").alias("own"), F.when(F.col("t").isNotNull(), _bucket(F.col("t")) + 1).alias("b"))
     sums = [F.sum(F.element_at(x, F.col("b"))).alias(f"l_{k}") for k, x in enumerate(tables)]
     found = words.groupBy("doc_id", "key").agg(F.sum("own").alias("copies"), F.count("b").alias("all"), *sums)

@@ -7,9 +7,10 @@ A phrase therefore begins and ends where the content says so, whatever stands ar
 
 - The dictionary holds each distinct phrase once, with its first place; the parse is the list of places.
   Every later place of a phrase is removed whole, and nothing in it is looked at again.
-- Only where a trigger has more than one phrase in the dictionary can suffixes of different phrases begin
-  with the same string. Those dictionary suffixes are put in order by trigger and string, and all but the
-  first place of each string are removed.
+- Only where phrases of one trigger also agree on the bytes beside it, on one side at least, can suffixes of
+  different phrases begin with the same string: a string that holds its trigger reaches far on one side or
+  the other. Those dictionary suffixes are put in order by trigger and string, and all but the first place
+  of each string are removed.
 
 The order is needed to a depth of `length` bytes only, so strings are compared by their trigger with a 64-bit
 hash of all their bytes (128 bits together), not byte by byte. Places of one string meet in one task only after each batch of
@@ -30,13 +31,17 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import _BASE, _TABLE, CHUNK_BYTES, byte_view, chunks, mixed, powers, short_batches, span_hashes, use_shared_checkpoints
 
-LENGTH, K = 100, 32
+LENGTH, K = 100, 16
 _SUB = 40  #: a place is the start in the text, with the number of a repeated id's text above these bits
 _NO_ID = -(2**63)
-_PLACES = "key bigint, phrase bigint, doc bigint, at bigint, n int, kind int"
-_FIELDS = ["key", "phrase", "doc", "at", "n", "kind"]
-#: kind of a place: open, open with repeats inside, removed
+_PLACES = "key bigint, phrase bigint, sides bigint, doc bigint, at bigint, meta int"
+_FIELDS = ["key", "phrase", "sides", "doc", "at", "meta"]
+#: kind of a place (the two low bits of meta): open, open with its trigger twice, removed
 OPEN, INNER, GONE = 0, 1, 2
+#: meta holds, above the kind, the trigger's offset in the phrase (7 bits) and the number of strings
+_OFFSET, _COUNT = 2, 9
+#: Rows of places that are taken at once, and rows of one trigger that are held to compare their phrases.
+ROWS, HELD = 1 << 16, 1 << 16
 
 
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
@@ -66,33 +71,52 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(start, number of strings, trigger, hash of the bytes, whether it has its trigger twice) of each phrase."""
+    """(start, number of strings, trigger, hash of the bytes, sides, meta) of each phrase.
+
+    sides are two 32-bit hashes, of the trigger with the bytes before it and after it, to a depth of half of what a
+    string leaves; 0 for a side that the phrase doesn't reach.
+    """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none, none.astype(np.int32)
     width = length - k + 1
     h = rolling(data, k)
     least = _sliding(h, width, np.minimum)
     inside = np.zeros(len(least) + 1, np.int64)
     ends = np.maximum(offs[1:] - length + 1, offs[:-1])
-    np.add.at(inside, offs[:-1][ends > offs[:-1]], 1)
-    np.add.at(inside, ends[ends > offs[:-1]], -1)
+    whole = ends > offs[:-1]
+    np.add.at(inside, offs[:-1][whole], 1)
+    np.add.at(inside, ends[whole], -1)
     inside = np.cumsum(inside[:-1]) > 0
-    first = inside.copy()
     starts = np.zeros(len(least), bool)
-    starts[offs[:-1][ends > offs[:-1]]] = True
-    first[1:] &= (least[1:] != least[:-1]) | ~inside[:-1] | starts[1:]
-    lo = np.flatnonzero(first)
-    last = inside.copy()
-    last[:-1] &= (least[1:] != least[:-1]) | ~inside[1:] | starts[1:]
-    hi = np.flatnonzero(last) + 1
+    starts[offs[:-1][whole]] = True
+    change = (least[1:] != least[:-1]) | starts[1:]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= change | ~inside[:-1]
+    last[:-1] &= change | ~inside[1:]
+    lo, hi = np.flatnonzero(first), np.flatnonzero(last) + 1
+    key = least[lo]
+    if not len(lo):
+        return lo, lo, key, key, lo, lo.astype(np.int32)
     # triggers' places, and those that follow an equal trigger closely
     pad = np.zeros(width - 1, np.uint64)
     spots = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h)
     same = np.flatnonzero((h[spots[1:]] == h[spots[:-1]]) & (np.diff(spots) <= width))
     one, two = np.append(spots[same], len(data) + length), np.append(spots[same + 1], 2 * (len(data) + length))
     twice = two[np.searchsorted(one, lo)] < hi + width - 1
-    return lo, hi - lo, least[lo], span_hashes(data, lo, hi + length - 1), twice
+    # a phrase that holds its trigger once holds it in all of its strings
+    at = np.minimum(np.searchsorted(spots, hi - 1), len(spots) - 1)
+    while (wrong := ~twice & (h[spots[at]] != key) & (at < len(spots) - 1)).any():
+        at = at + wrong
+    x = np.where(twice, lo, spots[at])
+    half = (length - k) // 2
+    left, right = ~twice & (x - half >= lo), ~twice & (x + length - half <= hi - 1 + length)
+    before = span_hashes(data, np.maximum(x - half, 0), x + k)
+    after = span_hashes(data, x, np.minimum(x + length - half, len(data)))
+    low = np.uint64(0xFFFFFFFF)
+    sides = (np.where(left, before | np.uint64(1), np.uint64(0)) << np.uint64(32)) | np.where(right, (after & low) | np.uint64(1), np.uint64(0))
+    meta = ((hi - lo) << _COUNT) | (np.clip(x - lo, 0, 127) << _OFFSET) | np.where(twice, INNER, OPEN)
+    return lo, hi - lo, key, span_hashes(data, lo, hi + length - 1), sides.view(np.int64), meta.astype(np.int32)
 
 
 def _pieces(data: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -108,25 +132,39 @@ def _pieces(data: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[n
 
 def _first_kept(cols: list[np.ndarray]) -> list[np.ndarray]:
     """Keeps the first place of each (key, phrase); the others are marked gone and get a key of their place."""
-    key, phrase, doc, at, n, kind = cols
+    key, phrase, _, doc, at, _ = cols
     order = np.lexsort((at, doc, phrase, key))
-    key, phrase, doc, at, n, kind = (c[order] for c in cols)
+    key, phrase, sides, doc, at, meta = (c[order] for c in cols)
     later = np.zeros(len(key), bool)
     later[1:] = (key[1:] == key[:-1]) & (phrase[1:] == phrase[:-1])
     # the same place twice is a repeated row: no place before itself
     fresh = np.flatnonzero(~later)
     leader = fresh[np.cumsum(~later) - 1]
     later &= (doc != doc[leader]) | (at != at[leader])
-    kind = np.where(later, GONE, kind).astype(np.int32)
+    meta = np.where(later, (meta >> _OFFSET << _OFFSET) | GONE, meta)
     key = np.where(later, mixed(doc.view(np.uint64) * np.uint64(31) + at.view(np.uint64)).view(np.int64), key)
-    return [key, phrase, doc, at, n, kind]
+    return [key, np.where(later, 0, phrase), np.where(later, 0, sides), doc, at, meta]
 
 
 def _batch(cols: list[np.ndarray]) -> pa.RecordBatch:
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.int64, np.int32)
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(t, copy=False)) for c, t in zip(cols, kinds, strict=True)], _FIELDS)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of many small batches at once."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= ROWS:
+            t = pa.Table.from_batches(held)
+            yield [c.to_numpy() for c in t.columns]
+            held, n = [], 0
+    if n:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+
+
 def _parse(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,57 +172,116 @@ def _parse(length: int, k: int):
             data, offs = byte_view(b.column(2))
             out = []
             for part, o, rows, base in _pieces(data, offs, length):
-                lo, n, key, phrase, twice = phrases(part, o, length, k)
+                lo, _, key, phrase, sides, meta = phrases(part, o, length, k)
                 j = np.searchsorted(o, lo, "right") - 1
                 row = rows[j]
                 at = lo - o[j] + base[j] + (sub[row].astype(np.int64) << _SUB)
-                out.append([key.view(np.int64), phrase.view(np.int64), doc[row], at, n, np.where(twice, INNER, OPEN)])
+                out.append([key.view(np.int64), phrase.view(np.int64), sides, doc[row], at, meta])
             if out:
                 yield _batch(_first_kept([np.concatenate(c) for c in zip(*out, strict=True)]))
 
     return run
 
 
-def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over places in the order of (key, phrase, doc, at): the places that go, and the first places of phrases
-    that share their trigger with another phrase or hold it twice. A key's places needn't stand in one batch."""
-    held: list[np.ndarray] | None = None  # rows of the last key: its only phrase's first place, if not yet told, and its last place
-    told = several = False
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        passed = cols[5] == GONE
-        if passed.any():
-            yield _batch([c[passed] for c in cols])
-            cols = [c[~passed] for c in cols]
+def _shared(group: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether a side (not 0) stands in another row of the group too."""
+    order = np.lexsort((side, group))
+    g, x = group[order], side[order]
+    pair = (g[1:] == g[:-1]) & (x[1:] == x[:-1]) & (x[1:] != 0)
+    out = np.zeros(len(group), bool)
+    out[order[1:][pair]] = out[order[:-1][pair]] = True
+    return out
+
+
+def _told(cols: list[np.ndarray], leader: list[np.ndarray] | None, compare: bool, length: int, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(places that go and strings to order, the last phrase's first place) of places in order.
+
+    leader is the first place of the phrase that the rows before ended with. With compare, only phrases that
+    share a side with another of their trigger are told, and of those only the strings that hold that side.
+    """
+    key, phrase, sides, doc, at, meta = cols if leader is None else [np.concatenate(c) for c in zip(leader, cols, strict=True)]
+    new = np.r_[True, (key[1:] != key[:-1]) | (phrase[1:] != phrase[:-1])]
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    gone = ~new & ((doc != doc[lead]) | (at != at[lead]))
+    n, offset, inner = meta >> _COUNT, (meta >> _OFFSET) & 127, (meta & 3) == INNER
+    fresh = new.copy()
+    if leader is not None:
+        fresh[0] = False
+    i = np.flatnonzero(fresh)
+    if compare:
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]])[i]
+        # strings of a phrase that holds its trigger twice may equal any of its trigger's: all of that trigger are told
+        several = np.bincount(group)[group] > 1
+        mark = np.zeros(group.max(initial=0) + 1, bool)
+        mark[group[inner[i]]] = True
+        whole = inner[i] | (several & mark[group])
+        left, right = _shared(group, sides[i] >> 32), _shared(group, sides[i] & 0xFFFFFFFF)
+        cut = np.clip(offset[i] - (length - k) // 2 + 1, 0, n[i])  # strings that reach far before the trigger
+        skip = np.where(whole | left, 0, cut)
+        take = np.where(whole, n[i], np.where(left, cut, 0) + np.where(right, n[i] - cut, 0))
+    else:
+        skip, take = np.zeros(len(i), np.int64), n[i]
+    open_rows = [c[i][take > 0] for c in (key, phrase, sides, doc)] + [(at[i] + skip)[take > 0], ((take << _COUNT) | OPEN)[take > 0]]
+    gone_rows = [c[gone] for c in (key, phrase, sides, doc, at)] + [((n << _COUNT) | GONE)[gone]]
+    end = int(lead[-1])
+    return [np.concatenate(c) for c in zip(open_rows, gone_rows, strict=True)], [c[end : end + 1] for c in (key, phrase, sides, doc, at, meta)]
+
+
+def _dictionary(length: int, k: int):
+    """Over places in the order of (key, phrase, doc, at): the places that go, and the dictionary's strings to order.
+
+    The rows of a trigger are held to be compared; of a trigger with more than HELD rows only the last
+    phrase's first place is, and all its phrases are told.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        leader, hot = None, None
+        for cols in _gathered(batches):
+            passed = (cols[5] & 3) == GONE
+            if passed.any():
+                yield _batch([c[passed] for c in cols])
+                cols = [c[~passed] for c in cols]
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+                held = None
             if not len(cols[0]):
                 continue
-        before = 0
+            if leader is not None:
+                same = int(np.searchsorted(cols[0], hot, "right"))
+                out, leader = _told([c[:same] for c in cols], leader, False, length, k) if same else ([c[:0] for c in cols], leader)
+                yield _batch(out)
+                cols = [c[same:] for c in cols]
+                if not len(cols[0]):
+                    continue
+                leader = hot = None
+            start = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            if start:
+                yield _batch(_told([c[:start] for c in cols], None, True, length, k)[0])
+            held = [c[start:] for c in cols]
+            if len(held[0]) > HELD:
+                hot = held[0][0]
+                out, leader = _told(held, None, False, length, k)
+                yield _batch(out)
+                held = None
         if held is not None:
-            before = len(held[0])
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        key, phrase, doc, at, n, kind = cols
-        new_key = np.r_[True, key[1:] != key[:-1]]
-        new = new_key | np.r_[True, phrase[1:] != phrase[:-1]]
-        leader = np.flatnonzero(new)[np.cumsum(new) - 1]
-        gone = ~new & ((doc != doc[leader]) | (at != at[leader]))
-        group = np.cumsum(new_key) - 1
-        many = np.bincount(group, new) > 1
-        if held is not None and several:
-            many[0] = True
-        tell = new & (many[group] | (kind == INNER))
-        if before and told:
-            tell[0] = False
-        fresh = np.arange(len(key)) >= before
-        gone &= fresh
-        out = tell | gone
-        yield _batch([c[out] for c in (key, phrase, doc, at, n, np.where(gone, GONE, kind))])
-        several = bool(many[-1])
-        # what the next batch needs: the leader of the last phrase, to which later places are compared
-        lead = int(leader[-1])
-        told = bool(tell[lead]) or (lead == 0 and before > 0 and told)
-        held = [c[lead : lead + 1] for c in cols]
+            yield _batch(_told(held, None, True, length, k)[0])
+
+    return run
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over places in the order of (key, phrase, doc, at): those that go, all but the first of each string."""
+    leader = None
+    for cols in _gathered(batches):
+        passed = (cols[5] & 3) == GONE
+        if passed.any():
+            yield _batch([c[passed] for c in cols])
+            cols = [c[~passed] for c in cols]
+        if len(cols[0]):
+            out, leader = _told(cols, leader, False, 0, 0)
+            gone = (out[5] & 3) == GONE
+            yield _batch([c[gone] for c in out])
 
 
 def _expand(length: int):
@@ -192,20 +289,36 @@ def _expand(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, subs, texts, lists = (b.column(i).to_pylist() for i in range(4))
-            out = []
-            for doc, sub, z, found in zip(docs, subs, texts, lists, strict=True):
+            docs, subs, texts = (b.column(i).to_pylist() for i in range(3))
+            lists = b.column(3)
+            bounds, fields = lists.offsets.to_numpy(), lists.values.flatten() if lists.offset == 0 else None
+            if fields is None:
+                lists = pa.concat_arrays([lists])
+                bounds, fields = lists.offsets.to_numpy(), lists.values.flatten()
+            keys, ats, counts = (f.to_numpy(zero_copy_only=False) for f in fields)
+            out, size = [], 0
+            for row, (doc, sub, z) in enumerate(zip(docs, subs, texts, strict=True)):
                 data = np.frombuffer(zstandard.decompress(z), np.uint8)
-                for x in found:
-                    at, n = x["at"] & ((1 << _SUB) - 1), x["n"]
-                    for s in range(at, at + n, CHUNK_BYTES):
-                        part = data[s : min(s + CHUNK_BYTES, at + n) + length - 1]
-                        m = len(part) - length + 1
-                        i = np.arange(m)
-                        out.append([np.full(m, x["key"]), span_hashes(part, i, i + length).view(np.int64), np.full(m, doc), i + s + (sub << _SUB), np.ones(m, np.int32), np.full(m, OPEN, np.int32)])
-                        if sum(len(c[0]) for c in out) > 1 << 19:
-                            yield _batch(_first_kept([np.concatenate(c) for c in zip(*out, strict=True)]))
-                            out = []
+                lo, hi = bounds[row], bounds[row + 1]
+                at, n = ats[lo:hi] & ((1 << _SUB) - 1), counts[lo:hi].astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                at, n, key = at[order], n[order], keys[lo:hi][order]
+                first = 0
+                while first < len(at):  # phrases that a bounded part of the text holds, at least one
+                    last = first + 1
+                    while last < len(at) and at[last] + n[last] - at[first] <= CHUNK_BYTES:
+                        last += 1
+                    start, end = int(at[first]), int((at[first:last] + n[first:last]).max()) + length - 1
+                    m = n[first:last]
+                    i = np.repeat(at[first:last] - start - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+                    hashes = span_hashes(data[start:end], i, i + length).view(np.int64)
+                    places = i + start + (sub << _SUB)
+                    out.append([np.repeat(key[first:last], m), hashes, np.zeros(len(i), np.int64), np.full(len(i), doc), places, np.full(len(i), (1 << _COUNT) | OPEN, np.int32)])
+                    size += len(i)
+                    first = last
+                    if size > 1 << 19:
+                        yield _batch(_first_kept([np.concatenate(c) for c in zip(*out, strict=True)]))
+                        out, size = [], 0
             if out:
                 yield _batch(_first_kept([np.concatenate(c) for c in zip(*out, strict=True)]))
 
@@ -282,12 +395,14 @@ def _in_order(places: DataFrame, *by: str) -> DataFrame:
 def removed_places(rows: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """(doc, at, n): n successive strings from `at` are repeats of earlier ones. rows: (doc, sub, text)."""
     short_batches(rows.sparkSession)
-    places = rows.where(F.octet_length("text") >= length).mapInArrow(_parse(length, k), _PLACES)
-    told = _stored(_in_order(places, "key").mapInArrow(_dictionary, _PLACES))
-    listed = told.where(F.col("kind") != GONE).groupBy("doc", F.shiftright("at", _SUB).cast("int").alias("sub")).agg(F.collect_list(F.struct("key", "at", "n")).alias("found"))
-    strings = _packed(rows.where(F.octet_length("text") >= length)).join(listed, ["doc", "sub"]).select("doc", "sub", "z", "found").mapInArrow(_expand(length), _PLACES)
-    more = _in_order(strings, "key", "phrase").mapInArrow(_dictionary, _PLACES)
-    return told.where(F.col("kind") == GONE).union(more.where(F.col("kind") == GONE)).select("doc", "at", "n")
+    long_rows = rows.where(F.octet_length("text") >= length)
+    places = long_rows.mapInArrow(_parse(length, k), _PLACES)
+    count, gone = F.shiftright("meta", _COUNT).alias("n"), F.col("meta").bitwiseAND(F.lit(3)) == GONE
+    told = _stored(_in_order(places, "key").mapInArrow(_dictionary(length, k), _PLACES).select("key", "doc", "at", count, gone.alias("gone")))
+    listed = told.where("not gone").groupBy("doc", F.shiftright("at", _SUB).cast("int").alias("sub")).agg(F.collect_list(F.struct("key", "at", "n")).alias("found"))
+    strings = _packed(long_rows).join(listed, ["doc", "sub"]).select("doc", "sub", "z", "found").mapInArrow(_expand(length), _PLACES)
+    more = _in_order(strings, "key", "phrase").mapInArrow(_later, _PLACES)
+    return told.where("gone").select("doc", "at", "n").union(more.select("doc", "at", count))
 
 
 def _packed(rows: DataFrame) -> DataFrame:
