@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls
+from gleaner.functions.binding import held
 from gleaner.functions.fixed import GENERIC, PLATFORMS, RULES, UNKNOWN
 
 
@@ -38,14 +39,14 @@ def with_platform(rows: DataFrame, url: str, name: str = "platform") -> DataFram
     """
     ranks = {d: (i, n) for i, (n, hosts, _) in reversed(list(enumerate(RULES))) for d in hosts}
     table = F.create_map(*[x for d, (i, n) in ranks.items() for x in (F.lit(d), F.struct(F.lit(i).alias("rank"), F.lit(n).alias("name")))])
-    clean = rows.withColumn("__url", urls.normalised(F.col(url)))
-    parts = clean.withColumn("__host", urls.site_host(F.col("__url"))).withColumn("__path", urls.site_path(F.col("__url")))
+    clean = held(rows, {"__url": urls.normalised(F.col(url))})
+    parts = held(clean, {"__host": urls.site_host(F.col("__url")), "__path": urls.site_path(F.col("__url"))})
     labels = F.split("__host", "[.]")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hits = F.filter(F.transform(suffixes, lambda d: F.try_element_at(table, d)), lambda x: x.isNotNull())
     found = F.when(F.col("__host").isNull(), UNKNOWN).otherwise(
         F.coalesce(F.array_min(hits)["name"], by_path(F.col("__path")), F.lit(GENERIC)))
-    return parts.withColumn(name, found).drop("__url", "__host", "__path")
+    return held(parts, {name: found}).drop("__url", "__host", "__path")
 
 
 def platform_table(spark: SparkSession) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.binding import held
 from gleaner.functions.fixed import EXPORT_COLUMNS
 from gleaner.functions.places import derive_country
 from gleaner.functions.urls import stripped
@@ -18,13 +19,12 @@ def build_jobs(raw: DataFrame, *keep: str) -> DataFrame:
     Fields are stripped; rows without a title or URL go; a country that isn't given is derived from the location.
     """
     given = stripped(F.col("country"))
-    rows = raw.select(
-        *keep, stripped(F.col("company_name")).alias("company_name"), stripped(F.col("title")).alias("job_title"),
-        stripped(F.col("url")).alias("job_url"), stripped(F.col("location")).alias("location"), given.alias("given"),
-        stripped(F.col("career_page_url")).alias("career_page_url"), stripped(F.col("platform")).alias("platform"),
-    ).where("job_title <> '' and job_url <> ''")
+    named = held(raw, {
+        "company_name": stripped(F.col("company_name")), "job_title": stripped(F.col("title")), "job_url": stripped(F.col("url")),
+        "location": stripped(F.col("location")), "given": given, "career_page_url": stripped(F.col("career_page_url")), "platform": stripped(F.col("platform"))})
+    rows = named.where("job_title <> '' and job_url <> ''")
     country = F.when(F.col("given") != "", F.col("given")).otherwise(derive_country(F.col("location")))
-    return rows.withColumn("country", country).select(*keep, *FIELDS)
+    return held(rows, {"country": country}).select(*keep, *FIELDS)
 
 
 def export_view(jobs: DataFrame) -> DataFrame:

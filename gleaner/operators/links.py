@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import texts, urls
+from gleaner.functions.binding import held
 from gleaner.functions.fixed import BUNDLE_SUFFIXES, CAREER_PATHS, NEXT_LABELS, UNKNOWN
 from gleaner.functions.platforms import with_platform
 
@@ -28,15 +29,16 @@ def page_links(pages: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<!--.*?-->|<script\b.*?</script>", "")
     rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all(bare, F.lit(_ANCHOR), F.lit(0))).alias("pos", "tag"))
     href = F.coalesce(*[F.nullif(F.regexp_extract("tag", _HREF, i), F.lit("")) for i in (1, 2, 3)])
-    rows = rows.withColumn("href", _unescaped(href)).where("href is not null")
+    rows = held(rows, {"href": _unescaped(href)}).where("href is not null")
     inner = F.regexp_replace(F.regexp_replace(F.col("tag"), r"(?is)^<a\s[^>]*>|</a>$", ""), r"<[^>]*>", " ")
-    return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", urls.absolute(F.col("base"), F.col("href")).alias("url"), texts.clean(_unescaped(inner)).alias("text"), "base")
+    found = held(rows, {"url": urls.absolute(F.col("base"), F.col("href")), "text": texts.clean(_unescaped(inner))})
+    return found.select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "url", "text", "base")
 
 
 def scored_links(links: DataFrame) -> DataFrame:
     """(page_id, pos, url, score): links with a score above 0 as ways to postings; of one URL the first counts."""
     rows = with_platform(links.where("url <> ''"), "url")
-    rows = rows.withColumn("score", texts.career_score(F.col("text"), F.col("url"), F.col("platform"), F.col("base"))).where("score > 0")
+    rows = held(rows, {"score": texts.career_score(F.col("text"), F.col("url"), F.col("platform"), F.col("base"))}).where("score > 0")
     first = rows.groupBy("page_id", "url").agg(F.min("pos").alias("pos"), F.min_by("score", "pos").alias("score"))
     return first.select("page_id", "pos", "url", F.col("score").cast("bigint").alias("score"))
 

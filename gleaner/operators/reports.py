@@ -130,7 +130,9 @@ def summary(spark: SparkSession, results: DataFrame, jobs: DataFrame, supported:
     """One row `json`: the whole run as one document. Every part of it has a bounded number of rows."""
 
     def listed(rows: DataFrame, order: list[Column], item: Column) -> DataFrame:
-        return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], item.alias("x")))), lambda s: s["x"]).alias("list"))
+        place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o")
+        before = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+        return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(place, item.alias("x"))), before), lambda s: s["x"]).alias("list"))
 
     def mapping(rows: DataFrame, key: str, value: str, order: list[Column]) -> DataFrame:
         return listed(rows, order, F.struct(F.col(key).alias("key"), F.col(value).alias("value"))).select(F.map_from_entries("list").alias("list"))
