@@ -3,15 +3,18 @@
 1. A hashed naive Bayes classifier learns domains from a bounded sample of a labelled table.
 2. Every document gets domain posteriors and its token count.
 3. Nonnegative document rates are fitted by projected gradient so that the expected token total of each
-   domain, sum of rate x tokens x posterior, meets its target. A step is scaled by the domains' totals and
-   the documents' tokens (the metric in which the projection onto nonnegative rates is still a maximum
-   with zero). A step is one aggregate over a compact table; what passes the driver is one number a domain.
+   domain, sum of rate x tokens x posterior, meets its target: least squares from rates of one, weighted by
+   the documents' tokens, in which the projection onto nonnegative rates is still a maximum with zero. The
+   gradients are summed before the projection, so a rate is max(0, 1 + posteriors . sum), and each one is
+   scaled by the inverse of the domains' Gram matrix over the documents that can move. A step is one aggregate
+   over a compact table; what passes the driver is a few numbers a domain.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +26,10 @@ BUCKETS = 4096
 SAMPLE = 4000
 #: Tokens of evidence that a posterior rests on at most: longer texts count as so many average tokens.
 EVIDENCE = 64.0
+#: Steps at most, and share of a target that may stay open.
 STEPS, TOLERANCE = 40, 1e-6
-#: Steps between two cuts of the rates' lineage.
-HOLD = 5
+#: What keep_all takes more than the least total, for documents that belong to several domains.
+ROOM = 1.05
 
 _MARKS = "\n\r\t.,;:!?|*&%$#\"()[]"
 
@@ -89,32 +93,54 @@ def memberships(docs: DataFrame, model: tuple[list[float], list[list[float]]], d
     return found.select("doc_id", "key", "copies", "n_tokens", *[(x / total).alias(f"q_{k}") for k, x in enumerate(powers)])
 
 
-def fit_rates(members: DataFrame, targets: list[float]) -> tuple[DataFrame, list[float]]:
-    """Adds `rate` to members; also returns the domains' expected totals.
+def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0) -> tuple[DataFrame, list[float]]:
+    """Adds `rate`, at least `least`, to members; also returns the domains' expected totals.
 
     targets are expected token totals, one a domain. Without tokens every rate is one. A domain that no
-    posterior reaches can't meet its target and is left as it is.
+    posterior reaches can't meet its target and is left as it is. Targets that can't all be met are missed by
+    the least that the steps reach; a step that brings no gain is halved.
     """
     k = len(targets)
-    mass = [F.col("n_tokens") * F.col("copies") * F.col(f"q_{d}") for d in range(k)]
-    now, rate, totals, have = members, F.lit(1.0), None, [0.0] * k
-    for step in range(STEPS):
-        have = [x or 0.0 for x in now.agg(*[F.sum(rate * m).alias(f"s_{d}") for d, m in enumerate(mass)]).first()]
-        totals = totals or have
-        if not any(totals) or all(abs(h - t) <= TOLERANCE * max(t, 1.0) for h, t, n in zip(have, targets, totals, strict=True) if n):
+    mass = F.col("n_tokens") * F.col("copies")
+    pairs = [(d, e) for d in range(k) for e in range(d, k)]
+    goal = np.array(targets)
+
+    def rate_of(pull: np.ndarray) -> Column:
+        return F.greatest(F.lit(least), sum((F.lit(float(x)) * F.col(f"q_{d}") for d, x in enumerate(pull)), F.lit(1.0)))
+
+    def measured(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected totals, and the Gram matrix of the documents above the bound."""
+        rate = rate_of(pull)
+        free = F.when(rate > least, mass).otherwise(0.0) if pull.any() else mass
+        sums = [F.sum(rate * mass * F.col(f"q_{d}")) for d in range(k)] + [F.sum(free * F.col(f"q_{d}") * F.col(f"q_{e}")) for d, e in pairs]
+        got = [x or 0.0 for x in members.agg(*[s.alias(f"s_{i}") for i, s in enumerate(sums)]).first()]
+        gram = np.zeros((k, k))
+        for (d, e), x in zip(pairs, got[k:], strict=True):
+            gram[d, e] = gram[e, d] = x
+        return np.array(got[:k]), gram
+
+    pull, share = np.zeros(k), 1.0
+    have, gram = measured(pull)
+    reached = have > 0
+    miss = lambda x: float(np.abs((goal - x) / np.maximum(goal, 1.0))[reached].max(initial=0.0))
+    for _ in range(STEPS):
+        if miss(have) <= TOLERANCE or share < 1e-3:
             break
-        if step and step % HOLD == 0:
-            now, rate = cut(now.drop("rate").withColumn("rate", rate)), F.col("rate")
-        pull = [F.lit((t - h) / n) * F.col(f"q_{d}") for d, (h, t, n) in enumerate(zip(have, targets, totals, strict=True)) if n > 0]
-        rate = F.greatest(F.lit(0.0), rate + sum(pull[1:], pull[0]))
-    return now.withColumn("rate", F.round(rate, 9)), have
+        step = np.linalg.lstsq(gram + np.eye(k) * 1e-9 * gram.trace(), np.where(reached, goal - have, 0.0), rcond=None)[0]
+        now, again = measured(pull + share * step)
+        if miss(now) < miss(have):
+            pull, have, gram, share = pull + share * step, now, again, min(1.0, 2 * share)
+        else:
+            share /= 2
+    return members.withColumn("rate", F.round(rate_of(pull), 9)), have.tolist()
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, keep_all: bool = False) -> tuple[DataFrame, dict[str, float]]:
     """Rates for every row of docs(doc_id, text), so that expected tokens by domain stand as the weights.
 
     labelled(text, domain) trains the classifier. budget is the expected token total (that of docs, if not
-    given); keep_all sets it instead to the least at which no domain needs a rate under one. Returns
+    given); keep_all sets it instead to ROOM times the least at which no domain needs a rate under one, and
+    takes rates of one or more only, so no document is lost. Returns
     (doc_id, key, copies, n_tokens, q_*, rate), a row for each distinct (doc_id, text) with the number of its
     copies, and the expected totals. Null and empty texts have no tokens, the prior as posterior, and a rate
     like any other; an empty table gives no rows; other columns aren't read.
@@ -125,8 +151,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
     share = [weights[d] / sum(weights.values()) for d in domains]
     total = budget if budget is not None else float(sum(base))
     if keep_all:
-        total = max(b / s for b, s in zip(base, share, strict=True) if s > 0)
-    rated, have = fit_rates(members, [total * s for s in share])
+        total = ROOM * max(b / s for b, s in zip(base, share, strict=True) if s > 0)
+    rated, have = fit_rates(members, [total * s for s in share], 1.0 if keep_all else 0.0)
     return rated, dict(zip(domains, have, strict=True))
 
 
