@@ -46,10 +46,9 @@ def words_in(text: str | None) -> np.ndarray:
     return words_of(data, np.array([0, len(data)]))[0] if len(data) else np.zeros(0, np.uint64)
 
 
-def grams_of(words: np.ndarray) -> np.ndarray:
-    """Hashes of word n-grams; of fewer words, one of them all."""
-    n = min(GRAM, len(words))
-    if not n:
+def grams_of(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of word n-grams; none of fewer words."""
+    if not n or len(words) < n:
         return np.zeros(0, np.uint64)
     h = words[: len(words) - n + 1].copy()
     for i in range(1, n):
@@ -57,13 +56,16 @@ def grams_of(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def covered(part: np.ndarray, shared: np.ndarray) -> float:
-    """Share of a part's words that n-grams in the sorted array `shared` cover."""
-    grams = grams_of(part)
-    if not len(grams):
-        return 1.0
+def covered(part: np.ndarray, passage: dict[int, np.ndarray]) -> float:
+    """Share of a part's words that n-grams of a passage cover; a part of fewer words is one n-gram of them all.
+
+    passage holds the passage's n-grams by their length.
+    """
     n = min(GRAM, len(part))
-    hit = np.isin(grams, shared)
+    if not n:
+        return 1.0
+    grams = grams_of(part, n)
+    hit = np.isin(grams, passage[n])
     mask = np.zeros(len(part), bool)
     for i in range(n):
         mask[i : i + len(grams)] |= hit
@@ -108,7 +110,7 @@ def build(items: list[tuple[int, str, str]], document_frequency: dict[int, int]
     items = [(i, q, a) for i, q, a in ((i, words_in(q), words_in(a)) for i, q, a in items) if len(q) + len(a)]
     if not items:
         return None
-    items.sort(key=lambda x: (len(x[1]) + len(x[2]), x[0]))  # items of like length share a block, so its maxima are tight
+    items.sort(key=lambda x: (len(x[1]) + len(x[2]), x[0] is not None, x[0]))  # items of like length share a block, so its maxima are tight
     whole = [np.concatenate([q, a]) for _, q, a in items]
     mean = mean_words or sum(map(len, whole)) / len(whole)
     n = n_items or len(items)
@@ -194,7 +196,7 @@ def find(docs: DataFrame, index: Index, threshold: float, overlap: float) -> Dat
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
                 for r, s, e, terms in passages_above(words, first, ix, lookup, threshold):
                     found, scores = ix.search(terms, threshold)
-                    shared = np.sort(grams_of(words[s:e])) if len(found) else None
+                    shared = {n: grams_of(words[s:e], n) for n in range(1, GRAM + 1)} if len(found) else {}
                     for i, score in zip(found.tolist(), scores.tolist(), strict=True):
                         q, a = covered(ix.questions[i], shared), covered(ix.answers[i], shared)
                         if min(q, a) >= overlap:
@@ -233,7 +235,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     docs(doc_id, text), items(item_id, question, answer). score is BM25 over the item's own. The items are
     indexed in blocks of bounded bytes, each broadcast and held against all documents; term frequencies are
     those of all items. Null and empty texts leak nothing; items without words are never found; a part
-    without words counts as covered; repeated rows and items each count; other columns aren't read.
+    without words counts as covered, one of fewer than three words if it stands whole in the passage; an item
+    without an id is found under null; repeated rows and items each count; other columns aren't read.
     """
     spark = docs.sparkSession
     short_batches(spark)
