@@ -1,7 +1,7 @@
 """Linear text classifiers on hashed n-gram indicators that are scaled by naive Bayes log-count ratios.
 
-Two of them: a hinge-loss model on word and word-shape n-grams (quality) and a logistic one on character
-n-grams (toxicity). A model is fitted on a bounded sample of labelled rows (`per_class` rows of each class,
+Two of them: on word and word-shape n-grams (quality) and on character n-grams (toxicity). Both minimise the
+hinge loss by dual coordinate descent. A model is fitted on a bounded sample of labelled rows (`per_class` rows of each class,
 by the order of a hash of doc_id); features of the sample are made in Spark tasks, the fit runs on the
 driver, and the weights, 2**BITS floats whatever the corpus, are broadcast. Scoring reads whole texts.
 """
@@ -19,9 +19,11 @@ from gleaner.llm.common import _TABLE, ascii_lower, byte_view, chunks, mixed, sh
 
 BITS = 18
 #: Rows of each class that a fit takes at most.
-PER_CLASS = 3000
-#: Character n-gram lengths.
-GRAMS = (3, 4, 5)
+PER_CLASS = 2500
+#: Lengths of character n-grams in bytes; the long ones hold beginnings of words with letters of two bytes.
+GRAMS = (4, 6, 8)
+#: Parts of the sample that are scored by a model of the other parts, to calibrate probabilities.
+FOLDS = 2
 
 #: Features of one kind: values that stand in row order, and where each row's begin and end.
 Part = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -123,19 +125,25 @@ def by_row(parts: list[Part], n_rows: int) -> Iterator[np.ndarray]:
         yield np.concatenate([f[lo[i] : hi[i]] for f, lo, hi in parts]) if parts else np.zeros(0, np.int32)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, held: int, folds: int, per_class: int) -> DataFrame:
-    """(doc_id, text, y): at most per_class labelled rows of each class outside the held-out fold.
+def usable(labels: DataFrame, label: str, held: int, folds: int) -> DataFrame:
+    """(doc_id, y): labels outside the held-out fold, which is crc32 of doc_id as text modulo folds.
 
-    The fold is crc32 of doc_id as text modulo folds. Rows are taken in the order of a hash of doc_id, so the
-    sample is the same on every run. Null labels, labels but 0 and 1, and repeated labels of a row are left out.
+    Null labels, labels but 0 and 1, and labels of one id that contradict each other are left out.
     """
-    # only labelled ids are dealt out; texts are joined to the few that the sample keeps
-    ids = (
+    return (
         labels.select(F.col("doc_id").cast("bigint"), F.col(label).cast("int").alias("y"))
         .where("y in (0, 1) and doc_id is not null")
         .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held)
         .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
     )
+
+
+def sample(docs: DataFrame, ids: DataFrame, per_class: int) -> DataFrame:
+    """(doc_id, text, y): at most per_class rows of each class among ids(doc_id, y).
+
+    Rows are taken in the order of a hash of doc_id, so the sample is the same on every run.
+    """
+    # only labelled ids are dealt out; texts are joined to the few that the sample keeps
     order = F.xxhash64("doc_id"), F.col("doc_id")
     taken = ids.where("y = 0").orderBy(*order).limit(per_class).union(ids.where("y = 1").orderBy(*order).limit(per_class))
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
@@ -176,7 +184,7 @@ def _scaled(feats: list[np.ndarray], r: np.ndarray) -> list[tuple[np.ndarray, np
     out = []
     for f in feats:
         f = f[r[f] != 0]
-        x = r[f]
+        x = r[f].astype(np.float32)
         norm = np.sqrt((x * x).sum())
         out.append((f, x / norm if norm else x))
     return out
@@ -205,42 +213,32 @@ def fit_hinge(feats: list[np.ndarray], y: np.ndarray, cost: float = 1.0, sweeps:
     return {"r": r, "w": w, "b": b}
 
 
-def fit_logistic(feats: list[np.ndarray], y: np.ndarray, decay: float = 1e-4, sweeps: int = 12, seed: int = 7) -> dict:
-    """Logistic loss on the scaled indicators by stochastic gradients with per-feature step sizes."""
-    r = log_count_ratio(feats, y)
-    rows, n = _scaled(feats, r), len(feats)
-    weight = np.where(y == 1, n / (2 * max((y == 1).sum(), 1)), n / (2 * max((y == 0).sum(), 1)))
-    w, b, rng = np.zeros(1 << BITS), 0.0, np.random.default_rng(seed)
-    seen, seen_b = np.full(1 << BITS, 1e-8), 1e-8
-    for _ in range(sweeps):
-        for i in rng.permutation(n):
-            f, x = rows[i]
-            g = (1 / (1 + np.exp(-np.clip(w[f] @ x + b, -30, 30))) - y[i]) * weight[i]
-            gx = g * x + decay * w[f]
-            seen[f] += gx * gx
-            w[f] -= 0.5 * gx / np.sqrt(seen[f])
-            seen_b += g * g
-            b -= 0.5 * g / np.sqrt(seen_b)
-    return {"r": r, "w": w, "b": b}
+def _margins(model: dict, feats: list[np.ndarray]) -> np.ndarray:
+    return np.array([x @ model["w"][f] + model["b"] for f, x in _scaled(feats, model["r"])])
+
 
+def _calibrated(model: dict, z: np.ndarray, y: np.ndarray, share: np.ndarray) -> dict:
+    """Platt's slope and shift for margins z of rows that their model wasn't fitted on; share: weights by class."""
+    weight, a, b = share[y] / share[y].mean(), 1.0, 0.0
+    x = np.stack([z, np.ones(len(z))])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        g = x @ (weight * (p - y)) + 0.01 * np.array([a - 1, b])
+        h = (x * (weight * p * (1 - p))) @ x.T + 0.01 * np.eye(2)
+        a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -2, 2)
+        a = float(np.clip(a, 0.05, 20))
+    return model | {"slope": a, "shift": float(b)}
 
-def _calibrated(model: dict, feats: list[np.ndarray], y: np.ndarray) -> dict:
-    """Platt's slope for the margin; its zero stays the boundary of the classes."""
-    z = np.array([x @ model["w"][f] + model["b"] for f, x in _scaled(feats, model["r"])])
-    slope = 1.0
-    sign = np.where(y == 1, 1.0, -1.0)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(np.clip(sign * z * slope, -30, 30)))
-        g, h = -(p * sign * z).sum() + 0.01 * slope, (p * (1 - p) * z * z).sum() + 0.01
-        slope = float(np.clip(slope - g / h, 0.05, 20))
-    return model | {"slope": slope}
 
+def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, held: int, folds: int, per_class: int = PER_CLASS) -> dict:
+    """Fits on the bounded sample; probabilities are calibrated on halves of it that the other half's model scores.
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, loss: Callable[..., dict],
-        held: int, folds: int, per_class: int = PER_CLASS) -> dict:
-    """Fits on the bounded sample. With one class or no rows, the model gives that class's prior (0.5 if none)."""
+    The calibration weighs the classes as all usable labels do, since the sample may hold other shares. With
+    one class or no rows, the model gives that class's prior (0.5 if none).
+    """
     short_batches(docs.sparkSession)
-    rows = _features_of(sample(docs, labels, label, held, folds, per_class), features).toArrow()
+    ids = usable(labels, label, held, folds)
+    rows = _features_of(sample(docs, ids, per_class), features).toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     y = rows["y"].to_numpy()[order].astype(int)
     lists = rows["feats"].combine_chunks()
@@ -248,17 +246,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, loss
     feats = [values[offs[i] : offs[i + 1]] for i in order]
     if len(set(y.tolist())) < 2:
         zero = np.zeros(1 << BITS)
-        return {"r": zero, "w": zero, "b": (-1.0 if not y[0] else 1.0) if len(y) else 0.0, "slope": 1.0}
-    return _calibrated(loss(feats, y), feats, y)
+        return {"r": zero, "w": zero, "b": (-1.0 if not y[0] else 1.0) if len(y) else 0.0, "slope": 1.0, "shift": 0.0}
+    model, (no, yes) = fit_hinge(feats, y), np.bincount(y, minlength=2)
+    if min(no, yes) < 2 * FOLDS:
+        return model | {"slope": 1.0, "shift": 0.0}
+    part = np.empty(len(y), int)
+    for c in (0, 1):
+        part[y == c] = np.arange((y == c).sum()) % FOLDS
+    z = np.empty(len(y))
+    for k in range(FOLDS):
+        own, rest = np.flatnonzero(part == k), np.flatnonzero(part != k)
+        z[own] = _margins(fit_hinge([feats[i] for i in rest], y[rest]), [feats[i] for i in own])
+    counted = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}  # two rows
+    return _calibrated(model, z, y, np.array([counted[0] / no, counted[1] / yes]))
 
 
 def margin_function(spark: SparkSession, model: dict, features: Features) -> Callable[[], Callable[[pa.Array], np.ndarray]]:
     """What makes, in a task, a function from a text column to the probabilities of class 1."""
     r, w = model["r"].astype(np.float32), model["w"].astype(np.float32)
-    held = spark.sparkContext.broadcast((r * r, r * w, float(model["b"]), float(model["slope"])))
+    held = spark.sparkContext.broadcast((r * r, r * w, float(model["b"]), float(model["slope"]), float(model["shift"])))
 
     def make() -> Callable[[pa.Array], np.ndarray]:
-        rr, rw, b0, slope = held.value
+        rr, rw, b0, slope, shift = held.value
         used, distinct = rr != 0, Distinct()
 
         def probabilities(texts: pa.Array) -> np.ndarray:
@@ -270,7 +279,7 @@ def margin_function(spark: SparkSession, model: dict, features: Features) -> Cal
                     f = distinct(f[used[f]])
                     norm = np.sqrt(rr[f].sum())
                     margins[i] = rw[f].sum() / (norm or 1) + b0
-            return 1 / (1 + np.exp(-np.clip(margins * slope, -30, 30)))
+            return 1 / (1 + np.exp(-np.clip(margins * slope + shift, -30, 30)))
 
         return probabilities
 
@@ -299,12 +308,12 @@ def scored(docs: DataFrame, model: dict, features: Features, held: int, folds: i
 
 def quality_model(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int = 3, per_class: int = PER_CLASS) -> dict:
     """Naive Bayes support vectors on word and shape n-grams, fitted to labels.quality."""
-    return fit(docs, labels, "quality", word_ngrams, fit_hinge, held, folds, per_class)
+    return fit(docs, labels, "quality", word_ngrams, held, folds, per_class)
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, per_class: int = PER_CLASS) -> dict:
-    """Logistic model on character n-grams, fitted to labels.toxic."""
-    return fit(docs, labels, "toxic", char_ngrams, fit_logistic, held, folds, per_class)
+    """Linear model on scaled character n-grams, fitted to labels.toxic."""
+    return fit(docs, labels, "toxic", char_ngrams, held, folds, per_class)
 
 
 def accepted(docs: DataFrame, model: dict, features: Features) -> DataFrame:
