@@ -40,6 +40,8 @@ _FIELDS = ["key", "phrase", "sides", "doc", "at", "meta"]
 OPEN, INNER, GONE = 0, 1, 2
 #: meta holds, above the kind, the trigger's offset in the phrase (7 bits) and the number of strings
 _OFFSET, _COUNT = 2, 9
+#: Setting by which a query's shuffle files are removed at its end
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of places that are taken at once, and rows of one trigger that are held to compare their phrases.
 ROWS, HELD = 1 << 16, 1 << 16
 
@@ -368,11 +370,16 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """Writes df once, as Parquet in the shared checkpoint folder."""
+    """Writes df once, as Parquet in the shared checkpoint folder; its shuffle files go when that is done."""
     spark = df.sparkSession
     use_shared_checkpoints(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/places-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.parquet(path)
 
 
@@ -402,7 +409,7 @@ def removed_places(rows: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     listed = told.where("not gone").groupBy("doc", F.shiftright("at", _SUB).cast("int").alias("sub")).agg(F.collect_list(F.struct("key", "at", "n")).alias("found"))
     strings = _packed(long_rows).join(listed, ["doc", "sub"]).select("doc", "sub", "z", "found").mapInArrow(_expand(length), _PLACES)
     more = _in_order(strings, "key", "phrase").mapInArrow(_later, _PLACES)
-    return told.where("gone").select("doc", "at", "n").union(more.select("doc", "at", count))
+    return told.where("gone").select("doc", "at", "n").union(_stored(more.select("doc", "at", count)))
 
 
 def _packed(rows: DataFrame) -> DataFrame:
