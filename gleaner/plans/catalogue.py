@@ -298,8 +298,10 @@ def page_links(s: SparkSession, sf: str) -> DataFrame:
     return links.page_links(table(s, sf, "pages")).drop("base")
 
 
+_LINKED = """SELECT page_id, url, html || CASE page_id % 4 WHEN 0 THEN '<a href="/careers">Careers</a><a href="/jobs/list">See open positions</a>'
+WHEN 1 THEN '<a href="https://jobs.lever.co/acme">We are hiring</a><a href="/careers">Careers</a>' WHEN 2 THEN '<a href="https://other.org/jobs">Jobs</a><a href="/press/jobs">Press jobs</a>' ELSE '' END AS html FROM {pages}"""
 _SCORED = f"""(SELECT page_id, min(pos) AS pos, url, CAST(arg_min(score, pos) AS BIGINT) AS score FROM (SELECT *, {o.score('text', 'url', 'platform', 'base')} AS score FROM
-{o.with_platform(f"(SELECT * FROM {o.links()} WHERE url <> '')", 'url')}) WHERE score > 0 GROUP BY page_id, url)"""
+{o.with_platform(f"(SELECT * FROM {o.links(sql(_LINKED))} WHERE url <> '')", 'url')}) WHERE score > 0 GROUP BY page_id, url)"""
 
 
 @query("link_scores", f"SELECT * FROM {_SCORED}")
@@ -308,7 +310,7 @@ def link_scores(s: SparkSession, sf: str) -> DataFrame:
 
 
 def _with_career_links(s: SparkSession, sf: str) -> DataFrame:
-    return links.page_links(table(s, sf, "pages"))
+    return links.page_links(derived(s, sf, _LINKED))
 
 
 @query("link_scores_best", f"SELECT page_id, url, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS n FROM {_SCORED}) WHERE n = 1")

@@ -87,12 +87,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def derived(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """The rows of one of the texts above."""
-    names = [n for n in ("customer", "lineitem", "orders", "part", "supplier") if f"{{{n}}}" in text]
+    names = [n for n in ("customer", "lineitem", "orders", "pages", "part", "supplier") if f"{{{n}}}" in text]
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def sql(text: str) -> str:
     """The same for DuckDB, as a bracketed query."""
-    for n in ("customer", "lineitem", "orders", "part", "supplier"):
+    for n in ("customer", "lineitem", "orders", "pages", "part", "supplier"):
         text = text.replace(f"{{{n}}}", n)
     return f"({text.strip()})"

@@ -165,11 +165,11 @@ def absolute_rooted(base: str, href: str) -> str:
             f"WHEN starts_with({link}, '/') THEN {origin} || {link} ELSE {origin} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {link} END")
 
 
-def links() -> str:
-    """(page_id, pos, href, url, text, base) of the pages' anchors."""
+def links(pages: str = "pages") -> str:
+    """(page_id, pos, href, url, text, base) of the anchors of pages."""
     bare_html = "regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\\b.*?</script>', '', 'g')"
     href = "(?is)^<a\\s(?:[^>]*?\\s)?href\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s>\"'']+))"
     return f"""(SELECT page_id, pos, href, {absolute_rooted('base', 'href')} AS url, {clean(unescaped("regexp_replace(regexp_replace(tag, '(?is)^<a\\s[^>]*>|</a>$', '', 'g'), '<[^>]*>', ' ', 'g')"))} AS text, base FROM (
         SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos, tag, base, {unescaped(f"coalesce(nullif(regexp_extract(tag, '{href}', 1), ''), nullif(regexp_extract(tag, '{href}', 2), ''), nullif(regexp_extract(tag, '{href}', 3), ''))")} AS href FROM (
-            SELECT page_id, url AS base, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM (SELECT page_id, url, regexp_extract_all({bare_html}, '(?is)<a\\s[^>]*>.*?</a>') AS tags FROM pages)))
+            SELECT page_id, url AS base, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM (SELECT page_id, url, regexp_extract_all({bare_html}, '(?is)<a\\s[^>]*>.*?</a>') AS tags FROM {pages})))
         WHERE href IS NOT NULL)"""
