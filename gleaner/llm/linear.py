@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import _TABLE, ascii_lower, byte_view, chunks, mixed, short_batches, span_hashes, spans
 
 BITS = 18
-#: Rows of each class that a fit takes at most.
-PER_CLASS = 2500
+#: Rows of each class that a fit takes at most; character n-grams of a text are many more than its words'.
+PER_CLASS, PER_CLASS_CHARS = 2500, 1500
 #: Lengths of character n-grams in bytes; the long ones hold beginnings of words with letters of two bytes.
 GRAMS = (4, 6, 8)
 #: Parts of the sample that are scored by a model of the other parts, to calibrate probabilities.
@@ -311,7 +311,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int
     return fit(docs, labels, "quality", word_ngrams, held, folds, per_class)
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, per_class: int = PER_CLASS) -> dict:
+def toxicity_model(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, per_class: int = PER_CLASS_CHARS) -> dict:
     """Linear model on scaled character n-grams, fitted to labels.toxic."""
     return fit(docs, labels, "toxic", char_ngrams, held, folds, per_class)
 
