@@ -160,7 +160,8 @@ _SLICES = f"(SELECT 1 AS part, * FROM {J} WHERE pos % 2 = 0 UNION ALL SELECT 2 A
 @query("union_pages_distinct", f"SELECT part, pos, job_url, job_title FROM {o.first_of_each(_SLICES, 'lower(company_name), lower(job_url)', 'part, pos')}")
 def union_pages_distinct(s: SparkSession, sf: str) -> DataFrame:
     rows = _jobs(s, sf)
-    both = rows.where("pos % 2 = 0").withColumn("part", F.lit(1)).unionByName(rows.where("pos % 3 = 0").withColumn("part", F.lit(2)))
+    # two slices that overlap where pos % 3 = 1 and together hold every posting
+    both = rows.where("pos % 3 < 2").withColumn("part", F.lit(1)).unionByName(rows.where("pos % 3 > 0").withColumn("part", F.lit(2)))
     return jobs.dedupe(both, ["part", "pos"]).select("part", "pos", "job_url", "job_title")
 
 
@@ -183,7 +184,7 @@ def outcome_classify(s: SparkSession, sf: str) -> DataFrame:
 @query("outcome_zero_filled", f"""WITH k(outcome) AS (VALUES {', '.join(f"({o.text(x)})" for x in fixed.OUTCOMES)}), c AS (SELECT {o.OUTCOME} AS outcome, count(*) AS n FROM {R} WHERE row_id % 3 = 1 GROUP BY 1)
 SELECT k.outcome, coalesce(c.n, 0) AS companies FROM k LEFT JOIN c ON k.outcome = c.outcome""")
 def outcome_zero_filled(s: SparkSession, sf: str) -> DataFrame:
-    return reports.outcome_counts(s, _results(s, sf).where("row_id % 3 = 1"))  # rows without postings: the outcome of those is to be filled
+    return reports.outcome_counts(s, _results(s, sf))
 
 
 @query("coverage_by_platform", f"""SELECT *, unsupported + technical AS failures, round(100.0 * produced / companies, 1) AS success_rate FROM (
@@ -376,7 +377,7 @@ w AS (SELECT DISTINCT board, 1 AS step, 'p0' AS url, ['p0'] AS visited FROM e UN
 SELECT w.board, w.step, w.visited, list_filter(l.targets, lambda t: NOT list_contains(w.visited, t))[1] AS nxt FROM w JOIN l ON l.board = w.board AND l.url = w.url WHERE w.step < 25) WHERE nxt IS NOT NULL)
 SELECT board, CAST(step AS BIGINT) AS step, url FROM w""")
 def pagination_next_chain(s: SparkSession, sf: str) -> DataFrame:
-    edges = derived(s, sf, d.EDGES).where("board % 10 = 1")  # boards whose walk is followed
+    edges = derived(s, sf, d.EDGES)
     return paging.next_chain(edges, edges.select("board").distinct().withColumn("url", F.lit("p0")))
 
 
