@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import cut
+
 
 def pages_with_news(found: DataFrame, most: int = 50) -> DataFrame:
     """(board, page_no, found, added): the pages that a walk over found(board, page_no, key) reads.
@@ -37,7 +39,10 @@ def next_chain(edges: DataFrame, starts: DataFrame, most: int = 25) -> DataFrame
     recursive query carries what a board has visited; that is at most `most` URLs.
     """
     spark = edges.sparkSession
-    listed = edges.groupBy("board", "url").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "next_url"))), lambda x: x["next_url"]).alias("targets"))
+    first = edges.groupBy("board", "url", "next_url").agg(F.min("place").alias("place"))
+    # laid down once, else each step lists all links again; of `most` targets one at least isn't visited yet
+    targets = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "next_url"))), lambda x: x["next_url"]), 1, most)
+    listed = cut(first.groupBy("board", "url").agg(targets.alias("targets")))
     listed.createOrReplaceTempView("chain_edges")
     starts.select("board", "url").createOrReplaceTempView("chain_starts")
     return spark.sql(f"""
