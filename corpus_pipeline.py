@@ -23,15 +23,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate class: a row of the smallest doc_id."""
-    return simhash.one_of_each_class(docs)
+    """One row of each near-duplicate class: a row of the smallest doc_id, or of no id where no row has one."""
+    return simhash.one_of_each_class(docs, unnamed=True)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that leak no benchmark item."""
     items = decontaminate.split_items(table(spark, sf_dir, "benchmark"))
-    leaks = decontaminate.contaminated(docs, items).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("__leak"), "left_anti")
+    keyed = docs.select(mixing.row_key().alias("doc_id"), "text")  # a null id never equals another
+    leaks = decontaminate.contaminated(keyed, items).select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.withColumn("__key", mixing.row_key()).join(leaks, F.col("__key") == F.col("__leak"), "left_anti").drop("__key")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
