@@ -31,7 +31,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rows that leak no benchmark item."""
     items = decontaminate.split_items(table(spark, sf_dir, "benchmark"))
     keyed = docs.select(mixing.row_key().alias("doc_id"), "text")  # a null id never equals another
-    leaks = decontaminate.contaminated(keyed, items).select(F.col("doc_id").alias("__leak")).distinct()
+    leaks = decontaminate.contaminated(keyed, items, whole=decontaminate.WHOLE).select(F.col("doc_id").alias("__leak")).distinct()
     return docs.withColumn("__key", mixing.row_key()).join(leaks, F.col("__key") == F.col("__leak"), "left_anti").drop("__key")
 
 

@@ -5,7 +5,8 @@ half, and long enough that any item stands whole in one. An item's weights are d
 gives its own words, so one threshold serves items of any length. A passage is left when the sum of its
 terms' largest weights is under the threshold; of the rest, only the blocks of items are opened whose block
 maxima can reach it; all items above it are retrieved. Those count as leaks if both the question and the
-answer are covered by word triples that they share with the passage.
+answer are covered by word triples that they share with the passage. Items that weren't divided by their
+makers also count if enough of the whole is covered, wherever the cut between question and answer fell.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.55
 #: Share of the words of question and answer that shared word triples have to cover.
 OVERLAP = 0.7
+#: Share of the words of a whole undivided item that shared word triples have to cover: less than its first two thirds.
+WHOLE = 0.6
+#: Whole items of fewer words than this, but more than GRAM, may stand in aligned order instead: one changed word can break most of their triples.
+SHORT = 10
 #: Items in a block, and bytes of item text in one broadcast index.
 BLOCK, INDEX_BYTES = 16, 8 << 20
 #: Words in a passage at least.
@@ -72,6 +77,24 @@ def covered(part: np.ndarray, passage: dict[int, np.ndarray]) -> float:
     return float(mask.mean())
 
 
+def aligned(part: np.ndarray, passage: np.ndarray) -> float:
+    """Largest share of a part's words that stand in its order within one word more than it has."""
+    words, text, best = part.tolist(), passage.tolist(), 0
+    for s in range(max(1, len(text) - len(words))):
+        row = [0] * (len(words) + 1)
+        for t in text[s : s + len(words) + 1]:
+            before = row[:]
+            for i, w in enumerate(words):
+                row[i + 1] = before[i] + 1 if w == t else max(before[i + 1], row[i])
+        best = max(best, row[-1])
+    return best / len(words)
+
+
+def whole_held(item: np.ndarray, passage: np.ndarray, shared: dict[int, np.ndarray], whole: float, overlap: float) -> bool:
+    """Whether a passage holds enough of an item, whatever its parts are."""
+    return covered(item, shared) >= whole or (GRAM < len(item) < SHORT and aligned(item, passage) >= overlap)
+
+
 @dataclass
 class Index:
     ids: list[int]
@@ -179,7 +202,7 @@ def passages_above(words: np.ndarray, first: np.ndarray, index: Index, lookup: L
             yield r, int(lo), int(min(lo + index.passage, first[r + 1])), terms
 
 
-def find(docs: DataFrame, index: Index, threshold: float, overlap: float) -> DataFrame:
+def find(docs: DataFrame, index: Index, threshold: float, overlap: float, whole: float | None = None) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) against one index of bounded size."""
     held = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -199,7 +222,7 @@ def find(docs: DataFrame, index: Index, threshold: float, overlap: float) -> Dat
                     shared = {n: grams_of(words[s:e], n) for n in range(1, GRAM + 1)} if len(found) else {}
                     for i, score in zip(found.tolist(), scores.tolist(), strict=True):
                         q, a = covered(ix.questions[i], shared), covered(ix.answers[i], shared)
-                        if min(q, a) >= overlap:
+                        if min(q, a) >= overlap or (whole is not None and whole_held(np.concatenate([ix.questions[i], ix.answers[i]]), words[s:e], shared, whole, overlap)):
                             best[r, i] = max(best.get((r, i), (0.0, 0.0, 0.0)), (score, q, a))
                 out += [(ids[lo + r], ix.ids[i], *x) for (r, i), x in best.items()]
             cols = list(zip(*out, strict=True)) or [()] * 5
@@ -229,14 +252,16 @@ def split_items(benchmark: DataFrame, answer_share: float = 1 / 3) -> DataFrame:
         F.array_join(F.slice("w", (k + 1).cast("int"), n), " ").alias("answer"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, whole: float | None = None) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): a row for each row of docs and item it leaks.
 
     docs(doc_id, text), items(item_id, question, answer). score is BM25 over the item's own. The items are
     indexed in blocks of bounded bytes, each broadcast and held against all documents; term frequencies are
     those of all items. Null and empty texts leak nothing; items without words are never found; a part
     without words counts as covered, one of fewer than three words if it stands whole in the passage; an item
-    without an id is found under null; repeated rows and items each count; other columns aren't read.
+    without an id is found under null; repeated rows and items each count; other columns aren't read. With
+    `whole`, for items whose parts are made up, an item also counts if that share of question and answer
+    together is covered, or if `overlap` of one of 4 to 9 words stands in aligned order.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -244,11 +269,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     items = items.select(F.col("item_id").cast("bigint"), F.col("question").cast("string"), F.col("answer").cast("string"))
     size = items.agg(F.sum(F.octet_length(F.concat_ws(" ", "question", "answer"))).alias("b")).first()["b"] or 0
     blocks = -(-size // INDEX_BYTES) or 1
-    whole: dict = {}
+    over_all: dict = {}
     if blocks > 1:
         sizes = items.select(F.size(F.split(F.concat_ws(" ", "question", "answer"), " ")).alias("n"))
         n, mean = sizes.agg(F.count("*"), F.avg("n")).first()
-        whole = {"n_items": n, "mean_words": mean}
+        over_all = {"n_items": n, "mean_words": mean}
         counts = _terms(items).groupBy("t").agg(F.count("*").alias("df"))
     out = None
     for k in range(blocks):
@@ -257,9 +282,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         if blocks > 1:
             mine_terms = _terms(mine).select("t").distinct()
             df = {"document_frequency": {r["t"] & (2**64 - 1): r["df"] for r in counts.join(mine_terms, "t").collect()}}
-        index = build([tuple(r) for r in mine.collect()], **df, **whole)
+        index = build([tuple(r) for r in mine.collect()], **df, **over_all)
         if index:
-            found = find(docs, index, threshold, overlap)
+            found = find(docs, index, threshold, overlap, whole)
             out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double")

@@ -55,7 +55,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.split_items(table(spark, sf_dir, "benchmark"))
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), items)
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), items, whole=decontaminate.WHOLE)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
