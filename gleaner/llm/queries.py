@@ -26,8 +26,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations read as mail threads, in which each turn quotes the two before it."""
-    found = quotes.conversations(quotes.as_mail(table(spark, sf_dir, "conversations")))
-    return found.select(F.col("thread").alias("conv_id"), F.col("seq").alias("turn"), "position", "parent", "root", "depth", "n_quoted", "n_linked", "role", "text")
+    found = quotes.conversations(quotes.as_mail(table(spark, sf_dir, "conversations")), every=True)
+    return found.select(F.col("thread").alias("conv_id"), F.col("seq").alias("turn"), "tie", "position", "parent", "parent_tie", "root", "root_tie", "depth", "n_quoted", "n_linked", "role", "text")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
