@@ -147,8 +147,9 @@ def sample(docs: DataFrame, ids: DataFrame, per_class: int) -> DataFrame:
     order = F.xxhash64("doc_id"), F.col("doc_id")
     taken = ids.where("y = 0").orderBy(*order).limit(per_class).union(ids.where("y = 1").orderBy(*order).limit(per_class))
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    # at most 2 x per_class ids of 12 bytes
-    return rows.join(F.broadcast(taken), "doc_id")
+    # at most 2 x per_class ids of 12 bytes; of rows that share an id, one by a hash of the text
+    joined = rows.join(F.broadcast(taken), "doc_id")
+    return joined.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
 
 
 def _features_of(rows: DataFrame, features: Features):

@@ -65,7 +65,9 @@ def sample_labelled(docs: DataFrame, ids: DataFrame, domain: str, limit: int = S
     """(text, domain) of at most `limit` documents among ids(doc_id), by the order of a hash of the id."""
     taken = ids.select(F.col("doc_id").cast("bigint")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col(domain).cast("string").alias("domain"))
-    return rows.join(F.broadcast(taken), "doc_id").select("text", "domain")  # ids of at most `limit` rows
+    joined = rows.join(F.broadcast(taken), "doc_id")  # ids of at most `limit` rows; of rows that share an id, one by a hash
+    one = F.min_by(F.struct("text", "domain"), F.xxhash64("text", "domain")).alias("one")
+    return joined.groupBy("doc_id").agg(one).select("one.text", "one.domain")
 
 
 def row_key() -> Column:
