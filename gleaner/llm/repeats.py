@@ -1,4 +1,4 @@
-"""Removal of repeated passages: prefix-free parsing of texts into phrases, and corpus order of their suffixes.
+"""Removal of repeated passages: prefix-free parsing of texts into phrases, and grouping of their strings by hash.
 
 A byte string of `length` bytes (100) is removed where it also starts earlier in the corpus. Rolling hashes of
 `k` bytes give triggers: the trigger of a string is its least k-byte hash, so equal strings have equal
@@ -9,11 +9,11 @@ A phrase therefore begins and ends where the content says so, whatever stands ar
   Every later place of a phrase is removed whole, and nothing in it is looked at again.
 - Only where phrases of one trigger also agree on the bytes beside it, on one side at least, can suffixes of
   different phrases begin with the same string: a string that holds its trigger reaches far on one side or
-  the other. Those dictionary suffixes are put in order by trigger and string, and all but the first place
-  of each string are removed.
+  the other. Every string of those phrases is laid out and grouped by trigger and hash, and all but the first
+  place of each string are removed.
 
-The order is needed to a depth of `length` bytes only, so strings are compared by their trigger with a 64-bit
-hash of all their bytes (128 bits together), not byte by byte. Places of one string meet in one task only after each batch of
+No suffix array of the dictionary or of the parse is built: strings of one fixed `length` need to be equal, not
+in order, so they are compared by their trigger with a 64-bit hash of all their bytes (128 bits together). Places of one string meet in one task only after each batch of
 documents has kept its own first place, so a string that a third of all documents hold comes there once a batch.
 """
 
