@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLANKS = r"^[\s\x{A0}]+|[\s\x{A0}]+$"
+_BLANKS = " \t\n\x0b\f\r\xa0"
 _VALID_HOST = r"^[^\s./\\?#@:]+([.][^\s./\\?#@:]+)+$"
 _HEAD = r"^([A-Za-z][A-Za-z0-9+.-]*)://"
 
 
 def stripped(text: Column) -> Column:
     """Without blanks at both ends; null is empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), _BLANKS, "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANKS))
 
 
 def normalised(url: Column) -> Column:

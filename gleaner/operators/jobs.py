@@ -13,18 +13,35 @@ from gleaner.functions.urls import stripped
 FIELDS = ["company_name", "job_title", "job_url", "location", "country", "career_page_url", "platform"]
 
 
-def build_jobs(raw: DataFrame, *keep: str) -> DataFrame:
+def stated_jobs(raw: DataFrame, *keep: str) -> DataFrame:
     """raw(company_name, title, url, location, country, career_page_url, platform) as postings, with `keep` beside them.
 
-    Fields are stripped; rows without a title or URL go; a country that isn't given is derived from the location.
+    Fields are stripped; rows without a title or URL go; country is what was given, often nothing.
     """
-    given = stripped(F.col("country"))
     named = held(raw, {
         "company_name": stripped(F.col("company_name")), "job_title": stripped(F.col("title")), "job_url": stripped(F.col("url")),
-        "location": stripped(F.col("location")), "given": given, "career_page_url": stripped(F.col("career_page_url")), "platform": stripped(F.col("platform"))})
-    rows = named.where("job_title <> '' and job_url <> ''")
-    country = F.when(F.col("given") != "", F.col("given")).otherwise(derive_country(F.col("location")))
-    return held(rows, {"country": country}).select(*keep, *FIELDS)
+        "location": stripped(F.col("location")), "country": stripped(F.col("country")), "career_page_url": stripped(F.col("career_page_url")), "platform": stripped(F.col("platform"))})
+    return named.where("job_title <> '' and job_url <> ''").select(*keep, *FIELDS)
+
+
+def with_countries(jobs: DataFrame) -> DataFrame:
+    """jobs with a country derived from the location where none was given.
+
+    Countries are derived once for each distinct location, since many postings share one, and joined to the
+    postings, whose skewed locations the adaptive join splits; the few distinct ones are broadcast only where
+    their measured size allows it.
+    """
+    open_place = F.when((F.col("country") == "") & (F.col("location") != ""), F.col("location"))
+    places = jobs.select(open_place.alias("__place")).where("__place is not null").distinct()
+    told = held(places, {"__told": derive_country(F.col("__place"))})
+    joined = jobs.withColumn("__open", open_place).join(told, F.col("__open") == F.col("__place"), "left")
+    country = F.coalesce("__told", "country").alias("country")
+    return joined.select(*[country if c == "country" else F.col(f"`{c}`") for c in jobs.columns])
+
+
+def build_jobs(raw: DataFrame, *keep: str) -> DataFrame:
+    """Postings of raw rows (see stated_jobs) with their countries."""
+    return with_countries(stated_jobs(raw, *keep))
 
 
 def export_view(jobs: DataFrame) -> DataFrame:
@@ -35,14 +52,21 @@ def export_view(jobs: DataFrame) -> DataFrame:
 def first_of_each(rows: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
     """The first row of each key in the order of `order`.
 
-    An aggregate of minima rather than a numbered window: rows of a key are reduced before they are
-    shuffled, so a key with very many rows is no heavier than others. Rows equal in `order` are told apart by
-    their other columns.
+    The least number of each key is an aggregate of numbers alone, which is hashed and reduced before it is
+    shuffled, so a key with very many rows is no heavier than others. Rows are then kept by a semi join on key
+    and numbers; of the few that are equal in these, the least by its other columns stays.
     """
     rest = [c for c in rows.columns if c not in order]
-    first = F.min(F.struct(*order, *rest)).alias("__first")
     named = [k.alias(f"__key{i}") for i, k in enumerate(keys)]
-    return rows.groupBy(*named).agg(first).select(*[F.col("__first")[c].alias(c) for c in rows.columns])
+    keyed = [f"__key{i}" for i in range(len(keys))]
+    least = rows.select(*named, *order).groupBy(*keyed)
+    if len(order) == 1:
+        least = least.agg(F.min(order[0]).alias(order[0]))
+    else:
+        least = least.agg(F.min(F.struct(*order)).alias("__least")).select(*keyed, "__least.*")
+    first = rows.select("*", *named).join(least, [*keyed, *order], "left_semi")
+    one = first.groupBy(*keyed, *order).agg(F.min(F.struct(*rest)).alias("__first"))
+    return one.select(*[F.col(c) if c in order else F.col("__first")[c].alias(c) for c in rows.columns])
 
 
 def dedupe(jobs: DataFrame, order: list[str], scope: list[str] | None = None) -> DataFrame:
@@ -51,6 +75,11 @@ def dedupe(jobs: DataFrame, order: list[str], scope: list[str] | None = None) ->
     return first_of_each(jobs, keys, order)
 
 
+def first_jobs(raw: DataFrame, order: list[str], scope: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The first posting of each company and URL among raw rows (see stated_jobs), with countries only for what stays."""
+    return with_countries(dedupe(stated_jobs(raw, *(keep or order)), order, scope))
+
+
 def column_widths(jobs: DataFrame) -> DataFrame:
     """(header, width): two more than the longest text of an exported column, between 12 and 70."""
     longest = jobs.agg(*[F.max(F.length(c)).alias(c) for c in EXPORT_COLUMNS])

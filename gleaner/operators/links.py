@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import texts, urls
@@ -21,10 +22,10 @@ def _unescaped(text):
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, href, url, text) of the anchors of pages(page_id, url, html), in document order.
+    """(page_id, pos, href, url, text, base, marked) of the anchors of pages(page_id, url, html), in document order.
 
     Anchors without href are left out; comments and scripts aren't searched. url is empty where a link leads
-    nowhere.
+    nowhere; base is the page's own; marked tells links that the page itself declares as its next page.
     """
     bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<!--.*?-->|<script\b.*?</script>", "")
     rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all(bare, F.lit(_ANCHOR), F.lit(0))).alias("pos", "tag"))
@@ -32,7 +33,8 @@ def page_links(pages: DataFrame) -> DataFrame:
     rows = held(rows, {"href": _unescaped(href)}).where("href is not null")
     inner = F.regexp_replace(F.regexp_replace(F.col("tag"), r"(?is)^<a\s[^>]*>|</a>$", ""), r"<[^>]*>", " ")
     found = held(rows, {"url": urls.absolute(F.col("base"), F.col("href")), "text": texts.clean(_unescaped(inner))})
-    return found.select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "url", "text", "base")
+    marked = F.regexp_like("tag", F.lit(r"(?is)^<a\s[^>]*\brel\s*=\s*[\"']?[^\"'>]*\bnext\b"))
+    return found.select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "url", "text", "base", marked.alias("marked"))
 
 
 def scored_links(links: DataFrame) -> DataFrame:
@@ -70,17 +72,24 @@ def discovered(websites: DataFrame, pages: DataFrame) -> DataFrame:
     return out.where("url is not null")
 
 
-def next_links(links: DataFrame) -> DataFrame:
-    """(page_id, url, pos): links that a pager labels as its next page."""
-    label = F.regexp_replace(F.lower("text"), r"^[ .]+|[ .]+$", "")
-    return links.where(label.isin(NEXT_LABELS) & (F.col("url") != "")).select("page_id", "url", "pos")
+def pager_links(links: DataFrame) -> DataFrame:
+    """(page_id, base, url, place) of the links to a next page on the page's own host, by rank of place.
+
+    Links that are marked as the next page come first, then those that a pager labels so, then numbers from 2
+    to 200, the lowest first.
+    """
+    own = links.where((F.col("url") != "") & (F.col("url") != F.col("base")) & (urls.host_of(F.col("url")) == urls.host_of(F.col("base"))))
+    number = F.when(F.col("text").rlike("^[0-9]{1,3}$"), F.col("text").cast("int"))
+    place = (
+        F.when(F.col("marked"), F.col("pos")).when(F.lower("text").isin(NEXT_LABELS), F.lit(1 << 40) + F.col("pos"))
+        .when(number.between(2, 200), F.lit(1 << 41) + number)
+    )
+    return own.select("page_id", "base", "url", place.cast("bigint").alias("place")).where("place is not null")
 
 
-def numbered_next(links: DataFrame) -> DataFrame:
-    """(page_id, url): the link with the lowest number from 2 to 200 as its text, on the page's own host."""
-    rows = links.where(F.col("text").rlike("^[0-9]{1,3}$") & (urls.host_of(F.col("url")) == urls.host_of(F.col("base"))))
-    rows = rows.withColumn("n", F.col("text").cast("int")).where("n between 2 and 200")
-    return rows.groupBy("page_id").agg(F.min(F.struct("n", "url"))["url"].alias("url"))
+def next_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url): the page that each page's pager leads to first; pages without one are left out."""
+    return pager_links(page_links(pages)).groupBy("page_id").agg(F.min(F.struct("place", "url"))["url"].alias("url"))
 
 
 def host_rollup(pages: DataFrame) -> DataFrame:
@@ -104,8 +113,6 @@ def gates(pages: DataFrame) -> DataFrame:
 
 def captured_json(responses: DataFrame, most: int = 120, size: int = 8 << 20) -> DataFrame:
     """Responses(page_url, pos, url, content_type, body) with a JSON body of bounded size, the first `most` of each page."""
-    from pyspark.sql import Window as W
-
     kept = responses.where((F.lower(F.coalesce("content_type", F.lit(""))).contains("json") | F.lower("url").endswith(".json")) & (F.length("body") <= size))
     kept = kept.where(F.try_parse_json("body").isNotNull())
     return kept.withColumn("__n", F.row_number().over(W.partitionBy("page_url").orderBy("pos"))).where(F.col("__n") <= most).drop("__n")

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import texts, urls
 from gleaner.functions.fixed import COUNTRY_KEYS, LOCATION_KEYS, LOCATION_TEXT, SIGNAL_KEYS, TITLE_KEYS, URL_KEYS
+from gleaner.functions.lineage import cut
 from gleaner.operators import dom
-from gleaner.operators.jobs import build_jobs, dedupe
+from gleaner.operators.jobs import dedupe, first_jobs, stated_jobs, with_countries
 
 PAGE = ["page_id", "url", "company_name", "platform", "career_page_url"]
 _PAGE_TYPES = "page_id bigint, url string, company_name string, platform string, career_page_url string"
@@ -132,11 +134,14 @@ def from_pattern(nodes: DataFrame, pattern: Column) -> DataFrame:
     return _raw(rows, PATTERN, F.col("title"), F.col("target"), _place(F.col("title")))
 
 
-_OBJECTS = _PAGE_TYPES + ", pos int, seq int, keys array<string>, title string, targets array<string>, place string, country string"
+_OBJECTS = _PAGE_TYPES + ", pos int, seq int, keys array<string>, title string, targets array<string>, place string, country string, identity string"
 
 
-def shaped_objects(payloads: DataFrame) -> DataFrame:
-    """Every object in payloads(PAGE, pos, body) with its keys and the texts of its telling fields."""
+def shaped_objects(payloads: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """Every object in payloads(PAGE, pos, body) with its keys and the texts of its telling fields.
+
+    identity is the first text of the fields `ids`. Bodies that aren't JSON have no objects.
+    """
     schema = _arrow(_OBJECTS)
 
     def target(key: str, value: object) -> str:
@@ -149,25 +154,25 @@ def shaped_objects(payloads: DataFrame) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 rows = []
-                for seq, found in enumerate(dom.objects(json.loads(row.pop("body")))):
+                for seq, found in enumerate(dom.objects(dom.decoded(row.pop("body") or ""))):
                     flat = dom.flat_keys(found)
                     title = dom.first_of(flat, TITLE_KEYS)
                     if title:
                         rows.append(row | {"seq": seq, "keys": sorted(flat), "title": title, "targets": [target(k, flat[k]) for k in URL_KEYS if k in flat],
-                                           "place": dom.first_of(flat, LOCATION_KEYS), "country": dom.first_of(flat, COUNTRY_KEYS)})
+                                           "place": dom.first_of(flat, LOCATION_KEYS), "country": dom.first_of(flat, COUNTRY_KEYS), "identity": dom.first_of(flat, ids or [])})
                 if rows:
                     yield _table(rows, schema)
 
     return payloads.select(*PAGE, "pos", "body").mapInArrow(run, _OBJECTS)
 
 
-def from_payloads(payloads: DataFrame, builder: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+def from_payloads(payloads: DataFrame, ids: list[str] | None = None, link: Column | None = None) -> DataFrame:
     """Postings of the payloads' largest group of objects with equal keys, one of which only postings have.
 
-    Of groups of one size, that with most such keys counts, then the one seen first. builder gives the URL of
-    objects that name none.
+    Of groups of one size, that with most such keys counts, then the one seen first. link is the URL of objects
+    that name none, by their column identity (see shaped_objects).
     """
-    rows = shaped_objects(payloads).where(texts.plausible_title(F.col("title")))
+    rows = shaped_objects(payloads, ids).where(texts.plausible_title(F.col("title")))
     signals = F.size(F.array_intersect("keys", F.array(*map(F.lit, sorted(SIGNAL_KEYS)))))
     rows = rows.withColumn("shape", F.array_join("keys", "\x1f")).withColumn("signals", signals).where("signals > 0")
     group = W.partitionBy("page_id", "pos", "shape")
@@ -175,8 +180,8 @@ def from_payloads(payloads: DataFrame, builder: Callable[[DataFrame], Column] |
     best = F.max(F.struct("n", "signals", -F.col("first"))).over(W.partitionBy("page_id", "pos"))
     rows = rows.withColumn("best", best).where("best.col3 = -first")
     found = F.filter(F.transform("targets", lambda t: urls.absolute(F.col("url"), t)), lambda t: t != "")
-    own = F.coalesce(F.try_element_at(found, F.lit(1)), builder(rows) if builder else F.lit(""))
-    rows = rows.withColumn("target", own).withColumn("place_in_order", F.struct("pos", "seq"))
+    own = F.coalesce(F.try_element_at(found, F.lit(1)), link if link is not None else F.lit(""))
+    rows = rows.withColumn("target", own)
     return _raw(rows.withColumn("order", F.col("pos").cast("bigint") * F.lit(1 << 32) + F.col("seq")), STATE, F.col("title"), F.col("target"), F.col("place"), F.col("country"), "order").withColumn("payload", F.shiftright("pos", 32))
 
 
@@ -187,19 +192,25 @@ def from_state(nodes: DataFrame) -> DataFrame:
 
 
 def chain(nodes: DataFrame, pattern: Column | None = None, state: bool = True) -> DataFrame:
-    """(page_id, rank, pos, posting fields): postings of each page by the first way of reading it that yields any."""
+    """(page_id, rank, pos, posting fields): postings of each page by the first way of reading it that yields any.
+
+    The nodes are laid down once, so that no page is parsed again for each way.
+    """
+    nodes = cut(nodes)
     ways = [from_linked_data(nodes), from_microdata(nodes), from_cards(nodes), from_apply_links(nodes)]
     if pattern is not None:
         ways.insert(0, from_pattern(nodes, pattern))
     if state:
         ways.append(from_state(nodes))
-    rows = ways[0]
-    for way in ways[1:]:
-        rows = rows.unionByName(way)
+    return finished(reduce(DataFrame.unionByName, ways))
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """(page_id, rank, pos, posting fields): postings of rows read in any ways; of each page those of the first way that yields any."""
     board = F.when(F.col("career_page_url") != "", F.col("career_page_url")).otherwise(F.col("page_url"))
-    jobs = build_jobs(rows.withColumn("career_page_url", board), "page_id", "rank", "pos")
+    jobs = stated_jobs(rows.withColumn("career_page_url", board), "page_id", "rank", "pos")
     jobs = jobs.withColumn("least", F.min("rank").over(W.partitionBy("page_id"))).where("rank = least").drop("least")
-    return dedupe(jobs, ["page_id", "rank", "pos"], ["page_id"])
+    return with_countries(dedupe(jobs, ["page_id", "rank", "pos"], ["page_id"]))
 
 
 def extract_jobs(pages: DataFrame, state: bool = True) -> DataFrame:
@@ -207,26 +218,26 @@ def extract_jobs(pages: DataFrame, state: bool = True) -> DataFrame:
     return chain(parsed(pages), None, state)
 
 
-def vendor_rows(pages: DataFrame, rule: dict) -> DataFrame:
-    """Postings by a vendor's own row layout (a rule of vendors.ROW_RULES), else by any page's ways."""
+def vendor_rows(pages: DataFrame, rules: dict[str, dict]) -> DataFrame:
+    """Postings by the row layout of a page's platform (platform -> rule, as vendors.ROW_RULES), else by any page's ways."""
     types = _PAGE_TYPES + ", pos int, href string, title string, place string"
     schema = _arrow(types)
-    compiled = {k: rule.get(k, "") for k in ("href", "row_class", "place_class", "title_class")} | {"row_tags": rule.get("row_tags", []), "title_tags": rule.get("title_tags", [])}
-    re.compile(compiled["href"])
+    names = ("href", "row_class", "place_class", "title_class")
+    layouts = {k: {n: r.get(n, "") for n in names} | {"row_tags": r.get("row_tags", []), "title_tags": r.get("title_tags", [])} for k, r in rules.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for page in b.to_pylist():
-                rows = [page | x for x in dom.rows(dom.Tree(page.pop("html") or ""), **compiled)]
+                layout = layouts.get(page["platform"])
+                rows = [page | x for x in dom.rows(dom.Tree(page.pop("html") or ""), **layout)] if layout else []
                 if rows:
                     yield _table(rows, schema)
 
     cols = [F.col("page_id").cast("bigint"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in PAGE[1:]], F.col("html").cast("string")]
-    rows = pages.select(*cols).mapInArrow(run, types).withColumn("location", F.when(F.col("place") == F.col("title"), "").otherwise(F.col("place")))
+    rows = cut(pages.select(*cols).mapInArrow(run, types)).withColumn("location", F.when(F.col("place") == F.col("title"), "").otherwise(F.col("place")))
     rows = rows.withColumn("target", urls.absolute(F.col("url"), F.col("href"))).drop("url")
     rows = rows.select(*[c for c in PAGE if c != "url"], F.lit(PATTERN).alias("rank"), "pos", "title", F.col("target").alias("url"), "location", F.lit("").alias("country"))
-    own = dedupe(build_jobs(rows, "page_id", "rank", "pos"), ["page_id", "rank", "pos"], ["page_id"])
-    # pages that the layout reads aren't parsed a second time
-    rest = pages.join(own.select("page_id").distinct(), "page_id", "left_anti")
-    other = extract_jobs(rest, state=False).withColumn("pos", F.col("pos").cast("int"))
-    return own.unionByName(other)
+    # pages that a layout reads aren't parsed a second time
+    read = rows.where("trim(title) <> '' and url <> ''").select("page_id").distinct()
+    other = extract_jobs(pages.join(read, "page_id", "left_anti"), state=False).withColumn("pos", F.col("pos").cast("int"))
+    return first_jobs(rows, ["page_id", "rank", "pos"], ["page_id"]).unionByName(other)

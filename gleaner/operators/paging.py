@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut
+from gleaner.functions.lineage import cut
+from gleaner.operators.links import page_links, pager_links
 
 
 def pages_with_news(found: DataFrame, most: int = 50) -> DataFrame:
@@ -35,27 +38,33 @@ def postings_of_walk(found: DataFrame, most: int = 50) -> DataFrame:
 def next_chain(edges: DataFrame, starts: DataFrame, most: int = 25) -> DataFrame:
     """(board, step, url): pages reached from starts(board, url) by edges(board, url, next_url, place).
 
-    From each page the first link, by place, to a page not yet visited is followed, up to `most` pages. A
-    recursive query carries what a board has visited; that is at most `most` URLs.
+    From each page the first link, by place, to a page not yet visited is followed, up to `most` pages. All
+    boards take a step at a time: a step is one join of the boards still under way, each with the at most
+    `most` URLs that it has visited, and is written to the checkpoint folder.
     """
-    spark = edges.sparkSession
     first = edges.groupBy("board", "url", "next_url").agg(F.min("place").alias("place"))
-    # laid down once, else each step lists all links again; of `most` targets one at least isn't visited yet
+    # of `most` targets one at least isn't visited yet
     targets = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "next_url"))), lambda x: x["next_url"]), 1, most)
     listed = cut(first.groupBy("board", "url").agg(targets.alias("targets")))
-    listed.createOrReplaceTempView("chain_edges")
-    starts.select("board", "url").createOrReplaceTempView("chain_starts")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(board, step, url, visited) AS (
-            SELECT board, 1, url, array(url) FROM chain_starts
-            UNION ALL
-            SELECT board, step, url, array_append(visited, url) FROM (
-                SELECT w.board, w.step + 1 AS step, w.visited, try_element_at(filter(e.targets, t -> NOT array_contains(w.visited, t)), 1) AS url
-                FROM walk w JOIN chain_edges e ON w.board = e.board AND w.url = e.url WHERE w.step < {int(most)}
-            ) WHERE url IS NOT NULL
-        )
-        SELECT board, CAST(step AS BIGINT) AS step, url FROM walk
-    """)
+    now = cut(starts.select("board", "url").distinct().withColumn("visited", F.array("url")))
+    steps = [now]
+    for _ in range(most - 1):
+        fresh = F.try_element_at(F.filter("targets", lambda t: ~F.array_contains("visited", t)), F.lit(1))
+        found = now.join(listed, ["board", "url"]).select("board", fresh.alias("url"), "visited").where("url is not null")
+        now = cut(found.withColumn("visited", F.array_append("visited", F.col("url"))))
+        if now.isEmpty():
+            break
+        steps.append(now)
+    walked = [x.select("board", F.lit(i).cast("bigint").alias("step"), "url") for i, x in enumerate(steps, 1)]
+    return reduce(DataFrame.unionByName, walked)
+
+
+def page_walk(pages: DataFrame, start: str, most: int = 25) -> DataFrame:
+    """(board, step, url): the walk along the pagers of pages(board, page_id, url, html), from start, in which {k} is the board."""
+    boards = pages.select("page_id", "board", "url")
+    edges = pager_links(page_links(pages.select("page_id", "url", "html"))).join(boards.select("page_id", "board"), "page_id")
+    starts = boards.select("board").distinct().withColumn("url", F.replace(F.lit(start), F.lit("{k}"), F.col("board").cast("string")))
+    return next_chain(edges.select("board", F.col("base").alias("url"), F.col("url").alias("next_url"), "place"), starts, most)
 
 
 def incomplete_boards(found: DataFrame) -> DataFrame:

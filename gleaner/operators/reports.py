@@ -27,6 +27,11 @@ def coverage(results: DataFrame) -> DataFrame:
     return rows.withColumn("failures", F.col("unsupported") + F.col("technical")).withColumn("success_rate", _share(F.col("produced"), F.col("companies"))).withColumn("seconds", F.round("seconds", 1))
 
 
+def coverage_order(cover: DataFrame) -> DataFrame:
+    """coverage with its place in the report: most postings first, then by name. It has a row for each platform only."""
+    return cover.withColumn("place", F.row_number().over(W.orderBy(F.desc("jobs"), "platform")).cast("bigint"))
+
+
 def outcome_counts(spark: SparkSession, results: DataFrame) -> DataFrame:
     """(outcome, companies) with all outcomes, also those that no company has."""
     known = spark.createDataFrame([(o,) for o in OUTCOMES], "outcome string")

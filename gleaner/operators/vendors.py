@@ -1,20 +1,21 @@
 """Vendors as data: how each one's board is named by its URL, and where its payloads and pages keep postings.
 
 An entry of API_RULES reads a JSON body: `lists` are the paths that may hold the postings, in order; the other
-fields are paths within a posting, of which the first with text counts, or ("join", separator, paths). A URL is
-one of `urls`, else `template` with the board's parts and the posting's id.
+fields are paths within a posting, of which the first with text counts, or ("join", separator, paths), or
+("said", paths) for values of any shape. A URL is one of `urls`, else `template` with the board's parts and the
+posting's id; `board` is the board's own URL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import texts, urls
-from gleaner.operators.jobs import build_jobs, dedupe
-from gleaner.operators.markup import chain, parsed
+from gleaner.functions.binding import bound
+from gleaner.functions.fixed import ADDRESS_PARTS, TEXT_KEYS
+from gleaner.operators.jobs import first_jobs
+from gleaner.operators.markup import chain, from_payloads, parsed
 
 # ---- fixed values: patterns of posting URLs on hosted boards (label, hosts, pattern, how its pages follow) ----
 HOSTED_RULES = [
@@ -58,48 +59,47 @@ ROW_RULES = {
 
 # ---- fixed values: where the vendors' interfaces keep their postings ----
 API_RULES = {
-    "Workday": {"lists": ["$.jobPostings"], "title": ["title"], "urls": [], "id": ["externalPath"], "template": "https://{host}/{language}/{site}/{id}", "location": ["locationsText"]},
-    "Greenhouse": {"lists": ["$.jobs"], "title": ["title"], "urls": ["absolute_url"], "location": ["location.name", "location", ("each", ", ", "offices", "name")]},
-    "Lever": {"lists": ["$"], "title": ["text"], "urls": ["hostedUrl", "applyUrl"], "location": ["categories.location", "workplaceType"]},
-    "Ashby": {"lists": ["$.jobs"], "title": ["title"], "urls": ["jobUrl", "applyUrl"], "location": [("with", " | ", "location", "secondaryLocations", "location")]},
-    "SmartRecruiters": {"lists": ["$.content"], "title": ["name"], "urls": [], "id": ["id"], "template": "https://jobs.smartrecruiters.com/{company}/{id}",
+    "Workday": {"board": "https://{host}/{language}/{site}", "lists": ["$.jobPostings"], "title": ["title"], "urls": [], "id": ["externalPath"], "template": "https://{host}/{language}/{site}/{id}", "location": ["locationsText"]},
+    "Greenhouse": {"board": "https://boards.greenhouse.io/{token}", "lists": ["$.jobs"], "title": ["title"], "urls": ["absolute_url"], "location": ["location.name", "location", ("each", ", ", "offices", "name")]},
+    "Lever": {"board": "https://jobs.lever.co/{slug}", "lists": ["$"], "title": ["text"], "urls": ["hostedUrl", "applyUrl"], "location": ["categories.location", "workplaceType"]},
+    "Ashby": {"board": "https://jobs.ashbyhq.com/{slug}", "lists": ["$.jobs"], "title": ["title"], "urls": ["jobUrl", "applyUrl"], "location": [("with", " | ", "location", "secondaryLocations", "location")]},
+    "SmartRecruiters": {"board": "https://jobs.smartrecruiters.com/{company}", "lists": ["$.content"], "title": ["name"], "urls": [], "id": ["id"], "template": "https://jobs.smartrecruiters.com/{company}/{id}",
                         "location": [("join", ", ", ["location.city", "location.region", "upper:location.country"])], "country": ["code:location.country"]},
-    "Recruitee": {"lists": ["$.offers"], "title": ["title"], "urls": ["careers_url", "careers_apply_url", "url"], "location": ["location", ("join", ", ", ["city", "state_name|state_code", "country"])]},
-    "Workable": {"lists": ["$.jobs", "$.results"], "title": ["title"], "urls": ["url", "application_url"], "id": ["shortcode"], "template": "https://apply.workable.com/{account}/j/{id}",
+    "Recruitee": {"board": "https://{slug}.recruitee.com/", "lists": ["$.offers"], "title": ["title"], "urls": ["careers_url", "careers_apply_url", "url"], "location": ["location", ("join", ", ", ["city", "state_name|state_code", "country"])]},
+    "Workable": {"board": "https://apply.workable.com/{account}", "lists": ["$.jobs", "$.results"], "title": ["title"], "urls": ["url", "application_url"], "id": ["shortcode"], "template": "https://apply.workable.com/{account}/j/{id}",
                  "location": [("join", ", ", ["city", "state", "country"]), ("join", ", ", ["locations[0].city", "locations[0].region", "locations[0].country"])]},
-    "BambooHR": {"lists": ["$.result"], "title": ["jobOpeningName", "title"], "urls": [], "id": ["id"], "template": "https://{tenant}.bamboohr.com/careers/{id}",
+    "BambooHR": {"board": "https://{tenant}.bamboohr.com/careers", "lists": ["$.result"], "title": ["jobOpeningName", "title"], "urls": [], "id": ["id"], "template": "https://{tenant}.bamboohr.com/careers/{id}",
                  "location": [("join", ", ", ["location.city", "location.state", "location.country"]), "location"], "country": ["name:location.country"]},
-    "UltiPro": {"lists": ["$.opportunities"], "title": ["Title"], "urls": [], "id": ["Id"], "template": "https://{host}/{tenant}/JobBoard/{board}/OpportunityDetail?opportunityId={id}",
+    "UltiPro": {"board": "https://{host}/{tenant}/JobBoard/{board}", "lists": ["$.opportunities"], "title": ["Title"], "urls": [], "id": ["Id"], "template": "https://{host}/{tenant}/JobBoard/{board}/OpportunityDetail?opportunityId={id}",
                 "location": ["Locations[0].LocalizedDescription", ("join", ", ", ["Locations[0].Address.City", "Locations[0].Address.State.Code|Locations[0].Address.State.Name", "Locations[0].Address.Country.Name"])], "more": "Locations"},
-    "ADP": {"lists": ["$.jobRequisitions"], "title": ["requisitionTitle"], "urls": [], "id": ["itemID", "itemId"],
+    "ADP": {"board": "https://workforcenow.adp.com/mascsr/default/mdf/recruitment/recruitment.html?cid={cid}{cc}&lang=en_US", "lists": ["$.jobRequisitions"], "title": ["requisitionTitle"], "urls": [], "id": ["itemID", "itemId"],
             "template": "https://workforcenow.adp.com/mascsr/default/mdf/recruitment/recruitment.html?cid={cid}{cc}&jobId={id}&lang=en_US",
-            "location": [("join", ", ", ["requisitionLocations[0].address.cityName", "requisitionLocations[0].address.countrySubdivisionLevel1.codeValue", "requisitionLocations[0].address.countryCode"]),
-                         "requisitionLocations[0].nameCode.shortName"], "more": "requisitionLocations"},
-    "Oracle": {"lists": ["$.items[0].requisitionList"], "title": ["Title"], "urls": [], "id": ["Id"], "template": "https://{host}/hcmUI/CandidateExperience/en/sites/{site}/job/{id}",
+            "location": [("counted", "requisitionLocations", [("join", ", ", ["address.cityName|cityName", "address.countrySubdivisionLevel1.codeValue|countrySubdivisionLevel1.codeValue", "address.countryCode|countryCode"]), "nameCode.shortName"])]},
+    "Oracle": {"board": "https://{host}/hcmUI/CandidateExperience/en/sites/{site}/requisitions", "lists": ["$.items[0].requisitionList"], "title": ["Title"], "urls": [], "id": ["Id"], "template": "https://{host}/hcmUI/CandidateExperience/en/sites/{site}/job/{id}",
                "location": ["PrimaryLocation", "Location"], "also": "secondaryLocations"},
-    "Taleo": {"lists": ["$.requisitionList"], "title": ["jobTitle", "column[0]"], "urls": [], "id": ["contestNo", "jobId"], "template": "https://{host}/careersection/{section}/jobdetail.ftl?job={id}", "location": [("place", "column")]},
-    "BreezyHR": {"lists": ["$", "$.positions", "$.jobs", "$.data"], "title": ["name", "title"], "urls": ["url"], "id": ["id"], "template": "https://{tenant}.breezy.hr/p/{id}",
-                 "location": ["location.name", ("join", ", ", ["location.city", "location.state", "location.country.name|location.country"]), "location"], "country": ["location.country.name", "location.country"]},
-    "Rippling": {"lists": ["$", "$.jobs", "$.results", "$.data"], "title": ["name", "title"], "urls": ["url"], "id": ["uuid", "id"], "template": "https://ats.rippling.com/{slug}/jobs/{id}",
-                 "location": ["workLocation.label", "workLocation.name", "workLocation", "location.label", "location.name", "location", "locations[0].name", "locations[0]"]},
-    "Pinpoint": {"lists": ["$", "$.data", "$.postings", "$.jobs"], "title": ["title", "name"], "urls": ["url", "public_url"],
+    "Taleo": {"board": "https://{host}/careersection/{section}/jobsearch.ftl", "lists": ["$.requisitionList"], "title": ["jobTitle", "column[0]"], "urls": [], "id": ["contestNo", "jobId"], "template": "https://{host}/careersection/{section}/jobdetail.ftl?job={id}", "location": [("place", "column")]},
+    "BreezyHR": {"board": "https://{tenant}.breezy.hr", "lists": ["$", "$.positions", "$.jobs", "$.data"], "title": ["name", "title"], "urls": ["url"], "id": ["id"], "template": "https://{tenant}.breezy.hr/p/{id}",
+                 "location": ["location.name", ("join", ", ", ["location.city", "location.state", "location.country.name|location.country"]), ("said", ["location"])], "country": ["location.country.name", "location.country"]},
+    "Rippling": {"board": "https://ats.rippling.com/{slug}/jobs", "lists": ["$", "$.jobs", "$.results", "$.data"], "title": ["name", "title"], "urls": ["url"], "id": ["uuid", "id"], "template": "https://ats.rippling.com/{slug}/jobs/{id}",
+                 "location": [("said", ["workLocation", "location", "locations", "workLocations"])]},
+    "Pinpoint": {"board": "https://{tenant}.pinpointhq.com", "lists": ["$", "$.data", "$.postings", "$.jobs"], "title": ["title", "name"], "urls": ["url", "public_url"],
                  "location": ["location.name", ("join", ", ", ["location.city", "location.region", "location.country"]), "location", "location_name"], "country": ["location.country", "country"]},
-    "Comeet": {"lists": ["$", "$.positions", "$.data"], "title": ["name", "title"], "urls": ["url_active_page", "url_comeet_hosted_page"],
+    "Comeet": {"board": "https://www.comeet.co/jobs/{uid}", "lists": ["$", "$.positions", "$.data"], "title": ["name", "title"], "urls": ["url_active_page", "url_comeet_hosted_page"],
                "location": ["location.name", ("join", ", ", ["location.city", "location.state", "location.country"]), "location"], "country": ["location.country"]},
-    "Manatal": {"lists": ["$.results"], "title": ["position_name", "title"], "urls": ["url", "job_url", "public_url", "career_page_url"], "http": True, "id": ["hash", "uuid", "id"],
-                "template": "https://{slug}.manatal.com/job/{id}", "location": ["location.name", "location"], "country": ["country.name", "country"]},
-    "Eightfold": {"lists": ["$.positions"], "title": ["name", "title"], "urls": ["canonicalPositionUrl"], "id": ["id", "pid"], "template": "{origin}/careers?pid={id}",
-                  "location": ["location.name", "location", "locations[0]", "work_location", "displayLocation"]},
-    "Phenom": {"lists": ["$.refineSearch.data.jobs", "$.eagerLoadRefineSearch.data.jobs", "$.data.jobs", "$.jobs"], "title": ["title", "jobTitle"], "urls": ["jobSeoUrl", "applyUrl", "jobUrl"], "relative": True,
-               "location": ["cityStateCountry", "cityState", "location", "locations[0]", "city"]},
-    "Cornerstone": {"lists": ["$.data.requisitions", "$.data.jobs", "$.data.results", "$.requisitions", "$.jobs", "$.results"], "title": ["displayJobTitle", "jobTitle", "title"], "urls": [], "id": ["requisitionId", "id"],
-                    "template": "{origin}/ux/ats/careersite/{site}/job/{id}", "location": [("list", ", ", "locations"), "location", "displayLocation", "locationName", "city"]},
-    "UKG Ready": {"lists": ["$.job_requisitions"], "title": ["job_title"], "urls": [], "id": ["id"], "template": "{origin}/ta/{company}.careers?ApplyToJob={id}",
+    "Manatal": {"board": "https://{slug}.manatal.com", "lists": ["$.results"], "title": ["position_name", "title"], "urls": ["url", "job_url", "public_url", "career_page_url"], "http": True, "id": ["hash", "uuid", "id"],
+                "template": "https://{slug}.manatal.com/job/{id}", "location": [("said", ["location"])], "country": [("said", ["country"])]},
+    "Eightfold": {"board": "{origin}/careers", "lists": ["$.positions"], "title": ["name", "title"], "urls": ["canonicalPositionUrl"], "id": ["id", "pid"], "template": "{origin}/careers?pid={id}",
+                  "location": [("said", ["location", "locations", "work_location", "displayLocation"])]},
+    "Phenom": {"board": "{url}", "lists": ["$.refineSearch.data.jobs", "$.eagerLoadRefineSearch.data.jobs", "$.data.jobs", "$.jobs"], "title": ["title", "jobTitle"], "urls": ["jobSeoUrl", "applyUrl", "jobUrl"], "relative": True,
+               "location": [("said", ["cityStateCountry", "cityState", "location", "locations", "city"])]},
+    "Cornerstone": {"board": "{origin}/ux/ats/careersite/{site}/home", "lists": ["$.data.requisitions", "$.data.jobs", "$.data.results", "$.requisitions", "$.jobs", "$.results"], "title": ["displayJobTitle", "jobTitle", "title"], "urls": [], "id": ["requisitionId", "id"],
+                    "template": "{origin}/ux/ats/careersite/{site}/job/{id}", "location": [("said", ["locations", "location", "displayLocation", "locationName", "city"])]},
+    "UKG Ready": {"board": "{origin}/ta/{company}.careers", "lists": ["$.job_requisitions"], "title": ["job_title"], "urls": [], "id": ["id"], "template": "{origin}/ta/{company}.careers?ApplyToJob={id}",
                   "location": [("join", ", ", ["location.city", "location.state", "location.country"]), "location"]},
-    "Asure": {"lists": ["$.job_requisitions"], "title": ["job_title"], "urls": [], "id": ["id"], "template": "{origin}/ta/{company}.careers?ApplyToJob={id}",
+    "Asure": {"board": "{origin}/ta/{company}.careers", "lists": ["$.job_requisitions"], "title": ["job_title"], "urls": [], "id": ["id"], "template": "{origin}/ta/{company}.careers?ApplyToJob={id}",
               "location": [("join", ", ", ["location.city", "location.state", "location.country"]), "location"]},
-    "Personio": {"xml": True, "title": ["name"], "urls": [], "id": ["id"], "template": "{origin}/job/{id}", "location": ["office", "location", "city", "subcompany"]},
-    "ADP Recruiting Management": {"shape": True, "template": "{origin}/{slug}/cx/job-details?reqId={id}", "id": ["reqid", "clientrequisitionid", "id"]},
+    "Personio": {"board": "{origin}", "xml": True, "title": ["name"], "urls": [], "id": ["id"], "template": "{origin}/job/{id}", "location": ["office", "location", "city", "subcompany"]},
+    "ADP Recruiting Management": {"board": "{url}", "shape": True, "template": "{origin}/{slug}/cx/job-details?reqId={id}", "id": ["reqid", "clientrequisitionid", "id"]},
 }
 
 
@@ -194,6 +194,34 @@ def _members(posting: Column, path: str) -> Column:
     return F.coalesce(F.from_json(F.get_json_object(posting, f"$.{path}"), "array<string>"), F.array().cast("array<string>"))
 
 
+def _first_text(values: Column) -> Column:
+    return F.try_element_at(F.filter(values, lambda x: x.isNotNull()), F.lit(1))
+
+
+def _plain(value: Column) -> Column:
+    text = texts.clean(value)
+    return F.when(~text.rlike(r"^[\[{]") & ~text.isin("", "true", "false", "null"), text)
+
+
+def _named(value: Column) -> Column:
+    """The text of a JSON value that is an object or a plain value: an address by its parts, else what names it."""
+
+    def of(m: Column) -> Column:
+        inner = lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(_plain(x))
+        first = lambda names: _first_text(F.transform(F.array(*map(F.lit, names)), lambda n: inner(F.try_element_at(m, n))))
+        parts = F.filter(F.array(*map(first, ADDRESS_PARTS)), lambda x: x.isNotNull())
+        return F.coalesce(F.nullif(F.array_join(parts, ", "), F.lit("")), first(TEXT_KEYS))
+
+    return F.coalesce(_plain(value), F.when(value.startswith("{"), bound(F.from_json(value, "map<string,string>"), of)))
+
+
+def _said(value: Column) -> Column:
+    """The text of any JSON value: of a list, its first six different members; objects are read two levels deep."""
+    members = F.when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(value))
+    told = F.array_distinct(F.filter(F.transform(members, _named), lambda x: x.isNotNull()))
+    return F.nullif(F.array_join(F.slice(told, 1, 6), ", "), F.lit(""))
+
+
 def _field(posting: Column, rule: str | tuple) -> Column:
     if isinstance(rule, str):
         return _text(posting, rule)
@@ -204,8 +232,11 @@ def _field(posting: Column, rule: str | tuple) -> Column:
     if kind == "each":
         names = F.transform(_members(posting, rule[2]), lambda m: _text(m, rule[3]))
         return F.nullif(F.array_join(F.filter(names, lambda x: x.isNotNull()), rule[1]), F.lit(""))
-    if kind == "list":
-        return F.nullif(F.array_join(F.slice(F.array_distinct(F.filter(_members(posting, rule[2]), lambda x: x != "")), 1, 6), rule[1]), F.lit(""))
+    if kind == "said":
+        return _first_text(F.transform(F.array(*[F.get_json_object(posting, f"$.{p}") for p in rule[1]]), _said))
+    if kind == "counted":
+        told = F.filter(F.transform(_members(posting, rule[1]), lambda m: F.coalesce(*[_field(m, r) for r in rule[2]])), lambda x: x.isNotNull())
+        return bound(told, lambda x: F.when(F.size(x) > 1, F.concat(F.get(x, F.lit(0)), F.lit(" (+"), (F.size(x) - 1).cast("string"), F.lit(" more)"))).otherwise(F.get(x, F.lit(0))))
     if kind == "with":
         more = F.transform(_members(posting, rule[3]), lambda m: F.coalesce(_text(m, rule[4]), F.when(~m.startswith("{"), F.trim(m))))
         return F.nullif(F.array_join(F.array_distinct(F.filter(F.concat(F.array(_text(posting, rule[2])), more), lambda x: x.isNotNull() & (x != ""))), rule[1]), F.lit(""))
@@ -218,27 +249,37 @@ def _first(posting: Column, rules: list) -> Column:
     return F.coalesce(*[_field(posting, r) for r in rules], F.lit("")) if rules else F.lit("")
 
 
-def _filled(template: str, parts: dict[str, Column], identity: Column) -> Column:
+def _filled(template: str, parts: dict[str, Column], identity: Column | None = None) -> Column:
+    """A template with the board's parts and the posting's id; null for an id without text."""
     pieces: list[Column] = []
     for chunk in template.replace("}", "{").split("{"):
-        pieces.append(identity if chunk == "id" else parts[chunk] if chunk in parts else F.lit(chunk))
-    return F.when(identity != "", F.concat(*pieces))
+        pieces.append(identity if chunk == "id" and identity is not None else parts[chunk] if chunk in parts else F.lit(chunk))
+    return F.concat(*pieces) if identity is None else F.when(identity != "", F.concat(*pieces))
+
+
+_FEED = "position array<struct<id string, name string, office string, location string, city string, subcompany string>>"
 
 
 def api_postings(payloads: DataFrame, label: str) -> DataFrame:
     """Postings of captured bodies(board_url, company_name, page_no, body) of one vendor, of repeats the first.
 
-    Bodies that aren't JSON, or hold no list where the vendor keeps it, and boards whose URL doesn't name the
-    vendor's parts, yield nothing: see api_errors.
+    Bodies that aren't JSON (or XML, for a feed), or hold no list where the vendor keeps it, and boards whose URL
+    doesn't name the vendor's parts, yield nothing: see api_errors.
     """
     rule = API_RULES[label]
-    parts = board_parts(F.col("board_url"))[label]
+    parts = board_parts(F.col("board_url"))[label] | {"url": F.trim("board_url")}
+    board = _filled(rule["board"], parts).alias("career_page_url")
+    usable = F.lit(True)
+    for part in parts.values():
+        usable = usable & part.isNotNull()
+    named = payloads.where(usable)
+    if rule.get("shape"):
+        return first_jobs(_by_shape(named, label, rule, parts, board), ["page_no", "seq"], ["career_page_url"])
     if rule.get("xml"):
-        bodies = F.from_xml("body", "position array<struct<id string, name string, office string, location string, city string, subcompany string>>", {"mode": "PERMISSIVE"})["position"]
-        rows = payloads.select("company_name", "board_url", "page_no", F.posexplode(F.transform(bodies, F.to_json)).alias("seq", "posting"))
+        found = F.transform(F.from_xml(F.col("body"), _FEED, {"mode": "PERMISSIVE"})["position"], lambda x: F.to_json(x))
     else:
         found = F.coalesce(*[F.from_json(F.when(F.get_json_object("body", p).startswith("["), F.get_json_object("body", p)), "array<string>") for p in rule["lists"]])
-        rows = payloads.select("company_name", "board_url", "page_no", F.posexplode(found).alias("seq", "posting"))
+    rows = named.select("company_name", "board_url", "page_no", F.posexplode(found).alias("seq", "posting"))
     p = F.col("posting")
     own = F.coalesce(*[_text(p, x) for x in rule["urls"]]) if rule["urls"] else F.lit(None).cast("string")
     if rule.get("http"):
@@ -246,19 +287,24 @@ def api_postings(payloads: DataFrame, label: str) -> DataFrame:
     if rule.get("relative"):
         own = urls.absolute(parts["origin"], own)
     if "template" in rule:
-        own = F.coalesce(own, _filled(rule["template"], parts, _first(p, rule["id"])))
+        own = F.coalesce(own, _filled(rule["template"], parts, F.regexp_replace(_first(p, rule["id"]), "^/+", "")))
     place = _first(p, rule["location"])
     for name, less in (("more", 1), ("also", 0)):
         if name in rule:
             others = F.size(_members(p, rule[name])) - less
             place = F.when((others > 0) & (place != ""), F.concat(place, F.lit(" (+"), others.cast("string"), F.lit(" more)"))).otherwise(place)
-    usable = F.lit(True)
-    for part in parts.values():
-        usable = usable & part.isNotNull()
-    raw = rows.where(usable).select(
-        "page_no", "seq", "company_name", F.col("board_url").alias("career_page_url"), F.lit(label).alias("platform"), _first(p, rule["title"]).alias("title"),
+    raw = rows.select(
+        "page_no", "seq", "company_name", board, F.lit(label).alias("platform"), _first(p, rule["title"]).alias("title"),
         F.coalesce(own, F.lit("")).alias("url"), place.alias("location"), _first(p, rule.get("country", [])).alias("country"))
-    return dedupe(build_jobs(raw, "page_no", "seq"), ["page_no", "seq"], ["career_page_url"])
+    return first_jobs(raw, ["page_no", "seq"], ["career_page_url"])
+
+
+def _by_shape(named: DataFrame, label: str, rule: dict, parts: dict[str, Column], board: Column) -> DataFrame:
+    """Rows for build_jobs of bodies whose postings are told by the keys that their objects share."""
+    pages = named.select(F.col("page_no").alias("page_id"), F.col("board_url").alias("url"), "company_name", F.lit(label).alias("platform"), board, F.lit(0).alias("pos"), "body")
+    link = _filled(rule["template"], {k: F.when(F.lit(True), v) for k, v in board_parts(F.col("url"))[label].items()}, F.col("identity"))
+    found = from_payloads(pages, rule["id"], F.coalesce(link, F.lit("")))
+    return found.select(F.col("page_id").alias("page_no"), F.col("pos").alias("seq"), "company_name", "career_page_url", "platform", "title", "url", "location", "country")
 
 
 def api_errors(payloads: DataFrame, label: str) -> DataFrame:
@@ -285,12 +331,12 @@ def hosted_postings(pages: DataFrame) -> DataFrame:
     return chain(parsed(pages), pattern)
 
 
-def identifier_builder(label: str) -> Callable[[DataFrame], Column]:
-    """URLs for objects of captured payloads that name none, from an id among their keys (by a vendor's template)."""
-    rule = API_RULES[label]
-
-    def build(rows: DataFrame) -> Column:
-        parts = board_parts(F.col("career_page_url"))[label]
-        return F.coalesce(_filled(rule["template"], parts, F.coalesce(F.col("identity"), F.lit(""))), F.lit("")) if "identity" in rows.columns else F.lit("")
-
-    return build
+def eightfold_domain(url: Column, markup: Column) -> Column:
+    """The tenant that an Eightfold board serves: named by its URL, else by its page, else guessed from its host; empty if nothing tells."""
+    u = F.when(F.trim(url).contains("://"), F.trim(url)).otherwise(F.concat(F.lit("https://"), F.trim(url)))
+    in_page = F.lower(F.regexp_extract(F.coalesce(markup, F.lit("")), r"(?i)[\"']domain[\"']\s*:\s*[\"']([a-z0-9][a-z0-9.\-]*\.[a-z]{2,})[\"']", 1))
+    common = ["www", "careers", "jobs", "app", "api"]
+    guessed = bound(urls.host_of(u), lambda host: F.when(
+        host.endswith("eightfold.ai"), F.when(F.substring_index(host, ".", 1).isin(common), "").otherwise(F.concat(F.substring_index(host, ".", 1), F.lit(".com")))).otherwise(
+        F.regexp_extract(F.regexp_replace(host, "^(?:(?:" + "|".join(common) + ")[.])+", ""), r"^.*[.].*$", 0)))
+    return F.coalesce(F.nullif(F.lower(urls.parameter(u, "domain")), F.lit("")), F.nullif(in_page, F.lit("")), guessed)

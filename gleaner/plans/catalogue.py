@@ -47,6 +47,10 @@ def _jobs(s: SparkSession, sf: str) -> DataFrame:
     return jobs.build_jobs(derived(s, sf, d.POSTINGS), "pos", "board")
 
 
+def _first_jobs(s: SparkSession, sf: str, scope: list[str] | None = None) -> DataFrame:
+    return jobs.first_jobs(derived(s, sf, d.POSTINGS), ["pos"], scope, ["pos", "board"])
+
+
 C, R = sql(d.COMPANIES), sql(d.RESULTS)
 J = o.jobs(sql(d.POSTINGS), "pos, board")
 JOB_COLUMNS = "company_name, job_title, job_url, location, country, career_page_url, platform"
@@ -141,20 +145,20 @@ def job_projection(s: SparkSession, sf: str) -> DataFrame:
 
 @query("job_export_view", "SELECT " + ", ".join(f'{c} AS "{h}"' for c, h in fixed.EXPORT_COLUMNS.items()) + f" FROM {DEDUPED}")
 def job_export_view(s: SparkSession, sf: str) -> DataFrame:
-    return jobs.export_view(jobs.dedupe(_jobs(s, sf), ["pos"]))
+    return jobs.export_view(_first_jobs(s, sf))
 
 
 @query("dedupe_first_wins", f"SELECT pos, board, {JOB_COLUMNS} FROM {o.first_of_each(J, 'board, lower(company_name), lower(job_url)', 'pos')}")
 def dedupe_first_wins(s: SparkSession, sf: str) -> DataFrame:
-    return jobs.dedupe(_jobs(s, sf), ["pos"], ["board"])
+    return _first_jobs(s, sf, ["board"])
 
 
 @query("dedupe_cross_company", f"SELECT pos, board, {JOB_COLUMNS} FROM {DEDUPED}")
 def dedupe_cross_company(s: SparkSession, sf: str) -> DataFrame:
-    return jobs.dedupe(_jobs(s, sf), ["pos"])
+    return _first_jobs(s, sf)
 
 
-_SLICES = f"(SELECT 1 AS part, * FROM {J} WHERE pos % 2 = 0 UNION ALL SELECT 2 AS part, * FROM {J} WHERE pos % 3 = 0)"
+_SLICES = f"(SELECT 1 AS part, * FROM {J} WHERE pos % 3 < 2 UNION ALL SELECT 2 AS part, * FROM {J} WHERE pos % 3 > 0)"
 
 
 @query("union_pages_distinct", f"SELECT part, pos, job_url, job_title FROM {o.first_of_each(_SLICES, 'lower(company_name), lower(job_url)', 'part, pos')}")
@@ -170,7 +174,7 @@ _WIDTHS = " UNION ALL ".join(f"SELECT '{h}' AS header, CAST(least(greatest(great
 
 @query("column_widths", f"WITH x AS (SELECT * FROM {DEDUPED}) {_WIDTHS}")
 def column_widths(s: SparkSession, sf: str) -> DataFrame:
-    return jobs.column_widths(jobs.dedupe(_jobs(s, sf), ["pos"]))
+    return jobs.column_widths(_first_jobs(s, sf))
 
 
 # ---- results and reports ----
@@ -181,7 +185,7 @@ def outcome_classify(s: SparkSession, sf: str) -> DataFrame:
     return reports.with_outcome(_results(s, sf)).select("row_id", "outcome")
 
 
-@query("outcome_zero_filled", f"""WITH k(outcome) AS (VALUES {', '.join(f"({o.text(x)})" for x in fixed.OUTCOMES)}), c AS (SELECT {o.OUTCOME} AS outcome, count(*) AS n FROM {R} WHERE row_id % 3 = 1 GROUP BY 1)
+@query("outcome_zero_filled", f"""WITH k(outcome) AS (VALUES {', '.join(f"({o.text(x)})" for x in fixed.OUTCOMES)}), c AS (SELECT {o.OUTCOME} AS outcome, count(*) AS n FROM {R} GROUP BY 1)
 SELECT k.outcome, coalesce(c.n, 0) AS companies FROM k LEFT JOIN c ON k.outcome = c.outcome""")
 def outcome_zero_filled(s: SparkSession, sf: str) -> DataFrame:
     return reports.outcome_counts(s, _results(s, sf))
@@ -195,6 +199,11 @@ def coverage_by_platform(s: SparkSession, sf: str) -> DataFrame:
     return reports.coverage(_results(s, sf))
 
 
+@query("coverage_order", f"SELECT platform, jobs, row_number() OVER (ORDER BY jobs DESC, platform) AS place FROM (SELECT platform, CAST(sum(jobs) AS BIGINT) AS jobs FROM {R} GROUP BY platform)")
+def coverage_order(s: SparkSession, sf: str) -> DataFrame:
+    return reports.coverage_order(reports.coverage(_results(s, sf))).select("platform", "jobs", "place")
+
+
 @query("jobs_by_platform", f"SELECT platform, count(*) AS companies, CAST(sum(jobs) AS BIGINT) AS jobs, count(*) FILTER (jobs > 0) AS produced, count(*) FILTER (error IS NOT NULL) AS failed FROM {R} GROUP BY platform")
 def jobs_by_platform(s: SparkSession, sf: str) -> DataFrame:
     return reports.jobs_by_platform(_results(s, sf))
@@ -226,15 +235,15 @@ def failure_reasons_console(s: SparkSession, sf: str) -> DataFrame:
 
 @query("jobs_by_country_top25", f"SELECT country, n FROM (SELECT CASE WHEN country = '' THEN '(unstated)' ELSE country END AS country, count(*) AS n, min(pos) AS first FROM {DEDUPED} GROUP BY 1) ORDER BY n DESC, first LIMIT 25")
 def jobs_by_country_top25(s: SparkSession, sf: str) -> DataFrame:
-    return reports.jobs_by_country(jobs.dedupe(_jobs(s, sf), ["pos"]))
+    return reports.jobs_by_country(_first_jobs(s, sf))
 
 
-@query("run_totals", f"""SELECT companies_processed, jobs_extracted, companies_producing_jobs, round(100.0 * companies_producing_jobs / companies_processed, 1) AS success_rate, round({SECONDS}, 1) AS crawl_seconds,
+@query("run_totals", f"""SELECT companies_processed, jobs_extracted, companies_producing_jobs, round(100.0 * companies_producing_jobs / companies_processed, 1) AS success_rate, round(CAST({SECONDS} AS DOUBLE), 1) AS crawl_seconds,
 round({SECONDS} / companies_processed, 2) AS seconds_per_company, countries_identified, companies_via_discovery FROM
 (SELECT count(*) AS companies_processed, count(*) FILTER (jobs > 0) AS companies_producing_jobs, count(*) FILTER (discovered) AS companies_via_discovery FROM {R}),
 (SELECT count(*) AS jobs_extracted, count(DISTINCT nullif(country, '')) AS countries_identified FROM {DEDUPED})""")
 def run_totals(s: SparkSession, sf: str) -> DataFrame:
-    return reports.run_totals(_results(s, sf), jobs.dedupe(_jobs(s, sf), ["pos"]), SECONDS)
+    return reports.run_totals(_results(s, sf), _first_jobs(s, sf), SECONDS)
 
 
 @query("top_errors", f"SELECT error, n FROM (SELECT error, count(*) AS n, min(row_id) AS first FROM {R} WHERE error IS NOT NULL GROUP BY error) ORDER BY n DESC, first LIMIT 5")
@@ -288,7 +297,7 @@ def diagnostics_capped(s: SparkSession, sf: str) -> DataFrame:
 
 @query("run_summary")
 def run_summary(s: SparkSession, sf: str) -> DataFrame:
-    return reports.summary(s, _results(s, sf), jobs.dedupe(_jobs(s, sf), ["pos"]), _supported(s), SECONDS)
+    return reports.summary(s, _results(s, sf), _first_jobs(s, sf), _supported(s), SECONDS)
 
 
 # ---- pages ----
@@ -296,7 +305,7 @@ def run_summary(s: SparkSession, sf: str) -> DataFrame:
 
 @query("page_links", f"SELECT page_id, pos, href, url, text FROM {o.links()}")
 def page_links(s: SparkSession, sf: str) -> DataFrame:
-    return links.page_links(table(s, sf, "pages")).drop("base")
+    return links.page_links(table(s, sf, "pages")).drop("base", "marked")
 
 
 _LINKED = """SELECT page_id, url, html || CASE page_id % 4 WHEN 0 THEN '<a href="/careers">Careers</a><a href="/jobs/list">See open positions</a>'
@@ -329,10 +338,9 @@ def title_filter(s: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "text", texts.looks_like_title(F.col("text")).alias("is_title"))
 
 
-@query("job_link_filter", f"SELECT page_id, pos, url FROM {o.links()} WHERE {o.any_of('lower(url)', [*fixed.JOB_URL_HINTS, '/a'])}")
+@query("job_link_filter", f"SELECT page_id, pos, url FROM {o.links(sql(_LINKED))} WHERE {o.any_of('lower(url)', fixed.JOB_URL_HINTS)}")
 def job_link_filter(s: SparkSession, sf: str) -> DataFrame:
-    rows = links.page_links(table(s, sf, "pages"))
-    return rows.where(texts.looks_like_job_url(F.col("url")) | F.lower("url").contains("/a")).select("page_id", "pos", "url")
+    return _with_career_links(s, sf).where(texts.looks_like_job_url(F.col("url"))).select("page_id", "pos", "url")
 
 
 @query("challenge_pages", f"""SELECT page_id, {o.any_of('lower(title)', fixed.CHALLENGE_TITLES)} OR {o.any_of('lower(substr(html, 1, 4000))', fixed.CHALLENGE_MARKUP)} AS is_challenge,
@@ -372,7 +380,7 @@ def pagination_until_no_new(s: SparkSession, sf: str) -> DataFrame:
     return paging.pages_with_news(derived(s, sf, d.FOUND))
 
 
-@query("pagination_next_chain", f"""WITH RECURSIVE e AS (SELECT * FROM {sql(d.EDGES)} WHERE board % 10 = 1), l AS (SELECT board, url, list(next_url ORDER BY place, next_url) AS targets FROM e GROUP BY board, url),
+@query("pagination_next_chain", f"""WITH RECURSIVE e AS (SELECT * FROM {sql(d.EDGES)}), l AS (SELECT board, url, list(next_url ORDER BY place, next_url) AS targets FROM e GROUP BY board, url),
 w AS (SELECT DISTINCT board, 1 AS step, 'p0' AS url, ['p0'] AS visited FROM e UNION ALL SELECT board, step + 1, nxt, list_append(visited, nxt) FROM (
 SELECT w.board, w.step, w.visited, list_filter(l.targets, lambda t: NOT list_contains(w.visited, t))[1] AS nxt FROM w JOIN l ON l.board = w.board AND l.url = w.url WHERE w.step < 25) WHERE nxt IS NOT NULL)
 SELECT board, CAST(step AS BIGINT) AS step, url FROM w""")
