@@ -1,9 +1,8 @@
-"""Helpers that the corpus operators share: shared-folder checkpoints, byte views of Arrow
-text columns, vectorised word hashing and connected components."""
+"""Helpers that the corpus operators share: byte views of Arrow text columns, vectorised word hashing and
+connected components."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,27 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.lineage import cut, use_shared_checkpoints  # noqa: F401
+
 #: Rows in one Arrow batch; texts are long, so batches are kept short.
 ARROW_ROWS = 256
 #: Bytes of text that the vectorised kernels take at once (a longer text goes alone).
 CHUNK_BYTES = 1 << 20
 
 
-def use_shared_checkpoints(spark: SparkSession) -> None:
-    """Sets the checkpoint folder to the one the cluster names; a fresh folder only if none is named."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage in the shared checkpoint folder."""
-    use_shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

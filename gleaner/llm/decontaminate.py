@@ -2,24 +2,34 @@
 
 Every passage of every document is a query. Passages are windows of words, each overlapping the next by
 half, and long enough that any item stands whole in one. An item's weights are divided by the score that it
-gives its own words, so one threshold serves items of any length. A passage is left when the sum of its
-terms' largest weights is under the threshold; of the rest, only the blocks of items are opened whose block
-maxima can reach it; all items above it are retrieved. Those count as leaks if both the question and the
-answer are covered by word triples that they share with the passage. Items that weren't divided by their
-makers also count if enough of the whole is covered, wherever the cut between question and answer fell.
+gives its own words, so one threshold serves items of any length.
+
+A passage is left when the essential terms that it shares with each item, which make up all but SLACK of the
+item's weight, can't lift any item to the threshold. For the rest cursors go through the posting lists in the
+order of items: the pivot is the first item that the cursors' largest weights can lift to the threshold, blocks
+of items whose maxima can't are skipped, and every item at the threshold or above is retrieved. Those count as
+leaks if both the question and the answer are covered by word triples that they share with the passage. Items
+that weren't divided by their makers also count if enough of the whole is covered, wherever the cut between
+question and answer fell.
+
+Frequencies, the mean length and the length of passages are those of all items, so scores don't depend on how
+many indexes the items are dealt to.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import ascii_lower, byte_view, chunks, mixed, short_batches, span_hashes, spans
+from gleaner.llm.common import ascii_lower, byte_view, chunks, cut, mixed, short_batches, span_hashes, spans
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage has to reach.
@@ -30,8 +40,12 @@ OVERLAP = 0.7
 WHOLE = 0.6
 #: Whole items of fewer words than this, but more than GRAM, may stand in aligned order instead: one changed word can break most of their triples.
 SHORT = 10
-#: Items in a block, and bytes of item text in one broadcast index.
-BLOCK, INDEX_BYTES = 16, 8 << 20
+#: Items in a block, bytes of item text in one broadcast index, and indexes that one pass over the documents holds.
+BLOCK, INDEX_BYTES, INDEXES = 16, 8 << 20, 8
+#: Share of an item's weight that its terms of least weight make up: they aren't essential.
+SLACK = 0.25
+#: What rounding may take from a bound.
+ROUNDING = 1e-9
 #: Words in a passage at least.
 PASSAGE = 64
 GRAM = 3
@@ -102,25 +116,62 @@ class Index:
     answers: list[np.ndarray]
     vocab: np.ndarray  #: sorted term hashes
     top: np.ndarray  #: largest weight of a term
-    start: np.ndarray  #: postings of a term
+    start: np.ndarray  #: postings of a term, in the order of items
     item: np.ndarray
     weight: np.ndarray
     block_start: np.ndarray  #: block maxima of a term
     block: np.ndarray
     block_max: np.ndarray
+    essential_start: np.ndarray  #: postings of a term in the items for which it is essential
+    essential_item: np.ndarray
+    essential_weight: np.ndarray
+    rest: np.ndarray  #: weight of an item's other terms
     passage: int
 
     def search(self, terms: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """(items, scores) at or above the threshold for the distinct terms of a passage."""
-        at = _ranges(self.block_start, terms)
-        bound = np.bincount(self.block[at], self.block_max[at], -(-len(self.ids) // BLOCK))
-        if not (bound >= threshold).any():
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = _ranges(self.start, terms)
-        at = at[bound[self.item[at] // BLOCK] >= threshold]
-        scores = np.bincount(self.item[at], self.weight[at], len(self.ids))
-        found = np.flatnonzero(scores >= threshold)
-        return found, scores[found]
+        """(items, scores) at or above the threshold for the distinct terms of a passage, in order: block-max WAND."""
+        bar, n_items = threshold - ROUNDING, len(self.ids)
+        cut_out = lambda xs, start: [xs[start[t] : start[t + 1]].tolist() for t in terms]
+        items, weights = cut_out(self.item, self.start), cut_out(self.weight, self.start)
+        maxima = [dict(zip(*x, strict=True)) for x in zip(cut_out(self.block, self.block_start), cut_out(self.block_max, self.block_start), strict=True)]
+        top, place = self.top[terms].tolist(), [0] * len(items)
+        cursors = sorted((x[0], k) for k, x in enumerate(items))
+        found, scores = [], []
+
+        def moved(those: list[tuple[int, int]], to: int) -> list[tuple[int, int]]:
+            """Cursors at the first of their items from `to` on; those at their end go."""
+            out = []
+            for _, k in those:
+                place[k] = i = bisect_left(items[k], to, place[k])
+                if i < len(items[k]):
+                    out.append((items[k][i], k))
+            return out
+
+        while cursors:
+            bound = 0.0
+            for n, (pivot, k) in enumerate(cursors, 1):
+                bound += top[k]
+                if bound >= bar:
+                    break
+            else:
+                break
+            while n < len(cursors) and cursors[n][0] == pivot:
+                n += 1
+            block = pivot // BLOCK
+            if sum(maxima[k].get(block, 0.0) for _, k in cursors[:n]) < bar:
+                after = cursors[n][0] if n < len(cursors) else n_items
+                head = moved(cursors[:n], min((block + 1) * BLOCK, after))
+            elif cursors[0][0] < pivot:
+                head = moved(cursors[:n], pivot)
+            else:
+                # summed in the order of terms, so that equal passages have equal scores
+                score = sum(weights[k][place[k]] for k in sorted(k for _, k in cursors[:n]))
+                if score >= threshold:
+                    found.append(pivot)
+                    scores.append(score)
+                head = moved(cursors[:n], pivot + 1)
+            cursors = sorted(head + cursors[n:])
+        return np.array(found, np.int64), np.array(scores)
 
 
 def _ranges(start: np.ndarray, terms: np.ndarray) -> np.ndarray:
@@ -128,31 +179,62 @@ def _ranges(start: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
-def build(items: list[tuple[int, str, str]], document_frequency: dict[int, int] | None = None, n_items: int | None = None, mean_words: float | None = None) -> Index | None:
-    """Index of (item_id, question, answer). Frequencies are those of these items, unless given for all items."""
-    items = [(i, q, a) for i, q, a in ((i, words_in(q), words_in(a)) for i, q, a in items) if len(q) + len(a)]
+@dataclass
+class Overall:
+    """Figures of all items, wherever they are indexed."""
+
+    n_items: int
+    mean_words: float
+    longest: int
+    frequency: dict[int, int]
+
+
+def _parts(items: list[tuple[int, str, str]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(item_id, question, answer) as word hashes; items without words go."""
+    return [(i, q, a) for i, q, a in ((i, words_in(q), words_in(a)) for i, q, a in items) if len(q) + len(a)]
+
+
+def overall(items: list[tuple[int, str, str]]) -> Overall:
+    """The figures of items that all stand in one index."""
+    whole = [np.concatenate([q, a]) for _, q, a in _parts(items)]
+    terms, df = np.unique(np.concatenate([np.unique(x) for x in whole] or [np.zeros(0, np.uint64)]), return_counts=True)
+    return Overall(len(whole), float(np.mean([len(x) for x in whole] or [1])), max(map(len, whole), default=0), dict(zip(terms.tolist(), df.tolist(), strict=True)))
+
+
+def build(items: list[tuple[int, str, str]], figures: Overall | None = None) -> Index | None:
+    """Index of (item_id, question, answer); figures are those of these items, unless given for all."""
+    figures = figures or overall(items)
+    items = _parts(items)
     if not items:
         return None
-    items.sort(key=lambda x: (len(x[1]) + len(x[2]), x[0] is not None, x[0]))  # items of like length share a block, so its maxima are tight
+    # items of like length share a block, so its maxima are tight
+    items.sort(key=lambda x: (len(x[1]) + len(x[2]), x[0] is not None, x[0]))
     whole = [np.concatenate([q, a]) for _, q, a in items]
-    mean = mean_words or sum(map(len, whole)) / len(whole)
-    n = n_items or len(items)
     rows = [np.unique(x, return_counts=True) for x in whole]
     terms = np.concatenate([t for t, _ in rows])
     item = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
     tf = np.concatenate([c for _, c in rows]).astype(float)
-    vocab, code, local = np.unique(terms, return_inverse=True, return_counts=True)
-    df = np.array([document_frequency[int(t)] for t in vocab]) if document_frequency else local
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    vocab, code = np.unique(terms, return_inverse=True)
+    df = np.array([figures.frequency[int(t)] for t in vocab])
+    idf = np.log(1 + (figures.n_items - df + 0.5) / (df + 0.5))
     size = np.array([len(x) for x in whole], float)[item]
-    w = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+    w = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / figures.mean_words))
     w /= np.bincount(item, w, len(rows))[item]
+    # the lightest terms of an item, up to SLACK of its weight, aren't essential
+    light = np.lexsort((w, item))
+    first_of_item = np.searchsorted(item, np.arange(len(rows)))
+    upto = np.cumsum(w[light])
+    upto -= (upto - w[light])[first_of_item][item]
+    essential = np.zeros(len(w), bool)
+    essential[light] = upto > SLACK
+    rest = np.bincount(item, np.where(essential, 0.0, w), len(rows))
     order = np.lexsort((item, code))
-    code, item, w = code[order], item[order], w[order]
-    start = np.searchsorted(code, np.arange(len(vocab) + 1))
+    code, item, w, essential = code[order], item[order], w[order], essential[order]
+    starts = lambda codes: np.searchsorted(codes, np.arange(len(vocab) + 1))
+    start = starts(code)
     first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (item[1:] // BLOCK != item[:-1] // BLOCK)])
     return Index([i for i, _, _ in items], [q for _, q, _ in items], [a for _, _, a in items], vocab, np.maximum.reduceat(w, start[:-1]), start, item, w,
-                 np.searchsorted(code[first], np.arange(len(vocab) + 1)), item[first] // BLOCK, np.maximum.reduceat(w, first), max(PASSAGE, 2 * max(map(len, whole))))
+                 starts(code[first]), item[first] // BLOCK, np.maximum.reduceat(w, first), starts(code[essential]), item[essential], w[essential], rest, max(PASSAGE, 2 * figures.longest))
 
 
 class Lookup:
@@ -173,8 +255,12 @@ class Lookup:
 
 
 def passages_above(words: np.ndarray, first: np.ndarray, index: Index, lookup: Lookup, threshold: float) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(row, first word, end, distinct terms) of the passages whose upper bound reaches the threshold."""
-    half = index.passage // 2
+    """(row, first word, end, distinct terms) of the passages that can lift an item to the threshold.
+
+    A passage is two cells of half its length. What the essential terms of each cell give to each item is summed
+    once; a passage gets at most what both cells give, and the item's other terms.
+    """
+    half, n_items, bar = index.passage // 2, len(index.ids), threshold - ROUNDING
     n_words = np.diff(first)
     cells = np.maximum(-(-n_words // half), 1)
     cell_of_row = np.concatenate([[0], np.cumsum(cells)])
@@ -185,30 +271,55 @@ def passages_above(words: np.ndarray, first: np.ndarray, index: Index, lookup: L
     cell = cell_of_row[row] + (at - first[row]) // half
     keys = np.unique(cell * len(index.vocab) + code)
     cell, code = keys // len(index.vocab), keys % len(index.vocab)
-    bound = np.bincount(cell, index.top[code], cell_of_row[-1] + 1)
-    pair = bound[:-1] + bound[1:]
-    last = np.zeros(cell_of_row[-1], bool)
+    last = np.zeros(cell_of_row[-1] + 1, bool)
     last[cell_of_row[1:] - 1] = True
-    pair[last] = bound[:-1][last]
+    each = _ranges(index.essential_start, code)
+    pairs = np.repeat(cell, index.essential_start[code + 1] - index.essential_start[code]) * n_items + index.essential_item[each]
+    pairs, inverse = np.unique(pairs, return_inverse=True)
+    given = np.bincount(inverse, index.essential_weight[each], len(pairs))
+    cell_of, item_of = pairs // n_items, pairs % n_items
+    to = np.minimum(np.searchsorted(pairs, pairs + n_items), max(len(pairs) - 1, 0))
+    joined = ~last[cell_of] & (pairs[to] == pairs + n_items)
+    both = given + np.where(joined, given[to], 0.0)
+    fit = np.zeros(cell_of_row[-1] + 1, bool)
+    fit[cell_of[both + index.rest[item_of] >= bar]] = True
+    # a row's last cell stands whole in the passage before, which may have nothing else of the item
+    alone = cell_of[given + index.rest[item_of] >= bar]
+    fit[alone[(alone > 0) & ~last[alone - 1]] - 1] = True
     begin = np.searchsorted(cell, np.arange(cell_of_row[-1] + 1))
-    for c in np.flatnonzero(pair >= threshold):
-        to = c + 1 if last[c] else c + 2
+    for c in np.flatnonzero(fit):
         if last[c] and c and not last[c - 1]:
-            continue  # it stands whole in the passage before
-        terms = np.unique(code[begin[c] : begin[to]])
-        if index.top[terms].sum() >= threshold:
+            continue
+        terms = np.unique(code[begin[c] : begin[c + 1 if last[c] else c + 2]])
+        if index.top[terms].sum() >= bar:
             r = int(np.searchsorted(cell_of_row, c, "right")) - 1
             lo = first[r] + (c - cell_of_row[r]) * half
             yield r, int(lo), int(min(lo + index.passage, first[r + 1])), terms
 
 
-def find(docs: DataFrame, index: Index, threshold: float, overlap: float, whole: float | None = None) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) against one index of bounded size."""
-    held = docs.sparkSession.sparkContext.broadcast(index)
+_FOUND = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+_FOUND_TYPES = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
+
+
+def leaks(words: np.ndarray, first: np.ndarray, index: Index, lookup: Lookup, threshold: float, overlap: float, whole: float | None) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(row, item) -> best (score, question overlap, answer overlap) of the passages that leak the item."""
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for r, s, e, terms in passages_above(words, first, index, lookup, threshold):
+        found, scores = index.search(terms, threshold)
+        shared = {n: grams_of(words[s:e], n) for n in range(1, GRAM + 1)} if len(found) else {}
+        for i, score in zip(found.tolist(), scores.tolist(), strict=True):
+            q, a = covered(index.questions[i], shared), covered(index.answers[i], shared)
+            if min(q, a) >= overlap or (whole is not None and whole_held(np.concatenate([index.questions[i], index.answers[i]]), words[s:e], shared, whole, overlap)):
+                best[r, i] = max(best.get((r, i), (0.0, 0.0, 0.0)), (score, q, a))
+    return best
+
+
+def find(docs: DataFrame, indexes: list[Index], threshold: float, overlap: float, whole: float | None = None) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap) against some indexes of bounded size, in one pass."""
+    held = [docs.sparkSession.sparkContext.broadcast(x) for x in indexes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = held.value
-        lookup = Lookup(ix.vocab)
+        ready = [(h.value, Lookup(h.value.vocab)) for h in held]
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
             data, offs = byte_view(b.column(1))
@@ -216,30 +327,42 @@ def find(docs: DataFrame, index: Index, threshold: float, overlap: float, whole:
                 if offs[lo] == offs[hi]:
                     continue
                 words, first = words_of(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                for r, s, e, terms in passages_above(words, first, ix, lookup, threshold):
-                    found, scores = ix.search(terms, threshold)
-                    shared = {n: grams_of(words[s:e], n) for n in range(1, GRAM + 1)} if len(found) else {}
-                    for i, score in zip(found.tolist(), scores.tolist(), strict=True):
-                        q, a = covered(ix.questions[i], shared), covered(ix.answers[i], shared)
-                        if min(q, a) >= overlap or (whole is not None and whole_held(np.concatenate([ix.questions[i], ix.answers[i]]), words[s:e], shared, whole, overlap)):
-                            best[r, i] = max(best.get((r, i), (0.0, 0.0, 0.0)), (score, q, a))
-                out += [(ids[lo + r], ix.ids[i], *x) for (r, i), x in best.items()]
+                for ix, lookup in ready:
+                    out += [(ids[lo + r], ix.ids[i], *x) for (r, i), x in leaks(words, first, ix, lookup, threshold, overlap, whole).items()]
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], _FOUND)
 
-    return docs.mapInArrow(run, "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double")
+    return docs.mapInArrow(run, _FOUND_TYPES)
 
 
 def _terms(items: DataFrame) -> DataFrame:
+    """(block, t, n): the distinct terms of each item of items(block, question, answer); n is its number of words beside one of them, else 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for block, q, a in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 w = np.concatenate([words_in(q), words_in(a)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(w).view(np.int64))], ["t"])
+                t = np.unique(w).view(np.int64)
+                n = np.zeros(len(t), np.int64)
+                n[:1] = len(w)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), block, np.int64)), pa.array(t), pa.array(n)], ["block", "t", "n"])
 
-    return items.mapInArrow(run, "t bigint")
+    return items.select("block", "question", "answer").mapInArrow(run, "block bigint, t bigint, n bigint")
+
+
+def _in_blocks(items: DataFrame, size: int) -> DataFrame:
+    """items with block, a number for successive items of `size` bytes together; a longer item has one of its own.
+
+    Bytes are summed up in each partition, and partitions by their totals, so no task sees all items.
+    """
+    octets = F.octet_length(F.concat_ws(" ", "question", "answer")).cast("bigint")
+    rows = cut(items.withColumn("at", F.monotonically_increasing_id()).withColumn("octets", octets)).withColumn("part", F.shiftright("at", 33))
+    sums = rows.groupBy("part").agg(F.sum("octets").alias("all"))
+    before = sums.select("part", (F.sum("all").over(W.orderBy("part")) - F.col("all")).alias("before"))  # a row for each partition
+    own = F.sum("octets").over(W.partitionBy("part").orderBy("at")) - F.col("octets")
+    block = F.floor((F.col("own") + F.col("before")) / F.lit(size)).cast("bigint")
+    return rows.withColumn("own", own).join(before, "part").select("item_id", "question", "answer", block.alias("block"))
 
 
 def split_items(benchmark: DataFrame, answer_share: float = 1 / 3) -> DataFrame:
@@ -256,36 +379,27 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """(doc_id, item_id, score, question_overlap, answer_overlap): a row for each row of docs and item it leaks.
 
     docs(doc_id, text), items(item_id, question, answer). score is BM25 over the item's own. The items are
-    indexed in blocks of bounded bytes, each broadcast and held against all documents; term frequencies are
-    those of all items. Null and empty texts leak nothing; items without words are never found; a part
-    without words counts as covered, one of fewer than three words if it stands whole in the passage; an item
-    without an id is found under null; repeated rows and items each count; other columns aren't read. With
-    `whole`, for items whose parts are made up, an item also counts if that share of question and answer
-    together is covered, or if `overlap` of one of 4 to 9 words stands in aligned order.
+    indexed in blocks of bounded bytes, INDEXES of which are broadcast for one pass over the documents; results
+    are the same for any number of blocks. Null and empty texts leak nothing; items without words are never
+    found; a part without words counts as covered, one of fewer than three words if it stands whole in the
+    passage; an item without an id is found under null; repeated rows and items each count; other columns aren't
+    read. With `whole`, for items whose parts are made up, an item also counts if that share of question and
+    answer together is covered, or if `overlap` of one of 4 to 9 words stands in aligned order.
     """
     spark = docs.sparkSession
     short_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    items = items.select(F.col("item_id").cast("bigint"), F.col("question").cast("string"), F.col("answer").cast("string"))
-    size = items.agg(F.sum(F.octet_length(F.concat_ws(" ", "question", "answer"))).alias("b")).first()["b"] or 0
-    blocks = -(-size // INDEX_BYTES) or 1
-    over_all: dict = {}
-    if blocks > 1:
-        sizes = items.select(F.size(F.split(F.concat_ws(" ", "question", "answer"), " ")).alias("n"))
-        n, mean = sizes.agg(F.count("*"), F.avg("n")).first()
-        over_all = {"n_items": n, "mean_words": mean}
-        counts = _terms(items).groupBy("t").agg(F.count("*").alias("df"))
-    out = None
-    for k in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "question"), F.lit(blocks)) == k)
-        df = {}
-        if blocks > 1:
-            mine_terms = _terms(mine).select("t").distinct()
-            df = {"document_frequency": {r["t"] & (2**64 - 1): r["df"] for r in counts.join(mine_terms, "t").collect()}}
-        index = build([tuple(r) for r in mine.collect()], **df, **over_all)
-        if index:
-            found = find(docs, index, threshold, overlap, whole)
-            out = found if out is None else out.union(found)
-    if out is None:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double")
-    return out
+    items = cut(_in_blocks(items.select(F.col("item_id").cast("bigint"), F.col("question").cast("string"), F.col("answer").cast("string")), INDEX_BYTES))
+    terms = cut(_terms(items))
+    n_items, mean, longest = terms.where("n > 0").agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    counts = terms.groupBy("t").agg(F.count("*").alias("df"))
+    numbers = sorted(r["block"] for r in terms.select("block").distinct().collect())  # a number for each INDEX_BYTES of items
+    out = []
+    for lo in range(0, len(numbers), INDEXES):
+        indexes = []
+        for k in numbers[lo : lo + INDEXES]:
+            own = counts.join(terms.where(F.col("block") == k).select("t").distinct(), "t").collect()  # as many as INDEX_BYTES have
+            figures = Overall(n_items, mean, longest, {r["t"] & (2**64 - 1): r["df"] for r in own})
+            indexes.append(build([(r["item_id"], r["question"], r["answer"]) for r in items.where(F.col("block") == k).collect()], figures))
+        out.append(find(docs, [x for x in indexes if x], threshold, overlap, whole))
+    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], _FOUND_TYPES)

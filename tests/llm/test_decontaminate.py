@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from gleaner.llm import decontaminate as d
@@ -88,11 +89,43 @@ def test_as_without_an_index(spark, seed):
     assert found(spark, rows, items, threshold=0.3, overlap=0.5) == brute(rows, items, 0.3, 0.5)
 
 
-def test_several_indexes(spark, monkeypatch):
+@pytest.mark.parametrize("indexes", [8, 2])
+def test_several_indexes_change_no_score(spark, monkeypatch, indexes):
     rows, items = _corpus(3)
-    whole = {x[:2] for x in found(spark, rows, items, threshold=0.7)}
-    monkeypatch.setattr(d, "INDEX_BYTES", 6000)
-    assert {x[:2] for x in found(spark, rows, items, threshold=0.7)} == whole
+    items += [(200 + i, x[1]) for i, x in enumerate(items[:3] * 20)]
+    whole = brute(rows, items)
+    assert found(spark, rows, items) == whole
+    monkeypatch.setattr(d, "INDEX_BYTES", 3000)
+    monkeypatch.setattr(d, "INDEXES", indexes)
+    assert found(spark, rows, items) == whole
+
+
+@pytest.mark.parametrize("block,slack", [(1, 0.25), (4, 0.0), (16, 0.54)])
+def test_search_is_exhaustive_search(monkeypatch, block, slack):
+    rows, items = _corpus(5)
+    monkeypatch.setattr(d, "BLOCK", block)
+    monkeypatch.setattr(d, "SLACK", slack)
+    index = d.build([(i, t, "") for i, t in items])
+    lookup = d.Lookup(index.vocab)
+    weights = np.zeros((len(index.ids), len(index.vocab)))
+    for t in range(len(index.vocab)):
+        at = slice(index.start[t], index.start[t + 1])
+        weights[index.item[at], t] = index.weight[at]
+    for _, text in rows:
+        terms = np.unique(lookup(d.words_in(text))[1])
+        for threshold in (0.1, 0.3, 0.55):
+            got, scores = index.search(terms, threshold)
+            full = weights[:, terms].sum(1)
+            assert got.tolist() == np.flatnonzero(full >= threshold).tolist() and np.allclose(scores, full[got])
+        w = d.words_in(text)
+        opened = set()
+        for _, s, e, found_terms in d.passages_above(w, np.array([0, len(w)]), index, lookup, 0.55):
+            opened.add(s)
+            assert set(found_terms.tolist()) == set(lookup(w[s:e])[1].tolist())
+        for s in range(0, len(w), index.passage // 2):
+            terms = np.unique(lookup(w[s : s + index.passage])[1])
+            if (weights[:, terms].sum(1) >= 0.55).any():
+                assert s in opened or s - index.passage // 2 in opened and s + index.passage // 2 >= len(w)
 
 
 def test_edge_cases(spark):
