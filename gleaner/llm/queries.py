@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, linear, media, mixing, quotes, repeats, sharding, simhash, tokens
+from gleaner.llm import decontaminate, linear, media, mixing, oracles, quotes, repeats, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations read as mail threads, in which each turn quotes the two before it."""
     found = quotes.conversations(quotes.as_mail(table(spark, sf_dir, "conversations")), every=True)
-    return found.select(F.col("thread").alias("conv_id"), F.col("seq").alias("turn"), "tie", "position", "parent", "parent_tie", "root", "root_tie", "depth", "n_quoted", "n_linked", "role", "text")
+    return found.select(F.col("thread").alias("conv_id"), F.col("seq").alias("turn"), "tie", "position", "parent", "parent_tie", "root", "root_tie", "depth", "links", "n_quoted", "n_linked", "role", "text")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quotes": oracles.OP2_QUOTES}
