@@ -50,7 +50,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.sample_labelled(docs, table(spark, sf_dir, "labels"), "lang")
     rates, _ = mixing.mix(docs, labelled, LANGUAGE_WEIGHTS)
     posteriors = [F.round(f"q_{k}", 6).alias(f"p_{d}") for k, d in enumerate(sorted(LANGUAGE_WEIGHTS))]
-    return rates.select("doc_id", "copies", "n_tokens", *posteriors, F.round("rate", 6).alias("rate"))
+    return rates.select("doc_id", "copies", "n_tokens", *posteriors, F.round("rate", 6).alias("rate"), F.round("missed", 6).alias("missed"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,74 @@ def test_native(spark):
     rates, _ = mixing.mix(documents(spark, _rows()), _labelled(spark), WEIGHTS)
     plan = rates.withColumn("x", F.lit(1))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def _plain_rates(q, mass, goal, least):
+    """Projected gradient with steps of one, in plain loops until nothing moves."""
+    import numpy as np
+
+    rate, weight = np.ones(len(q)), (q * mass[:, None]).sum(0)
+    for _ in range(20000):
+        have = (q * (rate * mass)[:, None]).sum(0)
+        new = np.maximum(least, rate - q @ ((have - goal) / weight))
+        if np.abs(new - rate).max() < 1e-13:
+            break
+        rate = new
+    return rate
+
+
+@pytest.mark.parametrize("least,shares", [(0.0, (0.5, 0.3, 0.2)), (0.0, (0.05, 0.15, 0.8)), (1.0, (0.5, 0.3, 0.2))])
+def test_rates_against_plain_loops(spark, least, shares):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    q = rng.dirichlet([0.3, 0.3, 0.3], 200)
+    tokens, copies = rng.integers(0, 300, 200), rng.integers(1, 4, 200)
+    members = spark.createDataFrame([(i, int(n), int(c), *map(float, x)) for i, (n, c, x) in enumerate(zip(tokens, copies, q, strict=True))], "doc_id int, n_tokens int, copies int, q_0 double, q_1 double, q_2 double")
+    mass = (tokens * copies).astype(float)
+    goal = np.array(shares) * mass.sum() * (4 if least else 1)
+    rated, have, missed = mixing.fit_rates(members, goal.tolist(), least)
+    got = np.array([r.rate for r in rated.orderBy("doc_id").collect()])
+    assert missed <= mixing.TOLERANCE and np.allclose(have, goal, rtol=1e-5) and (got >= least).all()
+    wanted = _plain_rates(q, mass, goal, least)
+    assert np.allclose((q * (wanted * mass)[:, None]).sum(0), goal, rtol=1e-5)
+    if not least and (wanted > 0).all():
+        assert np.abs(got - wanted).max() < 1e-3
+
+
+def test_targets_that_cannot_be_met_are_marked(spark):
+    members = spark.createDataFrame([(1, 10, 1, 0.5, 0.5), (2, 30, 1, 0.5, 0.5)], "doc_id int, n_tokens int, copies int, q_0 double, q_1 double")
+    rated, have, missed = mixing.fit_rates(members, [30.0, 10.0])
+    assert abs(missed - 1.0) < 1e-3 and [round(x) for x in have] == [20, 20]
+    none = spark.createDataFrame([(1, 0, 1, 0.5, 0.5)], "doc_id int, n_tokens int, copies int, q_0 double, q_1 double")
+    rated, have, missed = mixing.fit_rates(none, [30.0, 10.0])
+    assert [r.rate for r in rated.collect()] == [1.0] and missed == 1.0
+
+
+def test_posteriors_by_hand(spark):
+    """Words counted and multiplied by hand, with buckets from Spark's own hash."""
+    import math
+
+    labelled = [("red red blue", "a"), ("dog, Dog!", "b"), ("blue", "a"), ("other", "z")]
+    texts = {1: "Red  dog", 2: "blue\nred green " * 200, 3: None}
+    words = sorted({w for t in [x for x, _ in labelled] + [texts[1], texts[2]] for w in t.lower().translate(str.maketrans(",!\n", "   ")).split()})
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)).alias("b")).collect()}
+    split = lambda t: [bucket[w] for w in (t or "").lower().translate(str.maketrans(",!\n", "   ")).split()]
+    logs, prior = {}, {}
+    for d in "ab":
+        own = [b for t, x in labelled if x == d for b in split(t)]
+        logs[d] = lambda b, own=own: math.log((own.count(b) + 0.5) / (len(own) + 0.5 * mixing.BUCKETS))
+        prior[d] = math.log((sum(x == d for _, x in labelled) + 1) / 5)
+    table = spark.createDataFrame(labelled, "text string, domain string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in mixing.memberships(docs, mixing.domain_model(table, ["a", "b"]), ["a", "b"], 0.2).collect()}
+    for i, t in texts.items():
+        z = {d: prior[d] + 0.2 * sum(map(logs[d], split(t))) for d in "ab"}
+        assert abs(got[i].q_0 - 1 / (1 + math.exp(z["b"] - z["a"]))) < 1e-9 and got[i].n_tokens == len(split(t))
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "red", "x", 7, 8), (None, "dog", "y", 9, 10)], "doc_id bigint, text string, key string, times int, __key int")
+    rates, _ = mixing.mix(docs, _labelled(spark), WEIGHTS, keep_all=True)
+    out = mixing.realise(docs, rates)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == {tuple(r) for r in docs.collect()}
