@@ -1,4 +1,4 @@
-"""Removal of repeated passages: prefix-free parsing of texts into phrases, and grouping of their strings by hash.
+"""Removal of repeated passages: prefix-free parsing of texts into phrases, and the order of the dictionary's suffixes.
 
 A byte string of `length` bytes (100) is removed where it also starts earlier in the corpus. Rolling hashes of
 `k` bytes give triggers: the trigger of a string is its least k-byte hash, so equal strings have equal
@@ -6,15 +6,19 @@ triggers. The strings of a text that follow each other and share a trigger form
 A phrase therefore begins and ends where the content says so, whatever stands around it.
 
 - The dictionary holds each distinct phrase once, with its first place; the parse is the list of places.
-  Every later place of a phrase is removed whole, and nothing in it is looked at again.
+  Every later place of a phrase is removed whole, and nothing in it is looked at again. Phrases are the same if
+  their triggers and the 128 bits of their BLAKE2b digests are.
 - Only where phrases of one trigger also agree on the bytes beside it, on one side at least, can suffixes of
   different phrases begin with the same string: a string that holds its trigger reaches far on one side or
-  the other. Every string of those phrases is laid out and grouped by trigger and hash, and all but the first
-  place of each string are removed.
+  the other. The bytes of those phrases meet by trigger. Their suffixes are ranked by doubling depths, each from
+  the ranks of its two halves, to `length` bytes: equal ranks are equal bytes. All but the first place of each
+  string are removed.
 
-No suffix array of the dictionary or of the parse is built: strings of one fixed `length` need to be equal, not
-in order, so they are compared by their trigger with a 64-bit hash of all their bytes (128 bits together). Places of one string meet in one task only after each batch of
-documents has kept its own first place, so a string that a third of all documents hold comes there once a batch.
+Phrases overlap by `length` - 1 bytes, so a string never goes on from one phrase into the next: the order of
+suffixes to this depth needs the dictionary's alone, and the parse only gives each suffix its places.
+
+Triggers that very many phrases share aren't ranked in one task: their strings part by a hash of all their
+bytes, after each batch of documents has kept its own first place of each.
 """
 
 from __future__ import annotations
@@ -25,25 +29,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import _BASE, _TABLE, CHUNK_BYTES, byte_view, chunks, mixed, powers, short_batches, span_hashes, use_shared_checkpoints
 
 LENGTH, K = 100, 16
-_SUB = 40  #: a place is the start in the text, with the number of a repeated id's text above these bits
+_SUB = 31  #: a place is the start in the text, with the number of a repeated id's text above these bits
 _NO_ID = -(2**63)
-_PLACES = "key bigint, phrase bigint, sides bigint, doc bigint, at bigint, meta int"
-_FIELDS = ["key", "phrase", "sides", "doc", "at", "meta"]
-#: kind of a place (the two low bits of meta): open, open with its trigger twice, removed
-OPEN, INNER, GONE = 0, 1, 2
+_PLACES = "key bigint, phrase bigint, digest bigint, sides bigint, doc bigint, at bigint, meta int"
+_FIELDS = ["key", "phrase", "digest", "sides", "doc", "at", "meta"]
+#: kind of a place (the two low bits of meta): open, open with its trigger twice, removed, open with a trigger of very many phrases
+OPEN, INNER, GONE, HOT = 0, 1, 2, 3
 #: meta holds, above the kind, the trigger's offset in the phrase (7 bits) and the number of strings
 _OFFSET, _COUNT = 2, 9
 #: Setting by which a query's shuffle files are removed at its end
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows of places that are taken at once, and rows of one trigger that are held to compare their phrases.
-ROWS, HELD = 1 << 16, 1 << 16
+#: Rows of places that are taken at once, rows of one trigger that are held to compare their phrases, and bytes of phrases that are ranked at once.
+ROWS, HELD, RANKED = 1 << 16, 1 << 14, 1 << 21
+#: Places that a task gathers before it keeps the first of each phrase.
+GATHERED = 1 << 19
 
 
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
@@ -73,14 +81,14 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(start, number of strings, trigger, hash of the bytes, sides, meta) of each phrase.
+    """(start, number of strings, trigger, two halves of the digest, sides, meta) of each phrase.
 
     sides are two 32-bit hashes, of the trigger with the bytes before it and after it, to a depth of half of what a
     string leaves; 0 for a side that the phrase doesn't reach.
     """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), none, none.astype(np.int32)
+        return none, none, none.astype(np.uint64), none, none, none, none.astype(np.int32)
     width = length - k + 1
     h = rolling(data, k)
     least = _sliding(h, width, np.minimum)
@@ -99,7 +107,7 @@ def phrases(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = K
     lo, hi = np.flatnonzero(first), np.flatnonzero(last) + 1
     key = least[lo]
     if not len(lo):
-        return lo, lo, key, key, lo, lo.astype(np.int32)
+        return lo, lo, key, lo, lo, lo, lo.astype(np.int32)
     # triggers' places, and those that follow an equal trigger closely
     pad = np.zeros(width - 1, np.uint64)
     spots = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h)
@@ -118,7 +126,10 @@ def phrases(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = K
     low = np.uint64(0xFFFFFFFF)
     sides = (np.where(left, before | np.uint64(1), np.uint64(0)) << np.uint64(32)) | np.where(right, (after & low) | np.uint64(1), np.uint64(0))
     meta = ((hi - lo) << _COUNT) | (np.clip(x - lo, 0, 127) << _OFFSET) | np.where(twice, INNER, OPEN)
-    return lo, hi - lo, key, span_hashes(data, lo, hi + length - 1), sides.view(np.int64), meta.astype(np.int32)
+    raw, digest = data.tobytes(), hashlib.blake2b
+    told = b"".join([digest(raw[x:y], digest_size=16).digest() for x, y in zip(lo.tolist(), (hi + length - 1).tolist(), strict=True)])
+    halves = np.frombuffer(told, np.int64).reshape(-1, 2)
+    return lo, hi - lo, key, halves[:, 0], halves[:, 1], sides.view(np.int64), meta.astype(np.int32)
 
 
 def _pieces(data: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -133,23 +144,23 @@ def _pieces(data: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[n
 
 
 def _first_kept(cols: list[np.ndarray]) -> list[np.ndarray]:
-    """Keeps the first place of each (key, phrase); the others are marked gone and get a key of their place."""
-    key, phrase, _, doc, at, _ = cols
-    order = np.lexsort((at, doc, phrase, key))
-    key, phrase, sides, doc, at, meta = (c[order] for c in cols)
+    """Keeps the first place of each phrase; the others are marked gone and get a key of their place."""
+    key, phrase, digest, _, doc, at, _ = cols
+    order = np.lexsort((at, doc, digest, phrase, key))
+    key, phrase, digest, sides, doc, at, meta = (c[order] for c in cols)
     later = np.zeros(len(key), bool)
-    later[1:] = (key[1:] == key[:-1]) & (phrase[1:] == phrase[:-1])
+    later[1:] = (key[1:] == key[:-1]) & (phrase[1:] == phrase[:-1]) & (digest[1:] == digest[:-1])
     # the same place twice is a repeated row: no place before itself
     fresh = np.flatnonzero(~later)
     leader = fresh[np.cumsum(~later) - 1]
     later &= (doc != doc[leader]) | (at != at[leader])
     meta = np.where(later, (meta >> _OFFSET << _OFFSET) | GONE, meta)
     key = np.where(later, mixed(doc.view(np.uint64) * np.uint64(31) + at.view(np.uint64)).view(np.int64), key)
-    return [key, np.where(later, 0, phrase), np.where(later, 0, sides), doc, at, meta]
+    return [key, *(np.where(later, 0, c) for c in (phrase, digest, sides)), doc, at, meta]
 
 
 def _batch(cols: list[np.ndarray]) -> pa.RecordBatch:
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.int64, np.int32)
+    kinds = (*[np.int64] * 6, np.int32)
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(t, copy=False)) for c, t in zip(cols, kinds, strict=True)], _FIELDS)
 
 
@@ -169,18 +180,22 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 def _parse(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, n = [], 0
         for b in batches:
             doc, sub = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             data, offs = byte_view(b.column(2))
-            out = []
             for part, o, rows, base in _pieces(data, offs, length):
-                lo, _, key, phrase, sides, meta = phrases(part, o, length, k)
+                lo, _, key, phrase, digest, sides, meta = phrases(part, o, length, k)
                 j = np.searchsorted(o, lo, "right") - 1
                 row = rows[j]
                 at = lo - o[j] + base[j] + (sub[row].astype(np.int64) << _SUB)
-                out.append([key.view(np.int64), phrase.view(np.int64), sides, doc[row], at, meta])
-            if out:
+                out.append([key.view(np.int64), phrase, digest, sides, doc[row], at, meta])
+                n += len(lo)
+            if n >= GATHERED:
                 yield _batch(_first_kept([np.concatenate(c) for c in zip(*out, strict=True)]))
+                out, n = [], 0
+        if out:
+            yield _batch(_first_kept([np.concatenate(c) for c in zip(*out, strict=True)]))
 
     return run
 
@@ -199,10 +214,11 @@ def _told(cols: list[np.ndarray], leader: list[np.ndarray] | None, compare: bool
     """(places that go and strings to order, the last phrase's first place) of places in order.
 
     leader is the first place of the phrase that the rows before ended with. With compare, only phrases that
-    share a side with another of their trigger are told, and of those only the strings that hold that side.
+    share a side with another of their trigger are told, and of those only the strings that hold that side;
+    else all are told, as of a hot trigger.
     """
-    key, phrase, sides, doc, at, meta = cols if leader is None else [np.concatenate(c) for c in zip(leader, cols, strict=True)]
-    new = np.r_[True, (key[1:] != key[:-1]) | (phrase[1:] != phrase[:-1])]
+    key, phrase, digest, sides, doc, at, meta = cols if leader is None else [np.concatenate(c) for c in zip(leader, cols, strict=True)]
+    new = np.r_[True, (key[1:] != key[:-1]) | (phrase[1:] != phrase[:-1]) | (digest[1:] != digest[:-1])]
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
     gone = ~new & ((doc != doc[lead]) | (at != at[lead]))
     n, offset, inner = meta >> _COUNT, (meta >> _OFFSET) & 127, (meta & 3) == INNER
@@ -216,6 +232,7 @@ def _told(cols: list[np.ndarray], leader: list[np.ndarray] | None, compare: bool
         several = np.bincount(group)[group] > 1
         mark = np.zeros(group.max(initial=0) + 1, bool)
         mark[group[inner[i]]] = True
+        # such a phrase may also repeat itself
         whole = inner[i] | (several & mark[group])
         left, right = _shared(group, sides[i] >> 32), _shared(group, sides[i] & 0xFFFFFFFF)
         cut = np.clip(offset[i] - (length - k) // 2 + 1, 0, n[i])  # strings that reach far before the trigger
@@ -223,14 +240,14 @@ def _told(cols: list[np.ndarray], leader: list[np.ndarray] | None, compare: bool
         take = np.where(whole, n[i], np.where(left, cut, 0) + np.where(right, n[i] - cut, 0))
     else:
         skip, take = np.zeros(len(i), np.int64), n[i]
-    open_rows = [c[i][take > 0] for c in (key, phrase, sides, doc)] + [(at[i] + skip)[take > 0], ((take << _COUNT) | OPEN)[take > 0]]
-    gone_rows = [c[gone] for c in (key, phrase, sides, doc, at)] + [((n << _COUNT) | GONE)[gone]]
+    kept = [c[i][take > 0] for c in (key, phrase, digest, sides, doc)] + [(at[i] + skip)[take > 0], ((take << _COUNT) | (OPEN if compare else HOT))[take > 0]]
+    left_out = [c[gone] for c in (key, phrase, digest, sides, doc, at)] + [((n << _COUNT) | GONE)[gone]]
     end = int(lead[-1])
-    return [np.concatenate(c) for c in zip(open_rows, gone_rows, strict=True)], [c[end : end + 1] for c in (key, phrase, sides, doc, at, meta)]
+    return [np.concatenate(c) for c in zip(kept, left_out, strict=True)], [c[end : end + 1] for c in (key, phrase, digest, sides, doc, at, meta)]
 
 
 def _dictionary(length: int, k: int):
-    """Over places in the order of (key, phrase, doc, at): the places that go, and the dictionary's strings to order.
+    """Over places in the order of phrases and documents: the places that go, and the dictionary's strings to order.
 
     The rows of a trigger are held to be compared; of a trigger with more than HELD rows only the last
     phrase's first place is, and all its phrases are told.
@@ -240,7 +257,7 @@ def _dictionary(length: int, k: int):
         held: list[np.ndarray] | None = None
         leader, hot = None, None
         for cols in _gathered(batches):
-            passed = (cols[5] & 3) == GONE
+            passed = (cols[6] & 3) == GONE
             if passed.any():
                 yield _batch([c[passed] for c in cols])
                 cols = [c[~passed] for c in cols]
@@ -272,57 +289,121 @@ def _dictionary(length: int, k: int):
     return run
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over places in the order of (key, phrase, doc, at): those that go, all but the first of each string."""
-    leader = None
-    for cols in _gathered(batches):
-        passed = (cols[5] & 3) == GONE
-        if passed.any():
-            yield _batch([c[passed] for c in cols])
-            cols = [c[~passed] for c in cols]
-        if len(cols[0]):
-            out, leader = _told(cols, leader, False, 0, 0)
-            gone = (out[5] & 3) == GONE
-            yield _batch([c[gone] for c in out])
+_PIECES = "key bigint, doc bigint, at bigint, n int, piece binary"
+
+
+def _pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "doc", "at", "n", "piece"])
+
 
+def _spell(length: int):
+    """The bytes of the dictionary's phrases listed for a text: (key, place, piece).
 
-def _expand(length: int):
-    """Strings of the dictionary phrases listed for a text: (key, hash of the string, place)."""
+    Phrases of hot triggers are spelt string by string, with a hash of the string for a key; of a string that a
+    batch has more than once the first place is spelt, and the others go: they have n strings and no piece.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, subs, texts = (b.column(i).to_pylist() for i in range(3))
-            lists = b.column(3)
-            bounds, fields = lists.offsets.to_numpy(), lists.values.flatten() if lists.offset == 0 else None
-            if fields is None:
-                lists = pa.concat_arrays([lists])
-                bounds, fields = lists.offsets.to_numpy(), lists.values.flatten()
-            keys, ats, counts = (f.to_numpy(zero_copy_only=False) for f in fields)
-            out, size = [], 0
-            for row, (doc, sub, z) in enumerate(zip(docs, subs, texts, strict=True)):
-                data = np.frombuffer(zstandard.decompress(z), np.uint8)
-                lo, hi = bounds[row], bounds[row + 1]
-                at, n = ats[lo:hi] & ((1 << _SUB) - 1), counts[lo:hi].astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                at, n, key = at[order], n[order], keys[lo:hi][order]
-                first = 0
-                while first < len(at):  # phrases that a bounded part of the text holds, at least one
-                    last = first + 1
-                    while last < len(at) and at[last] + n[last] - at[first] <= CHUNK_BYTES:
-                        last += 1
-                    start, end = int(at[first]), int((at[first:last] + n[first:last]).max()) + length - 1
-                    m = n[first:last]
-                    i = np.repeat(at[first:last] - start - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-                    hashes = span_hashes(data[start:end], i, i + length).view(np.int64)
-                    places = i + start + (sub << _SUB)
-                    out.append([np.repeat(key[first:last], m), hashes, np.zeros(len(i), np.int64), np.full(len(i), doc), places, np.full(len(i), (1 << _COUNT) | OPEN, np.int32)])
-                    size += len(i)
-                    first = last
-                    if size > 1 << 19:
-                        yield _batch(_first_kept([np.concatenate(c) for c in zip(*out, strict=True)]))
-                        out, size = [], 0
+            docs, subs, texts, lists = (b.column(i).to_pylist() for i in range(4))
+            out: list[tuple] = []
+            first: dict[bytes, tuple] = {}
+            for doc, sub, z, found in zip(docs, subs, texts, lists, strict=True):
+                raw, high = zstandard.decompress(z), sub << _SUB
+                for x in found:
+                    place, n = x["at"] - high, x["n"]
+                    if not x["hot"]:
+                        out.append((x["key"], doc, x["at"], 0, raw[place : place + n + length - 1]))
+                        continue
+                    for i in range(place, place + n):
+                        string, here = raw[i : i + length], (doc, i + high)
+                        there = first.setdefault(string, here)
+                        if there != here:
+                            first[string], gone = min(here, there), max(here, there)
+                            out.append((hash(gone), *gone, 1, None))
+            for string, (doc, at) in first.items():
+                out.append((int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True), doc, at, 0, string))
             if out:
-                yield _batch(_first_kept([np.concatenate(c) for c in zip(*out, strict=True)]))
+                yield _pieces_batch(out)
+
+    return run
+
+
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Rank of the `length` bytes (8 or more) from each place, among all places; beyond the end stand zeros.
+
+    Ranks of 8 bytes are those of numbers; ranks of a greater depth follow from those of two halves that meet or
+    overlap, so each round sorts numbers, however deep.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    h = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        h = (h << np.uint64(8)) | padded[i : i + len(data)]
+    rank, depth = np.unique(h, return_inverse=True)[1].astype(np.int64), 8
+    while depth < length:
+        step = min(depth, length - depth)
+        after = np.zeros_like(rank)
+        after[:-step] = rank[step:] + 1
+        rank, depth = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1].astype(np.int64), depth + step
+    return rank
+
+
+def _repeated(keys: np.ndarray, docs: np.ndarray, ats: np.ndarray, pieces: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc, at, n): runs of strings of pieces that also start at an earlier place of a piece of their key."""
+    sizes = np.array([len(x) for x in pieces])
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    n = sizes - length + 1
+    rank = suffix_ranks(np.frombuffer(b"".join(pieces), np.uint8), length)
+    row = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+    rank, group = rank[begin[row] + inside], np.cumsum(np.r_[0, keys[1:] != keys[:-1]])[row]
+    doc, at = docs[row], ats[row] + inside
+    order = np.lexsort((at, doc, rank, group))
+    new = np.r_[True, (group[order][1:] != group[order][:-1]) | (rank[order][1:] != rank[order][:-1])]
+    leader = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    gone = np.zeros(len(row), bool)
+    gone[order] = (doc[order] != doc[leader]) | (at[order] != at[leader])
+    starts = gone & ~np.r_[False, gone[:-1] & (row[1:] == row[:-1])]
+    ends = gone & ~np.r_[gone[1:] & (row[1:] == row[:-1]), False]
+    lo, hi = np.flatnonzero(starts), np.flatnonzero(ends)
+    yield doc[lo], at[lo], hi - lo + 1
+
+
+_RUNS = "doc bigint, at bigint, n int"
+
+
+def _ranked(length: int):
+    """Over pieces in the order of their keys: the runs of strings that go. Whole keys are ranked together, some at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def told(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, doc, at = (t.column(i).to_numpy() for i in range(3))
+            for d, a, n in _repeated(key, doc, at, t.column(4).to_pylist(), length) if len(key) else ():
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(n.astype(np.int32))], ["doc", "at", "n"])
+
+        size = 0
+        for b in batches:
+            passed = b.filter(pa.compute.is_null(b.column(4)))
+            if passed.num_rows:
+                yield pa.RecordBatch.from_arrays(passed.columns[1:4], ["doc", "at", "n"])
+                b = b.filter(pa.compute.is_valid(b.column(4)))
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+            if size < RANKED:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1], "left"))
+            if last:
+                yield from told(t.slice(0, last))
+                held = t.slice(last).to_batches()
+                size = sum(x.nbytes for x in held)
+        if held:
+            yield from told(pa.Table.from_batches(held))
 
     return run
 
@@ -388,15 +469,19 @@ def _numbered(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     again = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
     if not again.limit(1).count():
-        return rows.select("doc", F.lit(0).alias("sub"), "text")
+        return rows.select("doc", F.lit(0).cast("bigint").alias("sub"), "text")
     hashed = rows.withColumn("h", F.sha2("text", 256))
-    named = hashed.join(again, "doc", "left_semi").select("doc", "h").distinct()
-    ranked = named.alias("a").join(named.alias("b"), F.expr("a.doc = b.doc and b.h < a.h"), "left").groupBy("a.doc", "a.h").agg(F.count("b.h").cast("int").alias("sub"))
+    named = hashed.join(again, "doc", "left_semi").select("doc", "h", F.substring("h", 1, 3).alias("range")).distinct()
+    # numbered in ranges of the hash, so that an id of very many texts isn't one task's
+    sizes = named.groupBy("doc", "range").agg(F.count("*").alias("n"))
+    before = sizes.select("doc", "range", (F.sum("n").over(W.partitionBy("doc").orderBy("range")) - F.col("n")).alias("before"))
+    own = F.row_number().over(W.partitionBy("doc", "range").orderBy("h")) - 1
+    ranked = named.withColumn("own", own).join(before, ["doc", "range"]).select("doc", "h", (F.col("own") + F.col("before")).cast("bigint").alias("sub"))
     return hashed.join(ranked, ["doc", "h"], "left").select("doc", F.coalesce("sub", F.lit(0)).alias("sub"), "text")
 
 
-def _in_order(places: DataFrame, *by: str) -> DataFrame:
-    return places.repartition(*by).sortWithinPartitions("key", "phrase", "doc", "at")
+def _in_order(places: DataFrame) -> DataFrame:
+    return places.repartition("key").sortWithinPartitions("key", "phrase", "digest", "doc", "at")
 
 
 def removed_places(rows: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -404,16 +489,16 @@ def removed_places(rows: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     short_batches(rows.sparkSession)
     long_rows = rows.where(F.octet_length("text") >= length)
     places = long_rows.mapInArrow(_parse(length, k), _PLACES)
-    count, gone = F.shiftright("meta", _COUNT).alias("n"), F.col("meta").bitwiseAND(F.lit(3)) == GONE
-    told = _stored(_in_order(places, "key").mapInArrow(_dictionary(length, k), _PLACES).select("key", "doc", "at", count, gone.alias("gone")))
-    listed = told.where("not gone").groupBy("doc", F.shiftright("at", _SUB).cast("int").alias("sub")).agg(F.collect_list(F.struct("key", "at", "n")).alias("found"))
-    strings = _packed(long_rows).join(listed, ["doc", "sub"]).select("doc", "sub", "z", "found").mapInArrow(_expand(length), _PLACES)
-    more = _in_order(strings, "key", "phrase").mapInArrow(_later, _PLACES)
-    return told.where("gone").select("doc", "at", "n").union(_stored(more.select("doc", "at", count)))
+    count, kind = F.shiftright("meta", _COUNT).alias("n"), F.col("meta").bitwiseAND(F.lit(3))
+    told = _stored(_in_order(places).mapInArrow(_dictionary(length, k), _PLACES).select("key", "doc", "at", count, (kind == GONE).alias("gone"), (kind == HOT).alias("hot")))
+    listed = told.where("not gone").groupBy("doc", F.shiftright("at", _SUB).alias("sub")).agg(F.collect_list(F.struct("key", "at", "n", "hot")).alias("found"))
+    pieces = _packed(long_rows).join(listed, ["doc", "sub"]).select("doc", "sub", "z", "found").mapInArrow(_spell(length), _PIECES)
+    more = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_ranked(length), _RUNS)
+    return told.where("gone").select("doc", "at", "n").union(_stored(more))
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    return rows.mapInArrow(_pack, "doc bigint, sub int, z binary")
+    return rows.mapInArrow(_pack, "doc bigint, sub bigint, z binary")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -425,7 +510,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     in the order of a hash. Texts under `length` bytes stay. Other columns aren't read.
     """
     rows = _numbered(docs)
-    gone = removed_places(rows, length, k).groupBy("doc", F.shiftright("at", _SUB).cast("int").alias("sub")).agg(F.collect_list(F.struct("at", "n")).alias("found"))
+    gone = removed_places(rows, length, k).groupBy("doc", F.shiftright("at", _SUB).alias("sub")).agg(F.collect_list(F.struct("at", "n")).alias("found"))
     joined = _packed(rows).join(gone, ["doc", "sub"], "left")
     named = joined.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "z", "found")
     return named.mapInArrow(_cut_out(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

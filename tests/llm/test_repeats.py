@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 import pytest
 
 from gleaner.llm import repeats
@@ -69,3 +71,21 @@ def test_hot_trigger(spark, monkeypatch):
     core = sentence(rng, 12)
     rows = [(i, sentence(rng, 6) + core + sentence(rng, 6) + core) for i in range(80)]
     assert found(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("length", [8, 9, 24, 100])
+def test_suffix_ranks_are_the_order_of_bytes(length):
+    rng = random.Random(length)
+    data = bytes(rng.choice(b"\x00ab\xff") for _ in range(3)) * 200 + bytes(rng.choice(b"ab") for _ in range(500)) + bytes(300)
+    rank = repeats.suffix_ranks(np.frombuffer(data, np.uint8), length).tolist()
+    whole = [data[i : i + length] for i in range(len(data) - length + 1)]
+    order = {x: i for i, x in enumerate(sorted(set(whole)))}
+    pairs = sorted(zip(whole, rank, strict=False))
+    assert all((a[0] == b[0]) == (a[1] == b[1]) and a[1] <= b[1] for a, b in zip(pairs, pairs[1:], strict=False)) and len(order) > 10
+
+
+def test_many_texts_of_one_id(spark):
+    rng = random.Random(6)
+    core = sentence(rng, 30)
+    rows = [(rng.choice([None, 7]), sentence(rng, 3) + core + str(i)) for i in range(60)]
+    assert found(spark, rows) == brute(rows)
