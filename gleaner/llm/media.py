@@ -23,6 +23,8 @@ CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 WIDTH, ROW = 64, 192
 #: Bytes of samples in one IDAT chunk.
 IDAT_BYTES = 1 << 16
+#: Bytes of samples that an image may have: as many as a binary value.
+MOST = (1 << 31) - 1
 #: Side of the grey thumbnail and of its low-frequency corner.
 SIDE, LOW = 32, 8
 
@@ -51,67 +53,88 @@ def encode(payload: bytes) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + b"".join(parts) + _chunk(b"IEND", b"")
 
 
-def _paeth(a: int, b: int, c: int) -> int:
-    p = a + b - c
-    near = (abs(p - a), abs(p - b), abs(p - c))
-    return (a, b, c)[near.index(min(near))]
-
-
 def unfilter(raw: np.ndarray, channels: int) -> np.ndarray:
     """Samples of filtered rows (each with its filter's number first)."""
-    out = np.zeros((len(raw), raw.shape[1] - 1), np.uint8)
-    above = np.zeros(out.shape[1], np.uint8)
     kinds = raw[:, 0]
     if kinds.max(initial=0) > 4:
         raise BrokenImage("unknown row filter")
+    if (kinds > 2).any():
+        return _by_diagonals(raw, channels)
+    out = np.zeros((len(raw), raw.shape[1] - 1), np.uint8)
     flat = kinds == 0
     out[flat] = raw[flat, 1:]
     sub = kinds == 1
     if sub.any():
         out[sub] = np.add.accumulate(raw[sub, 1:].reshape(int(sub.sum()), -1, channels), axis=1, dtype=np.uint8).reshape(int(sub.sum()), -1)
-    for i in np.flatnonzero(kinds > 1):
-        row, above = raw[i, 1:], out[i - 1] if i else np.zeros(out.shape[1], np.uint8)
-        if kinds[i] == 2:
-            out[i] = row + above
-            continue
-        got, up = [0] * (len(row) + channels), [0] * channels + above.tolist()
-        for j, x in enumerate(row.tolist(), channels):
-            left = got[j - channels]
-            got[j] = (x + ((left + up[j]) // 2 if kinds[i] == 3 else _paeth(left, up[j], up[j - channels]))) & 255
-        out[i] = got[channels:]
+    for i in np.flatnonzero(kinds == 2):
+        out[i] = raw[i, 1:] + (out[i - 1] if i else 0)
     return out
 
 
-def decode(image: bytes) -> tuple[np.ndarray, int]:
-    """(samples by row, channels) of a PNG with 8-bit samples; checksums, order and lengths are tested."""
-    if image[:8] != SIGNATURE:
+def _by_diagonals(raw: np.ndarray, channels: int) -> np.ndarray:
+    """As unfilter, for all filters: a pixel needs those left of it, above it and between, so a diagonal of pixels is undone at once."""
+    kinds, pixels = raw[:, 0], raw[:, 1:].reshape(len(raw), -1, channels).astype(np.int16)
+    height, width = pixels.shape[:2]
+    done = np.zeros((height + 1, width + 1, channels), np.int16)
+    for d in range(height + width - 1):
+        i = np.arange(max(0, d - width + 1), min(height, d + 1))
+        j = d - i
+        left, up, corner = done[i + 1, j], done[i, j + 1], done[i, j]
+        far = np.abs(np.stack([up - corner, left - corner, left + up - 2 * corner]))
+        nearest = np.choose(far.argmin(0), [left, up, corner])  # the first of equals, as the format has it
+        told = np.choose(kinds[i][:, None], [np.zeros_like(left), left, up, (left + up) // 2, nearest])
+        done[i + 1, j + 1] = (pixels[i, j] + told) & 255
+    return done[1:, 1:].reshape(height, -1).astype(np.uint8)
+
+
+def _chunks(image: bytes) -> list[tuple[bytes, bytes]]:
+    """(kind, data) of each chunk; lengths and checksums are tested, and that the end is the end."""
+    if image[: len(SIGNATURE)] != SIGNATURE:
         raise BrokenImage("no PNG signature")
-    at, head, packed, ended = 8, None, [], False
-    while at < len(image) and not ended:
+    at, found = len(SIGNATURE), []
+    while at < len(image):
         if at + 12 > len(image):
             raise BrokenImage("a chunk is cut off")
-        size, kind = struct.unpack(">I4s", image[at : at + 8])
+        size, kind = struct.unpack_from(">I4s", image, at)
         data, check = image[at + 8 : at + 8 + size], image[at + 8 + size : at + 12 + size]
         if len(check) < 4 or struct.unpack(">I", check)[0] != zlib.crc32(kind + data):
             raise BrokenImage(f"the checksum of {kind!r} is wrong")
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", data)
-        elif kind == b"IDAT":
-            packed.append(data)
-        ended, at = kind == b"IEND", at + 12 + size
-    if head is None or not ended:
-        raise BrokenImage("no header or no end")
-    width, height, depth, colour, _, _, interlace = head
-    if depth != 8 or colour not in CHANNELS or interlace:
+        found.append((kind, data))
+        at += 12 + size
+    return found
+
+
+def decode(image: bytes) -> tuple[np.ndarray, int]:
+    """(samples by row, channels) of a PNG with 8-bit samples.
+
+    Checksums, lengths, the order of chunks and the number of samples are tested; whatever is amiss is a
+    BrokenImage. No more is inflated than the header's size allows.
+    """
+    chunks = _chunks(image)
+    kinds = [k for k, _ in chunks]
+    if kinds[:1] != [b"IHDR"] or kinds.count(b"IHDR") > 1 or len(chunks[0][1]) != 13:
+        raise BrokenImage("no header, or not one at the start")
+    if kinds[-1] != b"IEND" or kinds.count(b"IEND") > 1 or chunks[-1][1]:
+        raise BrokenImage("no end, or something after it")
+    places = [i for i, k in enumerate(kinds) if k == b"IDAT"]
+    if not places or places[-1] - places[0] >= len(places):
+        raise BrokenImage("no samples, or samples in several places")
+    if any(k[:1].isupper() and k not in (b"IHDR", b"PLTE", b"IDAT", b"IEND") for k in kinds):
+        raise BrokenImage("a chunk that can't be left out is unknown")
+    width, height, depth, colour, packing, filtering, interlace = struct.unpack(">IIBBBBB", chunks[0][1])
+    if not width or not height:
+        raise BrokenImage("an image without width or height")
+    if depth != 8 or colour not in CHANNELS or packing or filtering or interlace:
         raise BrokenImage("only 8-bit samples without palette or interlace are read")
     channels = CHANNELS[colour]
+    size, inflate = height * (width * channels + 1), zlib.decompressobj()
     try:
-        raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+        raw = inflate.decompress(b"".join(chunks[i][1] for i in places), min(size + 1, MOST))
     except zlib.error as e:
         raise BrokenImage(str(e)) from e
-    if len(raw) != height * (width * channels + 1):
+    if len(raw) != size or not inflate.eof or inflate.unused_data:
         raise BrokenImage("wrong number of samples")
-    return unfilter(raw.reshape(height, -1), channels), channels
+    return unfilter(np.frombuffer(raw, np.uint8).reshape(height, -1), channels), channels
 
 
 def _cosines(n: int) -> np.ndarray:

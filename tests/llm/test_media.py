@@ -58,6 +58,28 @@ def test_broken_images_are_told(spark):
     assert got[2].payload is None and got[2].error and got[3].feature is None and got[3].error
 
 
+def _png(*chunks: tuple[bytes, bytes]) -> bytes:
+    return media.SIGNATURE + b"".join(media._chunk(*c) for c in chunks)
+
+
+@pytest.mark.parametrize("broken", [
+    _png((b"IHDR", b"\0" * 5), (b"IDAT", zlib.compress(b"")), (b"IEND", b"")),
+    _png((b"IHDR", struct.pack(">IIBBBBB", 0, 1, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(b"\0")), (b"IEND", b"")),
+    _png((b"IHDR", struct.pack(">IIBBBBB", 1, 0, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(b"")), (b"IEND", b"")),
+    _png((b"IDAT", zlib.compress(b"\0a")), (b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)), (b"IEND", b"")),
+    _png((b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(bytes(1 << 26))), (b"IEND", b"")),
+    _png((b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(b"\0a")), (b"IEND", b"")) + b"more",
+    _png((b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(b"\0a")[:-1]), (b"IEND", b"")),
+    _png((b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(b"\0a")), (b"tIME", b""), (b"IDAT", b""), (b"IEND", b"")),
+    _png((b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)), (b"NEWS", b""), (b"IDAT", zlib.compress(b"\0a")), (b"IEND", b"")),
+    _png((b"IHDR", struct.pack(">IIBBBBB", 1 << 31, 1 << 31, 8, 6, 0, 0, 0)), (b"IDAT", zlib.compress(b"\0a")), (b"IEND", b"")),
+    _png((b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)), (b"IEND", b"")), _png(), _png((b"IEND", b"")),
+])
+def test_headers_orders_and_sizes_are_told(broken):
+    with pytest.raises(media.BrokenImage):
+        media.decode(broken)
+
+
 def test_feature_is_the_corner_of_the_cosine_transform():
     samples = np.random.default_rng(1).integers(0, 256, (64, 192), dtype=np.uint8)
     grey = samples.reshape(64, 64, 3).sum(2).astype(float).reshape(32, 2, 32, 2).mean((1, 3))
