@@ -1,9 +1,17 @@
 """Linear text classifiers on hashed n-gram indicators that are scaled by naive Bayes log-count ratios.
 
 Two of them: on word and word-shape n-grams (quality) and on character n-grams (toxicity). Both minimise the
-hinge loss by dual coordinate descent. A model is fitted on a bounded sample of labelled rows (`per_class` rows of each class,
-by the order of a hash of doc_id); features of the sample are made in Spark tasks, the fit runs on the
-driver, and the weights, 2**BITS floats whatever the corpus, are broadcast. Scoring reads whole texts.
+hinge loss by dual coordinate descent. A model is fitted on a bounded sample of labelled rows (`per_class` rows
+of each class and FEATURES features in all, by the order of a hash of doc_id); features of the sample are made
+in Spark tasks, the fit runs on the driver, and the weights, 2**BITS floats whatever the corpus, are broadcast.
+Scoring reads whole texts.
+
+Settings are chosen on the training fold alone: a fitted model tells the accuracy and the area under the curve
+of its sample's rows, each scored by a model of the other parts (`cross_validated`).
+
+Wherever texts are scored: null and empty texts have no features and score by the intercept; very long texts are
+read whole; equal texts have equal scores; repeated rows and rows without doc_id are rows like others; an empty
+table gives no rows; columns besides doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -13,15 +21,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import _TABLE, ascii_lower, byte_view, chunks, mixed, short_batches, span_hashes, spans
+from gleaner.llm.common import _TABLE, ascii_lower, byte_view, chunks, cut, mixed, short_batches, span_hashes, spans
 
 BITS = 18
 #: Rows of each class that a fit takes at most; character n-grams of a text are many more than its words'.
-PER_CLASS, PER_CLASS_CHARS = 2500, 1500
+PER_CLASS, PER_CLASS_CHARS = 2500, 2000
+#: Features of the sample's rows that go to the driver at most.
+FEATURES = 1 << 25
 #: Lengths of character n-grams in bytes; the long ones hold beginnings of words with letters of two bytes.
-GRAMS = (4, 6, 8)
+GRAMS = (4, 6)
 #: Parts of the sample that are scored by a model of the other parts, to calibrate probabilities.
 FOLDS = 2
 
@@ -36,7 +47,7 @@ def _index(h: np.ndarray) -> np.ndarray:
 
 
 def char_ngrams(data: np.ndarray, offs: np.ndarray) -> list[Part]:
-    """n-grams of lower-cased bytes within a row, of each length in GRAMS, with a blank before and after it.
+    """n-grams of lower-cased bytes within a row, of each length in GRAMS (in rising order), with a blank before and after it.
 
     Bytes below 0x30 count as blank, so punctuation doesn't part equal words.
     """
@@ -91,7 +102,7 @@ def word_ngrams(data: np.ndarray, offs: np.ndarray) -> list[Part]:
     repeat = np.zeros(len(s), bool)
     for back in (1, 2):
         repeat[back:] |= (lower[back:] == lower[:-back]) & (rows[back:] == rows[:-back]) & ~is_mark[back:]
-    shape = kind[data[s]] + np.uint64(8) * caps.astype(np.uint64) + np.uint64(16) * repeat.astype(np.uint64)
+    shape = kind[s] + np.uint64(8) * caps.astype(np.uint64) + np.uint64(16) * repeat.astype(np.uint64)
     shape += np.uint64(32) * np.minimum(np.log2(size).astype(np.uint64), np.uint64(5))
     shape = mixed(np.where(is_mark, lower, shape + np.uint64(1)))
     at, to = first[:-1], first[1:]
@@ -167,6 +178,14 @@ def _features_of(rows: DataFrame, features: Features):
     return rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id bigint, y int, feats array<int>")
 
 
+def _bounded(rows: DataFrame, most: int) -> DataFrame:
+    """The first rows(doc_id, y, feats) of each class, by the hash of doc_id, that have half of `most` features together."""
+    sized = cut(rows).withColumn("size", F.size("feats"))
+    # a narrow window over at most per_class rows of a class
+    upto = sized.select("doc_id", "y", F.sum("size").over(W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("upto"))
+    return sized.join(upto.where(F.col("upto") <= most // 2).select("doc_id"), "doc_id").select("doc_id", "y", "feats")
+
+
 def log_count_ratio(feats: list[np.ndarray], y: np.ndarray, smooth: float = 1.0, least: int = 3) -> np.ndarray:
     """Log of the ratio of smoothed, normalised indicator counts in class 1 and class 0.
 
@@ -235,11 +254,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, held
     """Fits on the bounded sample; probabilities are calibrated on halves of it that the other half's model scores.
 
     The calibration weighs the classes as all usable labels do, since the sample may hold other shares. With
-    one class or no rows, the model gives that class's prior (0.5 if none).
+    one class or no rows, the model gives that class's prior (0.5 if none). Of documents that share a doc_id, one
+    by a hash of the text is taken, null texts last; labelled ids without a document count for nothing.
     """
     short_batches(docs.sparkSession)
     ids = usable(labels, label, held, folds)
-    rows = _features_of(sample(docs, ids, per_class), features).toArrow()
+    rows = _bounded(_features_of(sample(docs, ids, per_class), features), FEATURES).toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     y = rows["y"].to_numpy()[order].astype(int)
     lists = rows["feats"].combine_chunks()
@@ -259,7 +279,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, held
         own, rest = np.flatnonzero(part == k), np.flatnonzero(part != k)
         z[own] = _margins(fit_hinge([feats[i] for i in rest], y[rest]), [feats[i] for i in own])
     counted = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}  # two rows
-    return _calibrated(model, z, y, np.array([counted[0] / no, counted[1] / yes]))
+    place = np.argsort(np.argsort(z))
+    told = {"accuracy": float(((z >= 0) == y).mean()), "area": float((place[y == 1].sum() - yes * (yes - 1) / 2) / (yes * no))}
+    return _calibrated(model, z, y, np.array([counted[0] / no, counted[1] / yes])) | {"cross_validated": told}
 
 
 def margin_function(spark: SparkSession, model: dict, features: Features) -> Callable[[], Callable[[pa.Array], np.ndarray]]:
@@ -308,19 +330,20 @@ def scored(docs: DataFrame, model: dict, features: Features, held: int, folds: i
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int = 3, per_class: int = PER_CLASS) -> dict:
-    """Naive Bayes support vectors on word and shape n-grams, fitted to labels.quality."""
+    """Naive Bayes support vectors on word and shape n-grams, fitted to labels.quality outside the held-out fold (see fit)."""
     return fit(docs, labels, "quality", word_ngrams, held, folds, per_class)
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, per_class: int = PER_CLASS_CHARS) -> dict:
-    """Linear model on scaled character n-grams, fitted to labels.toxic."""
+    """Linear model on scaled character n-grams, fitted to labels.toxic outside the held-out fold (see fit)."""
     return fit(docs, labels, "toxic", char_ngrams, held, folds, per_class)
 
 
 def accepted(docs: DataFrame, model: dict, features: Features) -> DataFrame:
     """The rows of docs, with all their columns, that a model scores at 0.5 or more.
 
-    Rows are scored beside their columns, so nothing is joined or shuffled.
+    Rows are scored beside their columns, whatever these are called, so nothing is joined or shuffled, and repeated
+    rows share a fate. Null and empty texts stay if the intercept alone is accepted.
     """
     spark = docs.sparkSession
     short_batches(spark)
