@@ -79,7 +79,12 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     size is the text's UTF-8 bytes (null: none) plus 8. A null text has the checksum of the empty one, a null
     doc_id the key of an empty string. Repeated rows share a shard and take slots of their own; an empty
     table gives no rows; other columns aren't read. grown_shard is the place with one more shard.
+
+    shards has to fill its regions: only then does one more shard open a region of its own and take rows only
+    into itself, as the law says. Other numbers are refused.
     """
+    if shards < 1 or shards % (RACK * REGION):
+        raise ValueError(f"the number of shards must be a positive multiple of {RACK * REGION}")
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(raw) + 8).cast("bigint").alias("size"),

@@ -62,3 +62,14 @@ def test_one_id_in_very_many_rows(spark):
     text = sentence(__import__("random").Random(1), 5)
     got = sharding.shard_documents(documents(spark, [(7, text)] * 500)).collect()
     assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(500))
+
+
+@pytest.mark.parametrize("shards", [0, -8, 1, 25])
+def test_counts_for_which_the_law_would_not_hold_are_refused(spark, shards):
+    with pytest.raises(ValueError, match="multiple"):
+        sharding.shard_documents(documents(spark, []), shards)
+
+
+@pytest.mark.parametrize("shards", [8, 16, 32])
+def test_a_new_region_takes_rows_only_into_itself(shards):
+    assert all(brute_place(str(i), shards + 1) in (brute_place(str(i), shards), shards) for i in range(3000))
