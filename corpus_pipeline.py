@@ -1,7 +1,8 @@
 """A training corpus in five stages: quality, near duplicates, benchmark leaks, source mix, shards.
 
 Each stage takes what the one before it kept, written as Parquet and read again; all but the last return the
-columns of documents.
+columns of documents, extra ones of any name among them. In every stage null texts are empty, rows without doc_id
+are rows like others, very long texts are read whole, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,22 +18,26 @@ from gleaner.llm.queries import LANGUAGE_WEIGHTS, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality classifier accepts."""
+    """Rows that the quality classifier accepts; equal texts share a fate, repeated rows stay repeated."""
     model = linear.quality_model(docs, table(spark, sf_dir, "labels"))
     return linear.accepted(docs, model, linear.word_ngrams)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate class: a row of the smallest doc_id, or of no id where no row has one."""
+    """One row of each near-duplicate class: a row of the smallest doc_id, or of no id where no row has one.
+
+    Rows without words are one class. Different texts of one doc_id are different documents.
+    """
     return simhash.one_of_each_class(docs, unnamed=True)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that leak no benchmark item."""
+    """Rows that leak no benchmark item; of rows that share a doc_id only those whose text leaks go, repeated ones all."""
     items = decontaminate.split_items(table(spark, sf_dir, "benchmark"))
     keyed = docs.select(mixing.row_key().alias("doc_id"), "text")  # a null id never equals another
-    leaks = decontaminate.contaminated(keyed, items, whole=decontaminate.WHOLE).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.withColumn("__key", mixing.row_key()).join(leaks, F.col("__key") == F.col("__leak"), "left_anti").drop("__key")
+    leaks = decontaminate.contaminated(keyed, items, whole=decontaminate.WHOLE).select(F.col("doc_id").alias("leak")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), mixing.row_key().alias("key"))
+    return rows.join(leaks, F.col("key") == F.col("leak"), "left_anti").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row, repeated ones in slots of their own."""
     return sharding.shard_documents(docs)
 
 
