@@ -6,6 +6,26 @@ from gleaner.llm.quotes import COMMON
 
 _PLAIN = r"trim(regexp_replace(lower(substring(line, length(marks) + 1)), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
+#: The definition itself: every string of 100 bytes (200 hexadecimal digits) and the first place where it starts.
+#: Runs of removed bytes are the gaps and islands of the strings' starts; doc_id is unique in the table.
+OP9_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n_bytes FROM d),
+w AS (SELECT doc_id, unnest(range(greatest(n_bytes - 99, 0))) AS place, h FROM n),
+s AS (SELECT doc_id, place, substr(h, 2 * place + 1, 200) AS string FROM w),
+f AS (SELECT string, min({'doc_id': doc_id, 'place': place}) AS first FROM s GROUP BY string HAVING count(*) > 1),
+g AS (SELECT s.doc_id, s.place FROM s JOIN f ON s.string = f.string WHERE s.doc_id <> f.first.doc_id OR s.place <> f.first.place),
+m AS (SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY doc_id ORDER BY place) <= 100 THEN 0 ELSE 1 END AS fresh FROM g),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM m),
+spans AS (SELECT doc_id, run, min(place) AS lo, max(place) + 100 AS hi FROM r GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(hi) OVER w, 0) AS lo, lo AS hi FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
+  UNION ALL SELECT doc_id, max(hi), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT gaps.doc_id, string_agg(substr(n.h, 2 * lo + 1, 2 * (coalesce(hi, n_bytes) - lo)), '' ORDER BY lo) AS h FROM gaps JOIN n ON n.doc_id = gaps.doc_id GROUP BY gaps.doc_id),
+told AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, n.h))) AS kept_sha256
+FROM n LEFT JOIN told ON told.doc_id = n.doc_id LEFT JOIN kept ON kept.doc_id = n.doc_id
+"""
+
 #: Every line of every message, its passages, the messages that say them, votes by level, and the chain of replies.
 OP2_QUOTES = rf"""
 WITH RECURSIVE turns AS (SELECT conv_id, turn, role, text, lag(text) OVER w AS one, lag(text, 2) OVER w AS two FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),

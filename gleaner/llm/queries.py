@@ -92,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quotes": oracles.OP2_QUOTES}
+    return {"op2_quotes": oracles.OP2_QUOTES, "op9_repeats": oracles.OP9_REPEATS}
