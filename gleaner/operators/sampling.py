@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleaner.functions.lineage import cut
+
 RANGE = 1 << 16
 
 
@@ -22,7 +24,8 @@ def numbered(rows: DataFrame, key: str, name: str = "number") -> DataFrame:
 
 
 def stride_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """`limit` rows at even distances in the order of key; all rows if there are no more."""
+    """`limit` rows at even distances in the order of key; all rows if there are no more. The input is worked out once."""
+    rows = cut(rows)
     n = rows.count()
     step = max(n // limit, 1)
     if n <= limit:

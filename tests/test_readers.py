@@ -7,7 +7,7 @@ import pytest
 
 from gleaner.functions.lineage import use_shared_checkpoints
 from gleaner.operators import dom, paging
-from gleaner.plans import readers
+from gleaner.plans import readers, value_cases
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,11 +20,15 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", readers.oracle_sql())
+_QUERIES = readers.queries() | value_cases.queries()
+_SQL = readers.oracle_sql() | value_cases.oracle_sql()
+
+
+@pytest.mark.parametrize("name", _SQL)
 def test_as_in_sql(spark, duck, name):
-    df = readers.queries()[name](spark, DATA)
+    df = _QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
-    there = duck.execute(readers.oracle_sql()[name])
+    there = duck.execute(_SQL[name])
     names = [c[0] for c in there.description]
     assert sorted(names) == columns
     want = sorted((tuple(r[names.index(c)] for c in columns) for r in there.fetchall()), key=repr)

@@ -49,3 +49,10 @@ def test_jobs_and_summary(spark, tmp_path):
     sinks.write_summary(catalogue.run_summary(spark, DATA), str(tmp_path / "summary"))
     document = json.loads(spark.read.text(str(tmp_path / "summary")).first()["value"])
     assert document["totals"]["companies_processed"] == catalogue._results(spark, DATA).count()
+
+
+def test_files_of_a_folder_have_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Company,Website,Careers URL\nAcme,acme.example,acme.example/jobs\n")
+    (tmp_path / "b.csv").write_text("\ufeffIT LINK,Name,Careers Page,URL\njobs.lever.co/b,Beta,beta.example/c,beta.example\n")
+    got = sorted((r.company, r.website, r.career_url, r.it_link) for r in sheet.read_companies(spark, str(tmp_path)).collect())
+    assert got == [("Acme", "acme.example", "acme.example/jobs", ""), ("Beta", "beta.example", "beta.example/c", "jobs.lever.co/b")]
