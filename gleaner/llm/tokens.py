@@ -27,8 +27,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens in a leaf, leaves or nodes in a node, and characters of context before an edit.
 LEAF, FANOUT, CONTEXT = 64, 16, 4
-#: Pre-tokens whose counts a task remembers.
-REMEMBERED = 1 << 17
+#: Pre-tokens whose counts a task remembers, and characters of one at most.
+REMEMBERED, SHORT = 1 << 17, 64
 
 
 class Counter:
@@ -47,7 +47,9 @@ class Counter:
         for p in parts:
             n = known.get(p)
             if n is None:
-                n = known[p] = len(self.encoding.encode_ordinary(p))
+                n = len(self.encoding.encode_ordinary(p))
+                if len(p) <= SHORT:
+                    known[p] = n
             out.append(n)
         return out
 
