@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gleaner.functions.lineage import cut, use_shared_checkpoints  # noqa: F401
 
@@ -132,3 +134,43 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def split_longs(values: list[int]) -> Column:
+    """A literal array of longs of any length; the optimizer folds it into one value."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def running(rows: DataFrame, order: list[Column | str], sums: list[str] | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """rows in the order of `order` with n, the place of each from 0, and `<c>_upto`, the sum of c up to and with it.
+
+    The rows are dealt out by ranges of their order and numbered within each range; the totals of the ranges, a row
+    for each partition, give what stands before. order must tell all rows apart but equal ones; the columns of
+    `sums` are longs without nulls. Also returns the totals, by name (n for the rows).
+    """
+    sums = sums or []
+    spread = cut(rows).repartitionByRange(*order).sortWithinPartitions(*order)  # ranges are sampled, so rows are laid down first
+    added = ["__part", "n", *[f"{c}_upto" for c in sums]]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, upto = TaskContext.get().partitionId(), 0, dict.fromkeys(sums, 0)
+        for b in batches:
+            n = b.num_rows
+            out = [pa.array(np.full(n, part)), pa.array(np.arange(at, at + n))]
+            at += n
+            for c in sums:
+                total = np.cumsum(b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)) + upto[c]
+                upto[c] = int(total[-1]) if n else upto[c]
+                out.append(pa.array(total))
+            yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, *added])
+
+    fixed = cut(spread.mapInArrow(number, StructType([*spread.schema.fields, *[StructField(c, LongType()) for c in added]])))
+    parts = fixed.groupBy("__part").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums]).orderBy("__part").collect()
+    before, totals = {}, {}
+    for c in ["n", *sums]:
+        ends = np.cumsum([0, *[r[c] for r in parts]]).tolist()
+        at = dict(zip((r["__part"] for r in parts), ends, strict=False))
+        before[c], totals[c] = [at.get(i, 0) for i in range(max(at, default=0) + 1)], ends[-1]
+    start = {c: F.element_at(split_longs(before[c]), F.col("__part").cast("int") + 1) for c in before}
+    moved = {"n": F.col("n") + start["n"], **{f"{c}_upto": F.col(f"{c}_upto") + start[c] for c in sums}}
+    return fixed.withColumns(moved).drop("__part"), totals

@@ -60,3 +60,47 @@ SELECT m.thread AS conv_id, m.seq AS turn, CAST(m.tie AS INTEGER) AS tie, m.p AS
 FROM m JOIN x ON x.thread = m.thread AND x.p = m.p JOIN d ON d.thread = m.thread AND d.p = m.p JOIN m r ON r.thread = m.thread AND r.p = d.root LEFT JOIN m pa ON pa.thread = m.thread AND pa.p = x.parent
 UNION ALL SELECT thread, seq, 0, NULL, NULL, NULL, seq, 0, 0, '', 0, 0, role, clean FROM own WHERE thread IS NULL OR seq IS NULL
 """
+
+#: CRC-32 of UTF-8 bytes by the usual table, which is worked out first: a table named `crc` and an expression on a column.
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i)))"""
+
+
+def _crc32(column: str) -> str:
+    hexed = f"hex(encode({column}))"
+    octets = f"list_transform(range(length({hexed}) // 2), lambda j: CAST('0x' || substr({hexed}, CAST(2 * j + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c // 256, steps[xor(c % 256, b) + 1])), 4294967295)"
+
+
+#: Every prefix of every conversation, rebuilt; a node is a list of turns, and a subtree all nodes that begin with it.
+OP11_PREFIX_TRIE = f"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+k AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS name, turns FROM t),
+hashed AS (SELECT conv_id, turns, CAST({_crc32('name')} % 4 AS BIGINT) AS h FROM k, crc),
+s AS (SELECT a.conv_id, list_concat(coalesce(list_slice(b.turns, 1, a.h), []), list_slice(a.turns, a.h + 1, length(a.turns))) AS turns FROM hashed a LEFT JOIN t b ON b.conv_id = a.conv_id - a.conv_id % 20),
+p AS (SELECT conv_id, turns, unnest(range(length(turns) + 1)) AS depth FROM s),
+m AS (SELECT conv_id, depth, list_slice(turns, 1, depth) AS node, depth = length(turns) AS ends FROM p),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY node, depth),
+c AS (SELECT list_slice(node, 1, depth - 1) AS node, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+w AS (SELECT n.*, coalesce(c.n, 0) AS n_children, CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.node[n.depth].text, '[^\\x20\\x09-\\x0D]+')) END AS saved FROM n LEFT JOIN c ON c.node = n.node),
+up AS (SELECT node, n_children, saved, unnest(range(depth + 1)) AS depth FROM w),
+sub AS (SELECT list_slice(node, 1, depth) AS node, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY 1)
+SELECT w.conv_id, w.depth, par.conv_id AS parent_conv_id, w.n_convs, w.n_children, sub.n_leaves, sub.saved_tokens, w.ends_sha256
+FROM w JOIN sub ON sub.node = w.node LEFT JOIN n par ON w.depth > 0 AND par.node = list_slice(w.node, 1, w.depth - 1)
+"""
+
+#: Buckets are worked out once for each distinct word; ids are unique in the table.
+OP12_RESAMPLING = f"""
+WITH {_CRC_TABLE},
+w AS (SELECT 0 AS side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM documents
+  UNION ALL SELECT 1, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark),
+b AS (SELECT word, {_crc32('word')} % 10000 AS bucket FROM (SELECT DISTINCT word FROM w), crc),
+f AS (SELECT side, doc_id, bucket FROM w JOIN b ON b.word = w.word),
+n AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM n),
+v AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN g ON g.bucket = f.bucket WHERE side = 0 GROUP BY doc_id),
+x AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) AS h FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score, n_features >= 20 AS fit FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY fit) AS total FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 10 * total // 100 THEN place END AS rank FROM z
+"""

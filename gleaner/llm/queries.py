@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, linear, media, mixing, oracles, quotes, repeats, sharding, simhash, tokens
+from gleaner.llm import decontaminate, linear, media, mixing, oracles, prefix_trie, quotes, repeats, resampling, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.read_media(media.with_media(table(spark, sf_dir, "documents"))))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -88,8 +96,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_repeats": op9_repeats,
         "op10_media": op10_media,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_resampling": op12_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quotes": oracles.OP2_QUOTES, "op9_repeats": oracles.OP9_REPEATS}
+    return {"op2_quotes": oracles.OP2_QUOTES, "op9_repeats": oracles.OP9_REPEATS, "op11_prefix_trie": oracles.OP11_PREFIX_TRIE, "op12_resampling": oracles.OP12_RESAMPLING}
