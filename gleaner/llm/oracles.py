@@ -104,3 +104,20 @@ y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 429496729
 z AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY fit) AS total FROM y)
 SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 10 * total // 100 THEN place END AS rank FROM z
 """
+
+#: Sets of distinct shingles, one of each; every two that share a shingle are compared, and links are followed to their least id.
+OP13_MINHASH = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN length(words) = 0 THEN [] WHEN length(words) < 5 THEN [array_to_string(words, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, length(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' ')))) END AS shingles FROM w),
+k AS (SELECT doc_id, length(shingles) AS n, sha256(array_to_string(shingles, chr(10))) AS name, shingles FROM s),
+one AS (SELECT name, min(doc_id) AS id, any_value(n) AS n, any_value(shingles) AS shingles FROM k WHERE n > 0 GROUP BY name),
+g AS (SELECT id, n, unnest(shingles) AS shingle FROM one),
+p AS (SELECT a.id AS u, b.id AS v, a.n + b.n AS both_sizes, count(*) AS inter FROM g a JOIN g b ON a.shingle = b.shingle AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT u, v FROM p WHERE 100 * inter >= 85 * (both_sizes - inter)),
+links AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT id AS at, id AS seen FROM one UNION SELECT links.v, r.seen FROM r JOIN links ON links.u = r.at),
+c AS (SELECT at, min(seen) AS component_id FROM r GROUP BY at)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(c.component_id, k.doc_id) AS component_id, coalesce(c.component_id, k.doc_id) = k.doc_id AS kept
+FROM k LEFT JOIN one ON one.name = k.name AND k.n > 0 LEFT JOIN c ON c.at = one.id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, linear, media, mixing, oracles, prefix_trie, quotes, repeats, resampling, sharding, simhash, tokens
+from gleaner.llm import decontaminate, linear, media, minhash, mixing, oracles, prefix_trie, quotes, repeats, resampling, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -98,8 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_media": op10_media,
         "op11_prefix_trie": op11_prefix_trie,
         "op12_resampling": op12_resampling,
+        "op13_minhash": op13_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quotes": oracles.OP2_QUOTES, "op9_repeats": oracles.OP9_REPEATS, "op11_prefix_trie": oracles.OP11_PREFIX_TRIE, "op12_resampling": oracles.OP12_RESAMPLING}
+    return {"op2_quotes": oracles.OP2_QUOTES, "op9_repeats": oracles.OP9_REPEATS, "op11_prefix_trie": oracles.OP11_PREFIX_TRIE, "op12_resampling": oracles.OP12_RESAMPLING, "op13_minhash": oracles.OP13_MINHASH}
