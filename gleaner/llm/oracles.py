@@ -116,8 +116,8 @@ g AS (SELECT id, n, unnest(shingles) AS shingle FROM one),
 p AS (SELECT a.id AS u, b.id AS v, a.n + b.n AS both_sizes, count(*) AS inter FROM g a JOIN g b ON a.shingle = b.shingle AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
 e AS (SELECT u, v FROM p WHERE 100 * inter >= 85 * (both_sizes - inter)),
 links AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
-r AS (SELECT id AS at, id AS seen FROM one UNION SELECT links.v, r.seen FROM r JOIN links ON links.u = r.at),
-c AS (SELECT at, min(seen) AS component_id FROM r GROUP BY at)
+r AS (SELECT id AS node, id AS seen FROM one UNION SELECT links.v, r.seen FROM r JOIN links ON links.u = r.node),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
 SELECT k.doc_id, k.n AS n_shingles, coalesce(c.component_id, k.doc_id) AS component_id, coalesce(c.component_id, k.doc_id) = k.doc_id AS kept
-FROM k LEFT JOIN one ON one.name = k.name AND k.n > 0 LEFT JOIN c ON c.at = one.id
+FROM k LEFT JOIN one ON one.name = k.name AND k.n > 0 LEFT JOIN c ON c.node = one.id
 """
