@@ -48,7 +48,7 @@ def rebuilt(lists: DataFrame, family: int = FAMILY, longest: int = LONGEST_HEAD)
     """lists with each conversation's first turns taken from the first conversation of its family.
 
     Of conversation c the first crc32(c) % longest turns are those of conversation c - c % family (all if it has
-    fewer, none if there is none), its own turns follow after as many.
+    fewer, none if there is none), its own turns follow after as many. The remainder has the sign of c, as in SQL.
     """
     heads = lists.where(F.col("conv_id") % family == 0).select(F.col("conv_id").alias("first"), F.slice("turns", 1, longest - 1).alias("head"))
     n = (F.crc32(F.col("conv_id").cast("string")) % longest).cast("int")
@@ -87,20 +87,24 @@ def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, conv_id) that stand sorted, as (a, b, first, ids): decimal ids of one node, comma-joined, in pieces."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int64()), ("ids", pa.string())])
     node, held, size = None, [], 0
+    done: list[tuple] = []
 
-    def piece():
-        return pa.RecordBatch.from_arrays([pa.array([node[0]]), pa.array([node[1]]), pa.array([held[0]]), pa.array([",".join(map(str, held))])], schema=schema)
+    def table():
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True) if done else ([],) * 4, schema.types, strict=True)], schema=schema)
 
     for batch in batches:
         for a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if held and ((a, b) != node or size > CHUNK):
-                yield piece()
+                done.append((*node, held[0], ",".join(map(str, held))))
                 held, size = [], 0
             node = (a, b)
             held.append(c)
             size += len(str(c)) + 1
+        yield table()
+        done = []
     if held:
-        yield piece()
+        done.append((*node, held[0], ",".join(map(str, held))))
+        yield table()
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,12 +32,12 @@ def _words(text: Column) -> Column:
 def bucket_array(text: Column, longest: int = LONGEST, buckets: int = BUCKETS) -> Column:
     """The bucket of each run of 1 to `longest` consecutive words of a text, repeats included; of a null, none."""
 
+    def of_length(words: Column, k: int) -> Column:
+        starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+
     def runs(words: Column) -> Column:
-        kinds = [words]
-        for k in range(2, longest + 1):
-            starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
-            kinds.append(F.transform(starts, lambda i, k=k: F.array_join(F.slice(words, i, F.lit(k)), " ")))
-        return F.flatten(F.array(*kinds))
+        return F.flatten(F.array(words, *[of_length(words, k) for k in range(2, longest + 1)]))
 
     features = _words(text) if longest == 1 else bound(_words(text), runs)
     return F.transform(features, lambda x: (F.crc32(x) % buckets).cast("int"))
@@ -63,7 +63,6 @@ def weighed(docs: DataFrame, gain: list[int], longest: int = LONGEST, seed: int
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("w"))
     summed = F.aggregate(bucket_array(F.col("text"), longest, len(gain)), zero, lambda a, b: F.struct((a["n"] + 1).alias("n"), (a["w"] + F.element_at(per, b + 1)).alias("w")))
     n = F.col("x.n")
-    # of f features the words are those of one word: f = w + (w-1) + ... for `longest` terms
     words = n if longest == 1 else F.size(_words(F.col("text"))).cast("bigint")
     draw = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     gumbel = F.floor(F.lit(-1000.0) * F.ln(-F.ln((draw + 0.5) / 4294967296.0))).cast("bigint")
