@@ -52,6 +52,8 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROWS, HELD, RANKED = 1 << 16, 1 << 14, 1 << 21
 #: Places that a task gathers before it keeps the first of each phrase.
 GATHERED = 1 << 19
+#: Strings of hot triggers that a task holds to find those it has already met.
+SPELT = 1 << 18
 
 
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
@@ -300,8 +302,8 @@ def _pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
 def _spell(length: int):
     """The bytes of the dictionary's phrases listed for a text: (key, place, piece).
 
-    Phrases of hot triggers are spelt string by string, with a hash of the string for a key; of a string that a
-    batch has more than once the first place is spelt, and the others go: they have n strings and no piece.
+    Phrases of hot triggers are spelt string by string, with a hash of the string for a key; of a string that
+    SPELT successive ones hold more than once the first place is spelt, and the others go: they have n strings and no piece.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,6 +311,12 @@ def _spell(length: int):
             docs, subs, texts, lists = (b.column(i).to_pylist() for i in range(4))
             out: list[tuple] = []
             first: dict[bytes, tuple] = {}
+
+            def spelt():
+                rows = [(int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True), doc, at, 0, string) for string, (doc, at) in first.items()]
+                first.clear()
+                return rows
+
             for doc, sub, z, found in zip(docs, subs, texts, lists, strict=True):
                 raw, high = zstandard.decompress(z), sub << _SUB
                 for x in found:
@@ -322,8 +330,10 @@ def _spell(length: int):
                         if there != here:
                             first[string], gone = min(here, there), max(here, there)
                             out.append((hash(gone), *gone, 1, None))
-            for string, (doc, at) in first.items():
-                out.append((int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True), doc, at, 0, string))
+                        if len(first) + len(out) > SPELT:
+                            yield _pieces_batch(out + spelt())
+                            out = []
+            out += spelt()
             if out:
                 yield _pieces_batch(out)
 
@@ -464,12 +474,13 @@ def _stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """(doc, sub, text): a null id is the smallest; sub numbers the different texts of a repeated id."""
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, sub, text) of every row, and the same with repeated rows once: a null id is the smallest; sub numbers the different texts of a repeated id."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     again = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
     if not again.limit(1).count():
-        return rows.select("doc", F.lit(0).cast("bigint").alias("sub"), "text")
+        rows = rows.select("doc", F.lit(0).cast("bigint").alias("sub"), "text")
+        return rows, rows
     hashed = rows.withColumn("h", F.sha2("text", 256))
     named = hashed.join(again, "doc", "left_semi").select("doc", "h", F.substring("h", 1, 3).alias("range")).distinct()
     # numbered in ranges of the hash, so that an id of very many texts isn't one task's
@@ -477,7 +488,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
     before = sizes.select("doc", "range", (F.sum("n").over(W.partitionBy("doc").orderBy("range")) - F.col("n")).alias("before"))
     own = F.row_number().over(W.partitionBy("doc", "range").orderBy("h")) - 1
     ranked = named.withColumn("own", own).join(before, ["doc", "range"]).select("doc", "h", (F.col("own") + F.col("before")).cast("bigint").alias("sub"))
-    return hashed.join(ranked, ["doc", "h"], "left").select("doc", F.coalesce("sub", F.lit(0)).alias("sub"), "text")
+    each = hashed.join(ranked, ["doc", "h"], "left").select("doc", F.coalesce("sub", F.lit(0)).alias("sub"), "text")
+    alone = rows.join(again, "doc", "left_anti").select("doc", F.lit(0).cast("bigint").alias("sub"), "text")
+    # only rows of a repeated id can be repeated; equal ones become one where they are read, before any shuffle
+    repeated = rows.join(again, "doc", "left_semi").distinct().withColumn("h", F.sha2("text", 256)).join(ranked, ["doc", "h"]).select("doc", "sub", "text")
+    return each, alone.union(repeated)
 
 
 def _in_order(places: DataFrame) -> DataFrame:
@@ -485,7 +500,7 @@ def _in_order(places: DataFrame) -> DataFrame:
 
 
 def removed_places(rows: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """(doc, at, n): n successive strings from `at` are repeats of earlier ones. rows: (doc, sub, text)."""
+    """(doc, at, n): n successive strings from `at` are repeats of earlier ones. rows: (doc, sub, text), each (doc, sub) once."""
     short_batches(rows.sparkSession)
     long_rows = rows.where(F.octet_length("text") >= length)
     places = long_rows.mapInArrow(_parse(length, k), _PLACES)
@@ -509,8 +524,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     doc_id and text are one document, and each gets its result; different texts of one doc_id are documents
     in the order of a hash. Texts under `length` bytes stay. Other columns aren't read.
     """
-    rows = _numbered(docs)
-    gone = removed_places(rows, length, k).groupBy("doc", F.shiftright("at", _SUB).alias("sub")).agg(F.collect_list(F.struct("at", "n")).alias("found"))
+    rows, distinct = _numbered(docs)
+    gone = removed_places(distinct, length, k).groupBy("doc", F.shiftright("at", _SUB).alias("sub")).agg(F.collect_list(F.struct("at", "n")).alias("found"))
     joined = _packed(rows).join(gone, ["doc", "sub"], "left")
     named = joined.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "z", "found")
     return named.mapInArrow(_cut_out(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

@@ -89,3 +89,25 @@ def test_many_texts_of_one_id(spark):
     core = sentence(rng, 30)
     rows = [(rng.choice([None, 7]), sentence(rng, 3) + core + str(i)) for i in range(60)]
     assert found(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("copies", [1, 50, 200])
+def test_repeated_rows_are_parsed_once(spark, copies):
+    """However often a row stands in the table, its removed places are listed once."""
+    rng = random.Random(8)
+    core = sentence(rng, 40)
+    rows = [(1, core)] + [(2, " ".join([sentence(rng, 30), core] * 3))] * copies + [(None, "x " + core)] * copies
+    _, distinct = repeats._numbered(documents(spark, rows))
+    assert distinct.count() == 3
+    places = repeats.removed_places(distinct).groupBy("doc").count().collect()
+    assert sum(r["count"] for r in places) < 40
+    assert found(spark, rows) == brute(rows)
+
+
+def test_few_spelt_strings_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HELD", 50)
+    monkeypatch.setattr(repeats, "SPELT", 40)
+    rng = random.Random(4)
+    core = sentence(rng, 12)
+    rows = [(i, sentence(rng, 6) + core + sentence(rng, 6) + core) for i in range(60)]
+    assert found(spark, rows) == brute(rows)
