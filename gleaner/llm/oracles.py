@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from gleaner.llm.quotes import COMMON
-
 _PLAIN = r"trim(regexp_replace(lower(substring(line, length(marks) + 1)), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
 #: The definition itself: every string of 100 bytes (200 hexadecimal digits) and the first place where it starts.
@@ -37,9 +35,7 @@ marked AS (SELECT *, regexp_extract(line, '^(\s*>[\s>]*)', 1) AS marks FROM cell
 l AS (SELECT * FROM (SELECT thread, p, seq, pos, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, {_PLAIN} AS plain FROM marked) WHERE plain <> ''),
 q AS (SELECT DISTINCT thread, p, seq, level, plain, length(plain) AS size FROM l WHERE level > 0),
 o AS (SELECT DISTINCT thread, p, seq, plain FROM l WHERE level = 0),
-c AS (SELECT thread, plain, count(*) AS n FROM o GROUP BY thread, plain),
-direct AS (SELECT q.thread, q.p, q.level, q.plain, q.size, o.p AS h FROM q JOIN c ON q.thread = c.thread AND q.plain = c.plain JOIN o ON o.thread = q.thread AND o.plain = q.plain AND o.seq < q.seq WHERE c.n <= {COMMON}
-  UNION ALL SELECT q.thread, q.p, q.level, q.plain, q.size, max(o.p) AS h FROM q JOIN c ON q.thread = c.thread AND q.plain = c.plain JOIN o ON o.thread = q.thread AND o.plain = q.plain AND o.seq < q.seq WHERE c.n > {COMMON} GROUP BY ALL),
+direct AS (SELECT q.thread, q.p, q.level, q.plain, q.size, o.p AS h FROM q JOIN o ON o.thread = q.thread AND o.plain = q.plain AND o.seq < q.seq),
 fresh AS (SELECT *, CASE WHEN pos - lag(pos) OVER w = 1 AND level = lag(level) OVER w THEN 0 ELSE 1 END AS fresh FROM l WINDOW w AS (PARTITION BY thread, p ORDER BY pos)),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY thread, p ORDER BY pos) AS run FROM fresh),
 runs AS (SELECT thread, p, seq, run, level, string_agg(plain, ' ' ORDER BY pos) AS whole FROM numbered GROUP BY ALL),

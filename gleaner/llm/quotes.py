@@ -5,10 +5,14 @@ lines of one level, are hashed in a normalised form and joined to the messages t
 are looked for first; lines that nobody has as they stand are looked for as the passage that they make up, so
 new wrapping is no hindrance.
 
-A quoted line counts, with its length, for every earlier message of the thread that says it. A line that more
-than COMMON messages of a thread say doesn't tell whom one answers: it counts for the latest of them only. So
-does a line found by its passage. At each quote level the message with the most such characters is linked, of
-equals the latest; that of level 1 is the message replied to. What a message itself says is its level 0 lines.
+A quoted line counts, with its length, for every earlier message of the thread that says it, however many do; a
+line found by its passage counts for the latest message that has the passage. At each quote level the message
+with the most such characters is linked, of equals the latest; that of level 1 is the message replied to. What a
+message itself says is its level 0 lines.
+
+Votes for lines that few messages say are counted one by one. For lines that many say, messages are taken
+together by which of these lines they say, and quotations by which they quote: a thread has few such
+combinations, and of the holders of the best one the latest is enough. The result is the same either way.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from gleaner.llm.common import cut
 
 #: Messages of a thread that are numbered by themselves.
 RANGE = 4096
-#: Messages of a thread that may say a line for it to count for all of them.
-COMMON = 16
+#: Messages of a thread that say a line from which on its votes are counted by combinations of lines.
+MANY = 16
 
 
 def normalised(text: Column) -> Column:
@@ -75,43 +79,73 @@ def _by_passage(unheld: DataFrame, messages: DataFrame) -> DataFrame:
     return unheld.join(told.groupBy("thread", "seq", "level", "hash").agg(F.max("holder").alias("holder")), ["thread", "seq", "level", "hash"])
 
 
-def holders(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(quoted, found): quoted lines (thread, seq, at, level, hash, size), and the same with each holder that they count for."""
+def holders(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(quoted, found, votes): quoted lines (thread, seq, at, level, hash, size); those of them that an earlier message says,
+    (thread, seq, level, hash); and (thread, seq, level, holder, held) of the messages that may be linked, the best among them."""
     lines = cut(passages(messages).where("hash is not null").select("thread", "seq", "at", "level", "hash", "size"))
     quoted = lines.where("level > 0").groupBy("thread", "seq", "at", "level", "hash").agg(F.max("size").alias("size"))
     # only lines that someone quotes
     own = lines.where("level = 0").select("thread", "hash", "seq", "at").distinct().join(quoted.select("thread", "hash").distinct(), ["thread", "hash"], "left_semi")
-    counts = own.groupBy("thread", "hash").agg((F.count("*") > COMMON).alias("common"))
+    counts = own.groupBy("thread", "hash").agg((F.count("*") > MANY).alias("common"))
     quoted, own = cut(quoted.join(counts, ["thread", "hash"], "left")), cut(own.join(counts, ["thread", "hash"]))
     sayings = own.where("not common").select("thread", "hash", F.col("seq").alias("holder"), F.col("at").alias("said"))
     rare = quoted.where("not common").join(sayings, ["thread", "hash"]).where("said < at").select("thread", "seq", "level", "hash", "size", "holder")
-    common = _latest_holders(own.where("common"), quoted.where("common")).where("holder is not null").select(*rare.columns)
-    found = cut(rare.union(common))
+    often, said = quoted.where("common").drop("common"), own.where("common").drop("common")
+    latest = _latest_holders(said, often).where("holder is not null")
+    rare = cut(rare)
     keys = ["thread", "seq", "level", "hash"]
+    found = cut(rare.select(*keys).distinct().union(latest.select(*keys)))
     unheld = cut(quoted.select(*keys, "size").join(found, keys, "left_anti"))
     open_threads = unheld.select("thread").distinct()
     if not unheld.isEmpty():
-        found = cut(found.union(_by_passage(unheld, messages.join(open_threads, "thread", "left_semi")).select(*found.columns)))
-    return quoted, found
+        passage = cut(_by_passage(unheld, messages.join(open_threads, "thread", "left_semi")).select(*rare.columns))
+        rare, found = rare.union(passage), found.union(passage.select(*keys))
+    one_by_one = rare.groupBy("thread", "seq", "level", "holder").agg(F.sum("size").alias("held"))
+    if often.isEmpty():
+        return quoted, found, one_by_one
+    # whoever holds a rare line is counted in full, with the common ones that it holds
+    heard = said.select("thread", "hash", F.col("seq").alias("holder"))
+    more = one_by_one.drop("held").join(often.drop("at"), ["thread", "seq", "level"]).join(heard, ["thread", "hash", "holder"])
+    full = one_by_one.union(more.select("thread", "seq", "level", "holder", F.col("size").cast("bigint"))).groupBy("thread", "seq", "level", "holder").agg(F.sum("held").alias("held"))
+    return quoted, found, full.unionByName(_together(often, said))
+
+
+def _together(often: DataFrame, said: DataFrame) -> DataFrame:
+    """(thread, seq, level, holder, held): of the messages before each, the latest that says most of the common lines it quotes.
+
+    often(thread, seq, at, level, hash, size), said(thread, hash, seq, at). Quotations are taken together by the lines that
+    they quote (asked), messages by those that they say (kind), so the join has a row for each two combinations of a
+    thread that share a line.
+    """
+    lines = F.array_sort(F.collect_list(F.struct("hash", "size")))
+    quotations = cut(often.groupBy("thread", "seq", "at", "level").agg(lines.alias("lines")).withColumn("asked", F.xxhash64("lines")))
+    sayings = cut(said.groupBy("thread", "seq", "at").agg(F.array_sort(F.collect_set("hash")).alias("hashes")).withColumn("kind", F.xxhash64("hashes")))
+    asked = quotations.select("thread", "asked", "lines").distinct().select("thread", "asked", F.explode("lines").alias("x")).select("thread", "asked", "x.hash", "x.size")
+    kinds = sayings.select("thread", "kind", "hashes").distinct().select("thread", "kind", F.explode("hashes").alias("hash"))
+    weights = asked.join(kinds, ["thread", "hash"]).groupBy("thread", "asked", "kind").agg(F.sum("size").alias("held"))
+    able = cut(weights.join(sayings.select("thread", "kind", "seq", "at"), ["thread", "kind"]).select("thread", F.xxhash64("asked", "held").alias("hash"), "asked", "held", "seq", "at"))
+    since = able.groupBy("thread", "asked", "held").agg(F.min("at").alias("since"))
+    best = quotations.join(since, ["thread", "asked"]).where("since < at").groupBy("thread", "seq", "at", "level", "asked").agg(F.max("held").alias("size"))
+    wanted = best.select("thread", "seq", "at", "level", F.xxhash64("asked", "size").alias("hash"), "size")
+    return _latest_holders(able.select("thread", "hash", "seq", "at"), wanted).where("holder is not null").select("thread", "seq", "level", "holder", F.col("size").alias("held"))
 
 
 def links(messages: DataFrame) -> DataFrame:
     """(thread, seq, level, linked): the message linked at each quote level: it says most of its characters, of equals the latest."""
-    return _linked(holders(messages)[1])
+    return _linked(holders(messages)[2])
 
 
-def _linked(found: DataFrame) -> DataFrame:
-    votes = found.groupBy("thread", "seq", "level", "holder").agg(F.sum("size").alias("held"))
+def _linked(votes: DataFrame) -> DataFrame:
     return votes.groupBy("thread", "seq", "level").agg(F.max(F.struct("held", "holder"))["holder"].alias("linked"))
 
 
 def replies(messages: DataFrame) -> DataFrame:
     """(thread, seq, parent, links, n_quoted, n_linked) of each quoting message: links are (level, message) by level."""
-    quoted, found = holders(messages)
+    quoted, found, votes = holders(messages)
     linked = F.array_sort(F.collect_list(F.struct("level", F.col("linked").alias("message"))))  # as many as levels
-    by_message = _linked(found).groupBy("thread", "seq").agg(linked.alias("links"), F.max(F.when(F.col("level") == 1, F.col("linked"))).alias("parent"))
+    by_message = _linked(votes).groupBy("thread", "seq").agg(linked.alias("links"), F.max(F.when(F.col("level") == 1, F.col("linked"))).alias("parent"))
     told = quoted.groupBy("thread", "seq").agg(F.count("*").alias("n_quoted"))
-    held = found.select("thread", "seq", "level", "hash").distinct().groupBy("thread", "seq").agg(F.count("*").alias("n_linked"))
+    held = found.groupBy("thread", "seq").agg(F.count("*").alias("n_linked"))
     return told.join(held, ["thread", "seq"], "left").join(by_message, ["thread", "seq"], "left")
 
 
@@ -140,19 +174,19 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__at", at).join(before, ["thread", "__range"]).withColumn("position", (F.col("__before") + F.col("__at")).cast("bigint")).drop("__range", "__before", "__at", "at")
 
 
-def conversations(messages: DataFrame, every: bool = False) -> DataFrame:
+def conversations(messages: DataFrame, every: bool = True) -> DataFrame:
     """(thread, seq, position, parent, root, depth, links, n_quoted, n_linked, role, text): one row for each message.
 
     messages(thread, seq, role, text). Replies stand after what they answer, since position follows seq. links are
-    the messages that each quote level goes back to, as `level:seq`. text is the message's own lines without
-    quotations. A message that quotes nothing known is a root. Messages with a null thread or seq are left out; of
-    messages with equal thread and seq the first by text is taken (nulls first); null and empty texts stay as
-    empty messages; an empty table gives no rows; other columns aren't read.
-
-    With `every`, no message is left out: different ones of equal thread and seq (role or text differ) are told
-    apart by tie, from 0 in the order of text and role, and don't hold each other's quotations; only equal rows
-    are one. Adds tie, parent_tie and root_tie, and links are `level:seq/tie`. Each row without thread or seq is a
-    root without a position whose quotations aren't looked up.
+    the messages that each quote level goes back to, as `level:seq/tie`. text is the message's own lines without
+    quotations. A message that quotes nothing known is a root. No message is left out: different ones of equal thread
+    and seq (role or text differ) are told apart by tie, from 0 in the order of text and role, and don't hold each
+    other's quotations; only equal rows are one. Adds tie, parent_tie and root_tie. Each row without thread or seq is a
+    root without a position whose quotations aren't looked up. Null and empty texts stay as empty messages; an empty
+    table gives no rows; other columns aren't read.
+
+    Without `every`, a thread has one message for each seq, the first by text (nulls first), rows without thread or seq
+    are left out, and there are no ties.
     """
     rows = messages.select(F.col("thread").cast("bigint"), F.col("seq").cast("bigint"), F.col("role").cast("string"), F.col("text").cast("string"))
     keyless = rows.where("thread is null or seq is null")

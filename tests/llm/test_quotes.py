@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from gleaner.llm import quotes
 from tests.llm.cases import sentence
 
@@ -38,7 +40,7 @@ def brute(rows):
             said = [k[1] for k in out if k[0] == t and plain in out[k]["own"]]
             holders = [x for x in said if x < s]
             linked += bool(holders)
-            for h in holders if len(said) <= quotes.COMMON else holders[-1:]:
+            for h in holders:
                 votes.setdefault(level, {}).setdefault(h, 0)
                 votes[level][h] += size
         best = {level: max(v, key=lambda h: (v[h], h)) for level, v in sorted(votes.items())}
@@ -51,7 +53,7 @@ def brute(rows):
 
 def found(spark, rows):
     df = spark.createDataFrame([(*r, "own") for r in rows], SCHEMA + ", hash string")
-    got = quotes.conversations(df).collect()
+    got = quotes.conversations(df, every=False).collect()
     return sorted(((r.thread, r.seq, r.position, r.parent, r.root, r.depth, r.links, r.n_quoted, r.n_linked, r.text) for r in got), key=str)
 
 
@@ -87,7 +89,7 @@ def test_long_chain(spark):
 
 def test_mail_form_gives_back_the_turns(spark):
     turns = spark.createDataFrame([(1, i, "u", f"turn number {i}\n\nof this talk {i}") for i in range(6)], "conv_id bigint, turn bigint, role string, text string")
-    got = {r.seq: r for r in quotes.conversations(quotes.as_mail(turns)).collect()}
+    got = {r.seq: r for r in quotes.conversations(quotes.as_mail(turns), every=False).collect()}
     assert [got[i].parent for i in range(6)] == [None, 0, 1, 2, 3, 4]
     assert all(got[i].text == f"turn number {i}\n\nof this talk {i}" for i in range(6))
 
@@ -101,3 +103,31 @@ def test_the_parent_holds_most_of_the_quotation(spark):
 def test_common_lines_and_long_threads(spark):
     rows = [(1, i * 700, "a", f"Thanks\nnumber {i}") for i in range(30)] + [(1, i * 700 + 1, "b", f"> thanks\n> number {i - 3}\nyes {i}") for i in range(30)] + [(1, 50000, "c", "> Thanks\nbye"), (1, 50001, "c", ">> Thanks")]
     assert found(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("k", [16, 17, 400])
+def test_a_line_that_all_say_doesnt_hide_the_parent(spark, k):
+    """Every message says one line; the last quotes it with a line that only message 3 says."""
+    rows = [(1, i, "a", f"the same line here\nown text number {i}") for i in range(k)] + [(1, k, "b", "> the same line here\n> own text number 3\nyes")]
+    got = {r[1]: r[3] for r in found(spark, rows)}
+    assert got[k] == 3 and all(got[i] is None for i in range(k))
+
+
+def test_combinations_of_common_lines(spark, monkeypatch):
+    """Lines that many say, in all combinations, quoted in all combinations, with rare ones among them and not."""
+    monkeypatch.setattr(quotes, "MANY", 3)
+    rng = random.Random(11)
+    common = [sentence(rng, n) for n in (2, 3, 3, 5)]
+    rows = []
+    for i in range(120):
+        lines = ["> " + x for x in common if rng.random() < 0.4] + [">> " + x for x in common if rng.random() < 0.2]
+        lines += [f"> only {rng.randrange(max(i, 1))}"] * (rng.random() < 0.3) + [x for x in common if rng.random() < 0.4] + [f"only {i}"] * (rng.random() < 0.5)
+        rng.shuffle(lines)
+        rows.append((1, i, "a", "\n".join(lines)))
+    assert found(spark, rows) == brute(rows)
+
+
+def test_ten_thousand_holders(spark):
+    rows = [(1, i, "a", f"thanks\nown {i}") for i in range(10_000)] + [(1, 10_000 + i, "b", f"> thanks\n> own {3 * i}\nno {i}") for i in range(1000)] + [(1, 11_000, "c", "> thanks")]
+    got = {r[1]: r[3] for r in found(spark, rows)}
+    assert all(got[10_000 + i] == 3 * i for i in range(1000)) and got[11_000] == 9999
