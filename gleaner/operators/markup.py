@@ -1,30 +1,32 @@
 """Postings of captured pages. Each page is parsed once in a task; which links, objects and fields are
 postings is then decided by DataFrame operations.
 
-pages: (page_id, url, html, company_name, platform, career_page_url); other columns aren't read.
+pages: (page_id, url, html, company_name, platform, career_page_url); other columns aren't read. A page is known by a
+key of its own (page_key), so pages without page_id, or two captures under one, stay apart.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import texts, urls
 from gleaner.functions.fixed import COUNTRY_KEYS, LOCATION_KEYS, LOCATION_TEXT, SIGNAL_KEYS, TITLE_KEYS, URL_KEYS
+from gleaner.functions.binding import held
 from gleaner.functions.lineage import cut
 from gleaner.operators import dom
-from gleaner.operators.jobs import dedupe, first_jobs, stated_jobs, with_countries
+from gleaner.operators.jobs import dedupe, stated_jobs, with_countries
 
-PAGE = ["page_id", "url", "company_name", "platform", "career_page_url"]
-_PAGE_TYPES = "page_id bigint, url string, company_name string, platform string, career_page_url string"
-_NODES = _PAGE_TYPES + ", kind string, pos int, href string, text string, inner string, shape string, card string, near array<string>, heads array<string>, places array<string>, body string"
+PAGE = ["page_key", "page_id", "url", "company_name", "platform", "career_page_url"]
+_PAGE_TYPES = "page_key bigint, page_id bigint, url string, company_name string, platform string, career_page_url string"
+_NODES = _PAGE_TYPES + ", kind string, pos int, href string, text string, inner string, shape string, card string, near array<string>, heads array<string>, places array<string>, body string, title string, place string"
 #: Ranks of the ways to read a page; the first that yields postings counts.
 PATTERN, LINKED_DATA, MICRODATA, CARDS, APPLY, STATE = range(6)
 
@@ -38,23 +40,51 @@ def _arrow(types: str) -> pa.Schema:
     return pa.schema([(n, kinds[t]) for n, t in (x.split(" ") for x in types.split(", "))])
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """One row for each link, linked-data object, microdata item and payload of a page (`kind`), in document order."""
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in at least as many partitions as there are cores: few files of pages would be parsed in few tasks."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def parsed(pages: DataFrame, layouts: dict[str, dict] | None = None) -> DataFrame:
+    """One row for each link, linked-data object, microdata item and payload of a page (`kind`), in document order.
+
+    Pages whose platform has a layout (see vendor_rows) give its rows too. URLs are resolved and titles tested once, here:
+    `target`, whether it reads like a posting's (`job`), and titles in and near the link (`titled`, `inner_titled`,
+    `lead`, `head`). The result is laid down, so that no page is parsed, and no link resolved, again for each way.
+    """
     schema = _arrow(_NODES)
+    layouts = layouts or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = TaskContext.get().partitionId() << 40
         for b in batches:
+            rows = []
             for page in b.to_pylist():
+                key += 1
                 tree = dom.Tree(page.pop("html") or "")
-                rows = [page | {"kind": "link"} | x for x in dom.links(tree)]
+                page["page_key"] = key
+                if layout := layouts.get(page["platform"]):
+                    rows += [page | {"kind": "row"} | x for x in dom.rows(tree, **layout)]
+                rows += [page | {"kind": "link"} | x for x in dom.links(tree)]
                 for kind, found in (("ld", dom.linked_data(tree)), ("item", dom.microdata(tree))):
                     rows += [page | {"kind": kind, "pos": i, "body": json.dumps(x)} for i, x in enumerate(found)]
                 rows += [page | {"kind": "payload", "pos": i, "body": x} for i, x in enumerate(dom.payloads(tree))]
-                if rows:
+                if len(rows) > 10_000:
                     yield _table(rows, schema)
+                    rows = []
+            if rows:
+                yield _table(rows, schema)
 
-    cols = [F.col("page_id").cast("bigint"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in PAGE[1:]], F.col("html").cast("string")]
-    return pages.select(*cols).mapInArrow(run, _NODES)
+    cols = [F.col("page_id").cast("bigint").alias("page_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in PAGE[2:]], F.col("html").cast("string").alias("html")]
+    nodes = spread(pages.select(*cols)).mapInArrow(run, _NODES)
+    is_link = F.col("kind") == "link"
+    nodes = held(nodes, {"target": F.when(is_link | (F.col("kind") == "row"), urls.absolute(F.col("url"), F.col("href")))})
+    first_title = lambda c: F.try_element_at(F.filter(c, texts.looks_like_title), F.lit(1))
+    told = {
+        "job": is_link & texts.looks_like_job_url(F.col("target")), "titled": is_link & texts.looks_like_title(F.col("text")),
+        "inner_titled": is_link & (F.col("text") == "") & texts.looks_like_title(F.col("inner")), "lead": F.when(is_link, first_title("near")), "head": F.when(is_link, first_title("heads"))}
+    return cut(held(nodes, told).drop("near", "heads"))
 
 
 def _place(title: Column) -> Column:
@@ -99,8 +129,7 @@ def from_microdata(nodes: DataFrame) -> DataFrame:
 
 
 def _links(nodes: DataFrame) -> DataFrame:
-    rows = nodes.where("kind = 'link'").withColumn("target", urls.absolute(F.col("url"), F.col("href")))
-    return rows.where("target <> ''")
+    return nodes.where("kind = 'link' and target <> ''")
 
 
 def from_cards(nodes: DataFrame) -> DataFrame:
@@ -108,30 +137,33 @@ def from_cards(nodes: DataFrame) -> DataFrame:
 
     Groups are those of one page, so their windows are as small as a page.
     """
-    title = F.when(F.col("text") != "", F.col("text")).otherwise(F.col("inner"))
-    rows = _links(nodes).where(texts.looks_like_job_url(F.col("target"))).withColumn("title", title).where(texts.looks_like_title(F.col("title")))
-    group = W.partitionBy("page_id", "shape")
+    rows = _links(nodes).where("job and (titled or inner_titled)").withColumn("title", F.when(F.col("text") != "", F.col("text")).otherwise(F.col("inner")))
+    group = W.partitionBy("page_key", "shape")
     rows = rows.withColumn("n", F.count("*").over(group)).withColumn("first", F.min("pos").over(group))
-    best = F.max(F.struct("n", -F.col("first"))).over(W.partitionBy("page_id"))
+    best = F.max(F.struct("n", -F.col("first"))).over(W.partitionBy("page_key"))
     chosen = rows.withColumn("best", best).where("best.n < 3 or (n = best.n and first = -best.col2)")
     return _raw(chosen, CARDS, F.col("title"), F.col("target"), _place(F.col("title")))
 
 
 def from_apply_links(nodes: DataFrame) -> DataFrame:
     """Postings of links that only say "Apply": the title stands near them; of one URL the first counts."""
-    rows = _links(nodes).where(texts.looks_like_job_url(F.col("target")) & ~texts.looks_like_title(F.col("text")))
-    rows = rows.withColumn("title", F.try_element_at(F.filter("near", texts.looks_like_title), F.lit(1))).where("title is not null")
-    first = rows.withColumn("again", F.row_number().over(W.partitionBy("page_id", "target").orderBy("pos"))).where("again = 1")
-    return _raw(first, APPLY, F.col("title"), F.col("target"), _place(F.col("title")))
+    rows = _links(nodes).where("job and not titled and lead is not null")
+    first = rows.withColumn("again", F.row_number().over(W.partitionBy("page_key", "target").orderBy("pos"))).where("again = 1")
+    return _raw(first, APPLY, F.col("lead"), F.col("target"), _place(F.col("lead")))
 
 
 def from_pattern(nodes: DataFrame, pattern: Column) -> DataFrame:
     """Postings of links whose URL the vendor's pattern takes (null: none), but for links to the page itself."""
     own = [urls.without_fragment(F.col(c)) for c in ("url", "career_page_url")]
-    rows = _links(nodes).where(F.regexp_like(F.col("target"), pattern) & ~urls.without_fragment(F.col("target")).isin(own))
-    head = F.try_element_at(F.filter("heads", texts.looks_like_title), F.lit(1))
-    rows = rows.withColumn("title", F.when(texts.looks_like_title(F.col("text")), F.col("text")).otherwise(head)).where("title is not null")
-    return _raw(rows, PATTERN, F.col("title"), F.col("target"), _place(F.col("title")))
+    rows = _links(nodes).where("titled or head is not null").where(F.regexp_like(F.col("target"), pattern) & ~urls.without_fragment(F.col("target")).isin(own))
+    title = F.when(F.col("titled"), F.col("text")).otherwise(F.col("head"))
+    return _raw(rows, PATTERN, title, F.col("target"), _place(title))
+
+
+def from_layout(nodes: DataFrame) -> DataFrame:
+    """Postings of the rows that a vendor's layout took."""
+    rows = nodes.where("kind = 'row'").withColumn("found", F.when(F.col("place") == F.col("title"), "").otherwise(F.col("place")))
+    return _raw(rows, PATTERN, F.col("title"), F.col("target"), F.col("found"))
 
 
 _OBJECTS = _PAGE_TYPES + ", pos int, seq int, keys array<string>, title string, targets array<string>, place string, country string, identity string"
@@ -175,42 +207,45 @@ def from_payloads(payloads: DataFrame, ids: list[str] | None = None, link: Colum
     rows = shaped_objects(payloads, ids).where(texts.plausible_title(F.col("title")))
     signals = F.size(F.array_intersect("keys", F.array(*map(F.lit, sorted(SIGNAL_KEYS)))))
     rows = rows.withColumn("shape", F.array_join("keys", "\x1f")).withColumn("signals", signals).where("signals > 0")
-    group = W.partitionBy("page_id", "pos", "shape")
+    group = W.partitionBy("page_key", "pos", "shape")
     rows = rows.withColumn("n", F.count("*").over(group)).withColumn("first", F.min("seq").over(group))
-    best = F.max(F.struct("n", "signals", -F.col("first"))).over(W.partitionBy("page_id", "pos"))
+    best = F.max(F.struct("n", "signals", -F.col("first"))).over(W.partitionBy("page_key", "pos"))
     rows = rows.withColumn("best", best).where("best.col3 = -first")
     found = F.filter(F.transform("targets", lambda t: urls.absolute(F.col("url"), t)), lambda t: t != "")
     own = F.coalesce(F.try_element_at(found, F.lit(1)), link if link is not None else F.lit(""))
-    rows = rows.withColumn("target", own)
+    rows = held(rows, {"target": own})
     return _raw(rows.withColumn("order", F.col("pos").cast("bigint") * F.lit(1 << 32) + F.col("seq")), STATE, F.col("title"), F.col("target"), F.col("place"), F.col("country"), "order").withColumn("payload", F.shiftright("pos", 32))
 
 
 def from_state(nodes: DataFrame) -> DataFrame:
     """Postings of the first payload of a page, the longest first, that yields any."""
     rows = from_payloads(nodes.where("kind = 'payload'").select(*PAGE, "pos", "body")).where("trim(title) <> '' and url <> ''")
-    return rows.withColumn("first", F.min("payload").over(W.partitionBy("page_id"))).where("payload = first").drop("payload", "first")
-
+    return rows.withColumn("first", F.min("payload").over(W.partitionBy("page_key"))).where("payload = first").drop("payload", "first")
 
-def chain(nodes: DataFrame, pattern: Column | None = None, state: bool = True) -> DataFrame:
-    """(page_id, rank, pos, posting fields): postings of each page by the first way of reading it that yields any.
 
-    The nodes are laid down once, so that no page is parsed again for each way.
-    """
-    nodes = cut(nodes)
+def chain(nodes: DataFrame, pattern: Column | None = None, state: bool = True, layout: bool = False) -> DataFrame:
+    """(page_id, rank, pos, posting fields): postings of each page by the first way of reading it that yields any."""
     ways = [from_linked_data(nodes), from_microdata(nodes), from_cards(nodes), from_apply_links(nodes)]
     if pattern is not None:
         ways.insert(0, from_pattern(nodes, pattern))
+    if layout:
+        ways.insert(0, from_layout(nodes))
     if state:
         ways.append(from_state(nodes))
     return finished(reduce(DataFrame.unionByName, ways))
 
 
-def finished(rows: DataFrame) -> DataFrame:
-    """(page_id, rank, pos, posting fields): postings of rows read in any ways; of each page those of the first way that yields any."""
+def first_way(rows: DataFrame, *keep: str) -> DataFrame:
+    """(page_key, page_id, rank, pos, posting fields) of rows read in any ways: of each page those of the first way that yields any, without countries."""
     board = F.when(F.col("career_page_url") != "", F.col("career_page_url")).otherwise(F.col("page_url"))
-    jobs = stated_jobs(rows.withColumn("career_page_url", board), "page_id", "rank", "pos")
-    jobs = jobs.withColumn("least", F.min("rank").over(W.partitionBy("page_id"))).where("rank = least").drop("least")
-    return with_countries(dedupe(jobs, ["page_id", "rank", "pos"], ["page_id"]))
+    jobs = cut(stated_jobs(rows.withColumn("career_page_url", board), "page_key", "page_id", "rank", "pos", *keep))
+    least = jobs.groupBy("page_key").agg(F.min("rank").alias("rank"))
+    return dedupe(jobs.join(least, ["page_key", "rank"], "left_semi"), ["rank", "pos"], ["page_key"])
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """(page_id, rank, pos, posting fields): first_way with countries."""
+    return with_countries(first_way(rows)).drop("page_key")
 
 
 def extract_jobs(pages: DataFrame, state: bool = True) -> DataFrame:
@@ -220,24 +255,10 @@ def extract_jobs(pages: DataFrame, state: bool = True) -> DataFrame:
 
 def vendor_rows(pages: DataFrame, rules: dict[str, dict]) -> DataFrame:
     """Postings by the row layout of a page's platform (platform -> rule, as vendors.ROW_RULES), else by any page's ways."""
-    types = _PAGE_TYPES + ", pos int, href string, title string, place string"
-    schema = _arrow(types)
-    names = ("href", "row_class", "place_class", "title_class")
-    layouts = {k: {n: r.get(n, "") for n in names} | {"row_tags": r.get("row_tags", []), "title_tags": r.get("title_tags", [])} for k, r in rules.items()}
+    return chain(parsed(pages, layouts_of(rules)), state=False, layout=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for page in b.to_pylist():
-                layout = layouts.get(page["platform"])
-                rows = [page | x for x in dom.rows(dom.Tree(page.pop("html") or ""), **layout)] if layout else []
-                if rows:
-                    yield _table(rows, schema)
 
-    cols = [F.col("page_id").cast("bigint"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in PAGE[1:]], F.col("html").cast("string")]
-    rows = cut(pages.select(*cols).mapInArrow(run, types)).withColumn("location", F.when(F.col("place") == F.col("title"), "").otherwise(F.col("place")))
-    rows = rows.withColumn("target", urls.absolute(F.col("url"), F.col("href"))).drop("url")
-    rows = rows.select(*[c for c in PAGE if c != "url"], F.lit(PATTERN).alias("rank"), "pos", "title", F.col("target").alias("url"), "location", F.lit("").alias("country"))
-    # pages that a layout reads aren't parsed a second time
-    read = rows.where("trim(title) <> '' and url <> ''").select("page_id").distinct()
-    other = extract_jobs(pages.join(read, "page_id", "left_anti"), state=False).withColumn("pos", F.col("pos").cast("int"))
-    return first_jobs(rows, ["page_id", "rank", "pos"], ["page_id"]).unionByName(other)
+def layouts_of(rules: dict[str, dict]) -> dict[str, dict]:
+    """Rules with all fields that dom.rows takes."""
+    names = ("href", "row_class", "place_class", "title_class")
+    return {k: {n: r.get(n, "") for n in names} | {"row_tags": r.get("row_tags", []), "title_tags": r.get("title_tags", [])} for k, r in rules.items()}

@@ -301,7 +301,7 @@ def api_postings(payloads: DataFrame, label: str) -> DataFrame:
 
 def _by_shape(named: DataFrame, label: str, rule: dict, parts: dict[str, Column], board: Column) -> DataFrame:
     """Rows for build_jobs of bodies whose postings are told by the keys that their objects share."""
-    pages = named.select(F.col("page_no").alias("page_id"), F.col("board_url").alias("url"), "company_name", F.lit(label).alias("platform"), board, F.lit(0).alias("pos"), "body")
+    pages = named.select(F.xxhash64("board_url", "page_no").alias("page_key"), F.col("page_no").alias("page_id"), F.col("board_url").alias("url"), "company_name", F.lit(label).alias("platform"), board, F.lit(0).alias("pos"), "body")
     link = _filled(rule["template"], {k: F.when(F.lit(True), v) for k, v in board_parts(F.col("url"))[label].items()}, F.col("identity"))
     found = from_payloads(pages, rule["id"], F.coalesce(link, F.lit("")))
     return found.select(F.col("page_id").alias("page_no"), F.col("pos").alias("seq"), "company_name", "career_page_url", "platform", "title", "url", "location", "country")
