@@ -4,12 +4,16 @@ A document is the set of its distinct word shingles; documents of one set are on
 TREES x DEPTH least hashes; a tree sorts the nodes by their DEPTH least hashes in it, so nodes with a long common
 prefix stand together. All nodes that share a prefix of LEAST hashes in a tree are a region.
 
-1. Neighbours in a tree's order, which have the longest common prefixes, are compared, first in one tree, then,
-   where their classes still differ, in all; of two classes the pair with the longest prefix. Sets are compared in full.
-2. A region whose nodes are of one class by now is done, however many it holds. In the others the depth adapts to
-   what is still apart: whole signatures are compared across classes, and where an estimate comes near the
-   threshold both sets are compared in full, tile by tile. Nothing is capped, so only a pair without a common
-   region in any tree is missed: one in four million at the threshold itself, fewer above.
+1. In each region, nodes are compared by whole signatures: first neighbours in the tree's order, which have the
+   longest common prefixes, then what is still apart, down to the least prefix. Edges span what comes near the
+   threshold; what they connect is a group. A region may be of any size: see `_tiled`.
+2. In each group, full sets are compared, and links span the classes. Each set is shuffled once for each tile of its
+   group, as many as the group needs, and nodes that are linked already aren't compared again.
+
+Where a region or a group needs several tiles, neighbours in the trees' orders are linked first, so that one class
+holds most of it and needn't be compared with itself; the rest is compared with that class and with each other.
+Nothing is capped, so only a pair without a common region in any tree is missed: one in four million at the threshold
+itself, fewer above.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ TREES, DEPTH, LEAST = 16, 8, 3
 #: Share of equal hashes from which on sets are compared: six deviations under the threshold.
 NEAR = 0.66
 #: Nodes, and shingles, that are compared with each other in one tile.
-TILE, TILE_SHINGLES = 2048, 1 << 21
+TILE, TILE_SHINGLES = 4096, 1 << 19
 
 _K = TREES * DEPTH
 _RNG = np.random.default_rng(20240713)
@@ -147,8 +151,23 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIRS = "u bigint, v bigint, cu bigint, cv bigint, common bigint"
 
 
+def _adjacent(places: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v, cu, cv): of each two classes that are neighbours in a tree's order, the nodes with the longest common prefix."""
+    order = ["region", "tail", "node"]
+    rows = cut(places.select(*order).join(classes, "node").select(*order, "class"))
+    pairs = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _PAIRS)
+    return pairs.groupBy("cu", "cv").agg(F.max_by(F.struct("u", "v"), F.struct("common", "u", "v")).alias("x")).select("x.u", "x.v", "cu", "cv")
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, near: float) -> DataFrame:
+    """Edges (u, v) between the classes of those pairs whose signatures come near."""
+    a, b = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in ("u", "v"))
+    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(_K - 1)), lambda i: F.substring("su", 2 * i + 1, F.lit(2)) == F.substring("sv", 2 * i + 1, F.lit(2))))
+    return pairs.join(a, "u").join(b, "v").where(same >= near * _K).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(u, v, cu, cv) whose full sets are alike."""
+    """Edges (u, v) between the classes of those pairs whose full sets are alike."""
     a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in ("u", "v"))
     both = pairs.join(a, "u").join(b, "v").select("cu", "cv", (F.size("hu") + F.size("hv")).alias("sizes"), F.size(F.array_intersect("hu", "hv")).alias("inter"))
     return both.where(F.lit(100) * F.col("inter") >= F.lit(percent) * (F.col("sizes") - F.col("inter"))).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
@@ -161,36 +180,28 @@ def _merged(classes: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(joined.select("node", F.coalesce("component", "class").alias("class")))
 
 
-def _undone(places: DataFrame, classes: DataFrame) -> DataFrame:
-    """places with their classes, of the regions that hold more than one class."""
-    told = places.join(classes, "node")
-    apart = told.groupBy("region").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("region")
-    return cut(told.join(apart, "region", "left_semi"))
-
+def _tiled(rows: DataFrame, tile: int) -> DataFrame:
+    """(bucket, node, class): rows(key, node, class, weight) dealt out so that every two of a key and of different classes share a bucket.
 
-def _tiled(undone: DataFrame, tile: int) -> DataFrame:
-    """(bucket, node, class): the nodes of each region so that every two of different classes share a bucket.
-
-    The most frequent class of a region needn't be compared with itself: its nodes are cut into tiles, and the
-    others, cut into tiles too, meet each of these and each other.
+    The heaviest class of a key needn't be compared with itself: its nodes are cut into tiles of `tile` weight, and
+    the others, cut into tiles too, meet each of these and each other. Keys of one class are done.
     """
-    sizes = undone.groupBy("region", "class").agg(F.count("*").alias("n"))
-    told = cut(sizes.groupBy("region").agg(F.max(F.struct("n", "class")).alias("most"), F.sum("n").alias("n")).select(
-        "region", F.col("most.class").alias("main"), F.ceil(F.col("most.n") / tile).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("most.n")) / tile).cast("int").alias("others")))
-    rows = undone.select("region", "node", "class").join(told, "region")
+    sizes = rows.groupBy("key", "class").agg(F.sum("weight").alias("w"))
+    told = sizes.groupBy("key").agg(F.max(F.struct("w", "class")).alias("most"), F.sum("w").alias("all")).where("all > most.w").select(
+        "key", F.col("most.class").alias("main"), F.ceil(F.col("most.w") / tile).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most.w")) / tile).cast("int").alias("others"))
+    dealt = rows.join(told, "key")
     own = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
     is_main = F.col("class") == F.col("main")
     upto = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
-    # (kind 0, main tile, other tile), (kind 1, lesser other tile, greater other tile)
+    # (kind 0, main tile, other tile); of keys with several other tiles also (kind 1, lesser other tile, greater other tile)
     across = F.when(is_main, F.transform(upto("others"), lambda j: F.struct(F.lit(0).alias("k"), own("mains").alias("i"), j.alias("j")))).otherwise(
         F.transform(upto("mains"), lambda i: F.struct(F.lit(0).alias("k"), i.alias("i"), own("others").alias("j"))))
-    among = F.when(is_main, F.array().cast("array<struct<k:int,i:int,j:int>>")).otherwise(
+    among = F.when(is_main | (F.col("others") <= 1), F.array().cast("array<struct<k:int,i:int,j:int>>")).otherwise(
         F.transform(upto("others"), lambda j: F.struct(F.lit(1).alias("k"), F.least(j, own("others")).alias("i"), F.greatest(j, own("others")).alias("j"))))
-    dealt = rows.select("region", "node", "class", F.explode(F.concat(across, among)).alias("x"))
-    return dealt.select(F.xxhash64("region", "x.k", "x.i", "x.j").alias("bucket"), "node", "class")
+    return dealt.select("key", "node", "class", F.explode(F.concat(across, among)).alias("x")).select(F.xxhash64("key", "x.k", "x.i", "x.j").alias("bucket"), "node", "class")
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray | list]]:
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of one bucket at a time, of rows that stand sorted by their first column."""
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -210,76 +221,106 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray |
         yield pa.Table.from_batches(held)
 
 
-def _suspects(near: float):
-    """Over rows (bucket, node, class, sig): (bucket, node) of those near a node of another class."""
+class _Labels:
+    """Classes of a bucket's nodes as they grow together, and the edges that have joined them."""
+
+    def __init__(self, kinds: np.ndarray):
+        self.names, self.of = np.unique(kinds, return_inverse=True)
+        self.edges: list[tuple[int, int]] = []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        for k in np.unique(self.of[others]):
+            if k != self.of[i]:
+                self.edges.append((int(self.names[self.of[i]]), int(self.names[k])))
+                self.of[self.of == k] = self.of[i]
+
+    def batch(self) -> pa.RecordBatch:
+        u, v = zip(*self.edges, strict=True) if self.edges else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _near_edges(near: float):
+    """Over rows (bucket, tail, class, sig) in order: edges (u, v) between classes that span what is near in a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_bucket(batches):
-            nodes, kinds = t.column(1).to_numpy(), t.column(2).to_numpy()
-            sigs = np.frombuffer(b"".join(t.column(3).to_pylist()), ">u2").reshape(len(nodes), -1)
-            values, counts = np.unique(kinds, return_counts=True)
-            asked = np.flatnonzero(kinds != values[counts.argmax()])
-            found = np.zeros(len(nodes), bool)
-            for i in asked:
-                alike = (sigs == sigs[i]).sum(1) >= near * sigs.shape[1]
-                alike &= kinds != kinds[i]
-                if alike.any():
-                    found |= alike
-                    found[i] = True
-            hits = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hits), t.column(0)[0].as_py()), pa.int64()), pa.array(nodes[hits], pa.int64())], ["bucket", "node"])
+            labels = _Labels(t.column(2).to_numpy())
+            sigs = np.frombuffer(b"".join(t.column(3).to_pylist()), ">u2").reshape(t.num_rows, -1).astype(np.uint16)
+            enough = near * sigs.shape[1]
+            for i in np.flatnonzero((sigs[1:] == sigs[:-1]).sum(1) >= enough):  # longest common prefixes first
+                labels.join(i, np.array([i + 1]))
+            most = np.bincount(labels.of).argmax()
+            for i in np.flatnonzero(labels.of != most):
+                apart = np.flatnonzero(labels.of != labels.of[i])
+                labels.join(i, apart[(sigs[apart] == sigs[i]).sum(1) >= enough])
+            yield labels.batch()
 
     return run
 
 
 def _links_of_tiles(percent: int):
-    """Over rows (tile, class, hashes): edges (u, v) between classes that span all links of the tile's sets."""
+    """Over rows (bucket, class, hashes): edges (u, v) between classes that span all links of a bucket's sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_bucket(batches):
-            kinds = t.column(1).to_numpy()
+            labels = _Labels(t.column(1).to_numpy())
             sets = t.column(2).combine_chunks()
-            values, at = sets.values.to_numpy(), sets.offsets.to_numpy().astype(np.int64)
+            at = sets.offsets.to_numpy().astype(np.int64)
+            _, place, count = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
             at, sizes = at - at[0], np.diff(at)
-            universe, place = np.unique(values, return_inverse=True)
-            label = {int(k): int(k) for k in kinds}
-
-            def root(x):
-                while label[x] != x:
-                    label[x] = label[label[x]]
-                    x = label[x]
-                return x
-
-            u, v = [], []
-            for i in range(len(kinds) - 1):
-                mark = np.zeros(len(universe), np.int64)
-                mark[place[at[i] : at[i + 1]]] = 1
-                inter = np.add.reduceat(mark[place[at[i + 1] :]], at[i + 1 : -1] - at[i + 1])
-                for j in np.flatnonzero(100 * inter >= percent * (sizes[i] + sizes[i + 1 :] - inter)):
-                    a, b = root(int(kinds[i])), root(int(kinds[i + 1 + j]))
-                    if a != b:
-                        label[max(a, b)] = min(a, b)
-                        u.append(a)
-                        v.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            # shingles that one set alone has are in no intersection
+            held = count[place] > 1
+            place, starts = place[held], np.r_[0, np.cumsum(held)][at]
+            most = np.bincount(labels.of).argmax()
+            mark = np.zeros(len(count), bool)
+            for i in np.flatnonzero(labels.of != most):
+                own = place[starts[i] : starts[i + 1]]
+                apart = np.flatnonzero(labels.of != labels.of[i])
+                apart = apart[(100 * np.minimum(sizes[apart], sizes[i]) >= percent * np.maximum(sizes[apart], sizes[i])) & (starts[apart + 1] > starts[apart])]
+                if not len(own) or not len(apart):
+                    continue
+                mark[own] = True
+                upto = np.r_[0, np.cumsum(mark[place])]
+                inter = upto[starts[apart + 1]] - upto[starts[apart]]
+                mark[own] = False
+                labels.join(i, apart[100 * inter >= percent * (sizes[apart] + sizes[i] - inter)])
+            yield labels.batch()
 
     return run
 
 
-def _rest(undone: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, near: float, tile: int, tile_shingles: int) -> DataFrame:
-    """Edges (u, v) between the classes of undone regions: every link between two classes is spanned."""
-    sigs = nodes.select("node", "sig", "n_shingles")
-    tiled = _tiled(undone, tile).join(sigs.select("node", "sig"), "node").select("bucket", "node", "class", "sig")
-    suspects = cut(tiled.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_suspects(near), "bucket bigint, node bigint"))
-    kinds = undone.select("node", "class").distinct()
-    rows = suspects.join(kinds, "node").join(sigs.select("node", "n_shingles"), "node")
-    size = rows.groupBy("bucket").agg(F.sum("n_shingles").alias("size"))
-    k = F.ceil(F.col("size") / tile_shingles).cast("int")
-    mine = F.pmod(F.xxhash64("node"), k).cast("int")
-    pairs = F.when(k == 1, F.array(F.xxhash64("bucket"))).otherwise(F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.xxhash64("bucket", F.least(j, mine), F.greatest(j, mine))))
-    dealt = cut(rows.join(size, "bucket").select("node", "class", F.explode(pairs).alias("tile")).distinct())
-    whole = dealt.join(sets, "node").select("tile", "class", "hashes")
-    return whole.repartition("tile").sortWithinPartitions("tile").mapInArrow(_links_of_tiles(percent), "u bigint, v bigint").distinct()
+_EDGES = "u bigint, v bigint"
+
+
+def _groups(places: DataFrame, nodes: DataFrame, near: float, tile: int) -> DataFrame:
+    """(node, class): what the signatures that come near in a region connect."""
+    classes = nodes.select("node", F.col("node").alias("class"))
+    large = places.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("region")
+    large = cut(large)
+    if not large.isEmpty():
+        classes = _merged(classes, _near(_adjacent(places.join(large, "region", "left_semi"), classes), nodes, near))
+    told = places.join(classes, "node").select(F.col("region").alias("key"), "node", "class", F.lit(1).alias("weight"))
+    tails = nodes.select("node", "sig")
+    rows = _tiled(told, tile).join(tails, "node").select("bucket", F.col("sig").alias("tail"), "class", "sig")
+    edges = rows.repartition("bucket").sortWithinPartitions("bucket", "tail").mapInArrow(_near_edges(near), _EDGES)
+    return _merged(classes, edges)
+
+
+def _classes(places: DataFrame, groups: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+    """(node, class): what links of full sets connect within the groups."""
+    sizes = nodes.select("node", "n_shingles")
+    told = groups.withColumnRenamed("class", "key").join(sizes, "node")
+    many = told.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("n > 1")
+    told = cut(told.join(many, "key"))
+    classes = told.select("node", F.col("node").alias("class"))
+    large = told.where(F.col("size") > tile)
+    if not large.isEmpty():
+        near = places.join(large.select("node"), "node", "left_semi")
+        for some in (near.where("tree = 0"), near):
+            classes = _merged(classes, _linked(_adjacent(some, classes), sets, percent))
+    rows = told.join(classes, "node").select("key", "node", "class", F.col("n_shingles").alias("weight"))
+    whole = _tiled(rows, tile).join(sets, "node").select("bucket", "class", "hashes")
+    return _merged(classes, whole.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links_of_tiles(percent), _EDGES))
 
 
 def near_duplicate_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, near: float = NEAR, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
@@ -300,23 +341,12 @@ def near_duplicate_classes(docs: DataFrame, words: int = WORDS, percent: int = P
     every = every.select("region", "tree", "node", F.substring("sig", F.col("tree") * width + 2 * LEAST + 1, F.lit(width - 2 * LEAST)).alias("tail"))
     shared = every.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
     places = cut(every.join(shared, "region"))
-    active = places.select("node").distinct().join(nodes.select("node", "row", "k1", "k2"), "node")
-    sets = cut(_sets(docs, active, words))
-
-    classes = nodes.select("node", F.col("node").alias("class"))
-
-    def next_to_each_other(some: DataFrame) -> DataFrame:
-        order = ["region", "tail", "node"]
-        pairs = some.select(*order, "class").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _PAIRS)
-        best = pairs.groupBy("cu", "cv").agg(F.max_by(F.struct("u", "v"), F.struct("common", "u", "v")).alias("x"))
-        return _linked(best.select("x.u", "x.v", "cu", "cv"), sets, percent)
-
-    one = places.where("tree = 0").withColumn("class", F.col("node"))
-    classes = _merged(classes, next_to_each_other(one))
-    classes = _merged(classes, next_to_each_other(_undone(places, classes)))
-    undone = _undone(places, classes)
-    if not undone.isEmpty():
-        classes = _merged(classes, _rest(undone, nodes, sets, percent, near, tile, tile_shingles))
+    groups = _groups(places, nodes, near, tile)
+    of_many = groups.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+    groups = cut(groups.join(of_many, "class"))
+    sets = cut(_sets(docs, groups.select("node").join(nodes.select("node", "row", "k1", "k2"), "node"), words))
+    found = _classes(places, groups, nodes, sets, percent, tile_shingles)
+    classes = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
 
     named = nodes.select("node", "k1", "k2", "first").join(classes, "node")
     names = named.groupBy("class").agg(F.min("first").alias("component_id"))
