@@ -13,31 +13,22 @@ from gleaner.functions.binding import held
 from gleaner.functions.fixed import GENERIC, PLATFORMS, RULES, UNKNOWN
 
 
-def by_host(host: Column) -> Column:
-    """The first rule with the host or a domain above it; null if none has."""
-    out = F.lit(None).cast("string")
-    for name, hosts, _ in reversed(RULES):
-        own = host.isin(hosts) | reduce(or_, [host.endswith(f".{d}") for d in hosts])
-        out = F.when(own, name).otherwise(out)
-    return out
-
-
-def by_path(path: Column) -> Column:
+def by_path(path: Column, rules: list[tuple] = RULES) -> Column:
     """The first rule with a part that path and query contain; null if none has."""
     out = F.lit(None).cast("string")
-    for name, _, parts in reversed(RULES):
+    for name, _, parts in reversed(rules):
         if parts:
             out = F.when(reduce(or_, [path.contains(p) for p in parts]), name).otherwise(out)
     return out
 
 
-def with_platform(rows: DataFrame, url: str, name: str = "platform") -> DataFrame:
+def with_platform(rows: DataFrame, url: str, name: str = "platform", rules: list[tuple] = RULES) -> DataFrame:
     """Adds the platform of a raw URL column; Unknown for what isn't an http(s) URL with a host.
 
     Hosts are looked up by their suffixes, one map access for each of their labels, so the cost doesn't grow
     with the rules; only rows without a vendor host test the path parts.
     """
-    ranks = {d: (i, n) for i, (n, hosts, _) in reversed(list(enumerate(RULES))) for d in hosts}
+    ranks = {d: (i, n) for i, (n, hosts, _) in reversed(list(enumerate(rules))) for d in hosts}
     table = F.create_map(*[x for d, (i, n) in ranks.items() for x in (F.lit(d), F.struct(F.lit(i).alias("rank"), F.lit(n).alias("name")))])
     clean = held(rows, {"__url": urls.normalised(F.col(url))})
     parts = held(clean, {"__host": urls.site_host(F.col("__url")), "__path": urls.site_path(F.col("__url"))})
@@ -45,7 +36,7 @@ def with_platform(rows: DataFrame, url: str, name: str = "platform") -> DataFram
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hits = F.filter(F.transform(suffixes, lambda d: F.try_element_at(table, d)), lambda x: x.isNotNull())
     found = F.when(F.col("__host").isNull(), UNKNOWN).otherwise(
-        F.coalesce(F.array_min(hits)["name"], by_path(F.col("__path")), F.lit(GENERIC)))
+        F.coalesce(F.array_min(hits)["name"], by_path(F.col("__path"), rules), F.lit(GENERIC)))
     return held(parts, {name: found}).drop("__url", "__host", "__path")
 
 

@@ -223,16 +223,21 @@ def from_state(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("first", F.min("payload").over(W.partitionBy("page_key"))).where("payload = first").drop("payload", "first")
 
 
-def chain(nodes: DataFrame, pattern: Column | None = None, state: bool = True, layout: bool = False) -> DataFrame:
-    """(page_id, rank, pos, posting fields): postings of each page by the first way of reading it that yields any."""
-    ways = [from_linked_data(nodes), from_microdata(nodes), from_cards(nodes), from_apply_links(nodes)]
+def ways(nodes: DataFrame, pattern: Column | None = None, state: bool = True, layout: bool = False) -> DataFrame:
+    """Raw postings of parsed pages by every way of reading them, for first_way."""
+    read = [from_linked_data(nodes), from_microdata(nodes), from_cards(nodes), from_apply_links(nodes)]
     if pattern is not None:
-        ways.insert(0, from_pattern(nodes, pattern))
+        read.insert(0, from_pattern(nodes, pattern))
     if layout:
-        ways.insert(0, from_layout(nodes))
+        read.insert(0, from_layout(nodes))
     if state:
-        ways.append(from_state(nodes))
-    return finished(reduce(DataFrame.unionByName, ways))
+        read.append(from_state(nodes))
+    return reduce(DataFrame.unionByName, read)
+
+
+def chain(nodes: DataFrame, pattern: Column | None = None, state: bool = True, layout: bool = False) -> DataFrame:
+    """(page_id, rank, pos, posting fields): postings of each page by the first way of reading it that yields any."""
+    return finished(ways(nodes, pattern, state, layout))
 
 
 def first_way(rows: DataFrame, *keep: str) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.functions.fixed import GENERIC, SEED_FIELDS, UNKNOWN
+from gleaner.functions.fixed import GENERIC, RULES, SEED_FIELDS, UNKNOWN
 from gleaner.functions.platforms import with_platform
 from gleaner.functions.urls import stripped
 
 
-def seed_candidates(companies: DataFrame) -> DataFrame:
+def seed_candidates(companies: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """(row_id, company, place, seed_url, seed_field, platform): a company's usable URLs, the best first.
 
     URLs equal up to case and closing slashes count once, in the place of the first. A company has at most
@@ -19,7 +19,7 @@ def seed_candidates(companies: DataFrame) -> DataFrame:
     """
     listed = companies.select("row_id", "company", F.posexplode(F.array(*[F.struct(F.lit(f).alias("seed_field"), stripped(F.col(f)).alias("seed_url")) for f in SEED_FIELDS])))
     rows = listed.select("row_id", "company", "pos", "col.seed_field", "col.seed_url").where("seed_url <> ''")
-    usable = with_platform(rows, "seed_url").where(F.col("platform") != UNKNOWN)
+    usable = with_platform(rows, "seed_url", rules=rules).where(F.col("platform") != UNKNOWN)
     same = W.partitionBy("row_id", F.lower(F.regexp_replace("seed_url", "/+$", ""))).orderBy("pos")
     first = usable.withColumn("again", F.row_number().over(same)).where("again = 1")
     place = F.row_number().over(W.partitionBy("row_id").orderBy("pos")).cast("bigint")

@@ -8,13 +8,18 @@ posting's id; `board` is the board's own URL.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import texts, urls
 from gleaner.functions.binding import bound
-from gleaner.functions.fixed import ADDRESS_PARTS, TEXT_KEYS
-from gleaner.operators.jobs import first_jobs
+from gleaner.functions.lineage import cut
+from gleaner.operators import dom
+from gleaner.operators.jobs import FIELDS, first_jobs
 from gleaner.operators.markup import chain, from_payloads, parsed
 
 # ---- fixed values: patterns of posting URLs on hosted boards (label, hosts, pattern, how its pages follow) ----
@@ -203,23 +208,27 @@ def _plain(value: Column) -> Column:
     return F.when(~text.rlike(r"^[\[{]") & ~text.isin("", "true", "false", "null"), text)
 
 
-def _named(value: Column) -> Column:
-    """The text of a JSON value that is an object or a plain value: an address by its parts, else what names it."""
+@F.pandas_udf("string")
+def _deep_text(values: pd.Series) -> pd.Series:
+    """dom.text_of of JSON objects and lists, however deep; null for what isn't JSON."""
+    return values.map(lambda v: None if v is None else dom.text_of(dom.decoded(v)))
 
-    def of(m: Column) -> Column:
-        inner = lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(_plain(x))
-        first = lambda names: _first_text(F.transform(F.array(*map(F.lit, names)), lambda n: inner(F.try_element_at(m, n))))
-        parts = F.filter(F.array(*map(first, ADDRESS_PARTS)), lambda x: x.isNotNull())
-        return F.coalesce(F.nullif(F.array_join(parts, ", "), F.lit("")), first(TEXT_KEYS))
 
-    return F.coalesce(_plain(value), F.when(value.startswith("{"), bound(F.from_json(value, "map<string,string>"), of)))
+def _said(value: Column) -> Column:
+    """The text of any JSON value: of an object its address or what names it, of a list its first six different members."""
+    return F.coalesce(_plain(value), F.nullif(_deep_text(F.when(value.rlike(r"^[\[{]"), value)), F.lit("")))
 
 
-def _said(value: Column) -> Column:
-    """The text of any JSON value: of a list, its first six different members; objects are read two levels deep."""
-    members = F.when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(value))
-    told = F.array_distinct(F.filter(F.transform(members, _named), lambda x: x.isNotNull()))
-    return F.nullif(F.array_join(F.slice(told, 1, 6), ", "), F.lit(""))
+@F.pandas_udf("error string, items array<string>")
+def _feed_items(bodies: pd.Series) -> pd.DataFrame:
+    """Postings of a feed as JSON objects, from the elements `position` at any depth; or why it can't be read."""
+    rows = []
+    for body in bodies:
+        try:
+            rows.append((None, [json.dumps(x) for x in dom.elements(body or "", "position")]))
+        except ValueError as e:
+            rows.append((str(e), None))
+    return pd.DataFrame(rows, columns=["error", "items"])
 
 
 def _field(posting: Column, rule: str | tuple) -> Column:
@@ -233,7 +242,7 @@ def _field(posting: Column, rule: str | tuple) -> Column:
         names = F.transform(_members(posting, rule[2]), lambda m: _text(m, rule[3]))
         return F.nullif(F.array_join(F.filter(names, lambda x: x.isNotNull()), rule[1]), F.lit(""))
     if kind == "said":
-        return _first_text(F.transform(F.array(*[F.get_json_object(posting, f"$.{p}") for p in rule[1]]), _said))
+        return F.coalesce(*[_said(F.get_json_object(posting, f"$.{p}")) for p in rule[1]])
     if kind == "counted":
         told = F.filter(F.transform(_members(posting, rule[1]), lambda m: F.coalesce(*[_field(m, r) for r in rule[2]])), lambda x: x.isNotNull())
         return bound(told, lambda x: F.when(F.size(x) > 1, F.concat(F.get(x, F.lit(0)), F.lit(" (+"), (F.size(x) - 1).cast("string"), F.lit(" more)"))).otherwise(F.get(x, F.lit(0))))
@@ -257,29 +266,37 @@ def _filled(template: str, parts: dict[str, Column], identity: Column | None = N
     return F.concat(*pieces) if identity is None else F.when(identity != "", F.concat(*pieces))
 
 
-_FEED = "position array<struct<id string, name string, office string, location string, city string, subcompany string>>"
+def _usable(payloads: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    usable = F.lit(True)
+    for part in parts.values():
+        usable = usable & part.isNotNull()
+    return payloads.where(usable)
 
 
-def api_postings(payloads: DataFrame, label: str) -> DataFrame:
+def parts_of(url: Column, label: str, rule: dict) -> dict[str, Column]:
+    """The parts of a board's URL: a rule's own patterns (name -> pattern with one group), else what the vendor is known for."""
+    if "parts" in rule:
+        return {name: F.nullif(F.regexp_extract(F.trim(url), pattern, 1), F.lit("")) for name, pattern in rule["parts"].items()} | {"url": F.trim(url)}
+    return board_parts(url)[label] | {"url": F.trim(url)}
+
+
+def api_postings(payloads: DataFrame, label: str, keep: list[str] | None = None, rule: dict | None = None) -> DataFrame:
     """Postings of captured bodies(board_url, company_name, page_no, body) of one vendor, of repeats the first.
 
     Bodies that aren't JSON (or XML, for a feed), or hold no list where the vendor keeps it, and boards whose URL
-    doesn't name the vendor's parts, yield nothing: see api_errors.
+    doesn't name the vendor's parts, yield nothing: see api_errors. Columns `keep` are carried, and tell boards apart.
     """
-    rule = API_RULES[label]
-    parts = board_parts(F.col("board_url"))[label] | {"url": F.trim("board_url")}
+    rule, keep = rule or API_RULES[label], keep or []
+    parts = parts_of(F.col("board_url"), label, rule)
     board = _filled(rule["board"], parts).alias("career_page_url")
-    usable = F.lit(True)
-    for part in parts.values():
-        usable = usable & part.isNotNull()
-    named = payloads.where(usable)
+    named = _usable(payloads, parts)
     if rule.get("shape"):
-        return first_jobs(_by_shape(named, label, rule, parts, board), ["page_no", "seq"], ["career_page_url"])
+        return first_jobs(_by_shape(named, label, rule, parts, board, keep), ["page_no", "seq"], ["career_page_url", *keep], ["page_no", "seq", *keep])
     if rule.get("xml"):
-        found = F.transform(F.from_xml(F.col("body"), _FEED, {"mode": "PERMISSIVE"})["position"], lambda x: F.to_json(x))
+        found = _feed_items(F.col("body"))["items"]
     else:
         found = F.coalesce(*[F.from_json(F.when(F.get_json_object("body", p).startswith("["), F.get_json_object("body", p)), "array<string>") for p in rule["lists"]])
-    rows = named.select("company_name", "board_url", "page_no", F.posexplode(found).alias("seq", "posting"))
+    rows = named.select("company_name", "board_url", "page_no", *keep, F.posexplode(found).alias("seq", "posting"))
     p = F.col("posting")
     own = F.coalesce(*[_text(p, x) for x in rule["urls"]]) if rule["urls"] else F.lit(None).cast("string")
     if rule.get("http"):
@@ -294,24 +311,27 @@ def api_postings(payloads: DataFrame, label: str) -> DataFrame:
             others = F.size(_members(p, rule[name])) - less
             place = F.when((others > 0) & (place != ""), F.concat(place, F.lit(" (+"), others.cast("string"), F.lit(" more)"))).otherwise(place)
     raw = rows.select(
-        "page_no", "seq", "company_name", board, F.lit(label).alias("platform"), _first(p, rule["title"]).alias("title"),
+        "page_no", "seq", *keep, "company_name", board, F.lit(label).alias("platform"), _first(p, rule["title"]).alias("title"),
         F.coalesce(own, F.lit("")).alias("url"), place.alias("location"), _first(p, rule.get("country", [])).alias("country"))
-    return first_jobs(raw, ["page_no", "seq"], ["career_page_url"])
+    return first_jobs(raw, ["page_no", "seq"], ["career_page_url", *keep], ["page_no", "seq", *keep])
 
 
-def _by_shape(named: DataFrame, label: str, rule: dict, parts: dict[str, Column], board: Column) -> DataFrame:
+def _by_shape(named: DataFrame, label: str, rule: dict, parts: dict[str, Column], board: Column, keep: list[str]) -> DataFrame:
     """Rows for build_jobs of bodies whose postings are told by the keys that their objects share."""
-    pages = named.select(F.xxhash64("board_url", "page_no").alias("page_key"), F.col("page_no").alias("page_id"), F.col("board_url").alias("url"), "company_name", F.lit(label).alias("platform"), board, F.lit(0).alias("pos"), "body")
-    link = _filled(rule["template"], {k: F.when(F.lit(True), v) for k, v in board_parts(F.col("url"))[label].items()}, F.col("identity"))
+    key = F.xxhash64("board_url", "page_no", *keep)
+    pages = named.select(key.alias("page_key"), F.col("page_no").alias("page_id"), F.col("board_url").alias("url"), "company_name", F.lit(label).alias("platform"), board, F.lit(0).alias("pos"), "body", *keep)
+    link = _filled(rule["template"], parts_of(F.col("url"), label, rule), F.col("identity"))
     found = from_payloads(pages, rule["id"], F.coalesce(link, F.lit("")))
-    return found.select(F.col("page_id").alias("page_no"), F.col("pos").alias("seq"), "company_name", "career_page_url", "platform", "title", "url", "location", "country")
+    if keep:
+        found = found.join(pages.select("page_key", *keep).distinct(), "page_key")
+    return found.select(F.col("page_id").alias("page_no"), F.col("pos").alias("seq"), *keep, "company_name", "career_page_url", "platform", "title", "url", "location", "country")
 
 
-def api_errors(payloads: DataFrame, label: str) -> DataFrame:
-    """(board_url, page_no, error): what api_postings can't read."""
-    rule = API_RULES[label]
+def api_errors(payloads: DataFrame, label: str, keep: list[str] | None = None, rule: dict | None = None) -> DataFrame:
+    """(board_url, page_no, error): what api_postings can't read, with the columns `keep`."""
+    rule = rule or API_RULES[label]
     bad_url = F.lit(False)
-    for part in board_parts(F.col("board_url"))[label].values():
+    for part in parts_of(F.col("board_url"), label, rule).values():
         bad_url = bad_url | part.isNull()
     lists = F.lit(False)
     for p in rule.get("lists", []):
@@ -319,16 +339,71 @@ def api_errors(payloads: DataFrame, label: str) -> DataFrame:
     error = F.when(bad_url, "AdapterUrlError: not a board of this vendor")
     if rule.get("lists"):
         error = error.when(F.try_parse_json("body").isNull(), "AdapterHttpError: the body isn't JSON").when(~lists, "AdapterHttpError: the body holds no list of postings")
-    return payloads.select("board_url", "page_no", error.alias("error")).where("error is not null")
+    elif rule.get("xml"):
+        error = error.when(_feed_items(F.col("body"))["error"].isNotNull(), "AdapterHttpError: the body isn't XML")
+    else:
+        error = error.when(F.try_parse_json("body").isNull(), "AdapterHttpError: the body isn't JSON")
+    return payloads.select("board_url", "page_no", *(keep or []), error.alias("error")).where("error is not null")
+
+
+# ---- fixed values: the answers that a vendor's boards may give, the better first, and whether a page stands in for none ----
+VERSIONS = {
+    "Workable": {"order": ["widget", "v3"], "lists": {"widget": ["$.jobs"], "v3": ["$.results"]}, "page": False},
+    "Cornerstone": {"order": ["v2", "v1"], "lists": {}, "page": True},
+    "Phenom": {"order": ["widget"], "lists": {}, "page": True},
+    "Taleo": {"order": ["rest"], "lists": {}, "page": True},
+}
+PAGE = "page"
+
+
+def versioned_postings(payloads: DataFrame, pages: DataFrame, label: str, rule: dict | None = None, versions: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (board_url, version, place, posting fields) and status (board_url, version, jobs, error) of boards that answer in several versions.
+
+    payloads(board_url, company_name, version, page_no, body, error), pages(page_id, url, html, company_name, platform, career_page_url). The
+    choice is made for a whole board, never row by row: the first version all of whose bodies can be read; where a page may
+    stand in, one that tells postings, else the board's page. A board that no version and no page tells has the first error.
+    """
+    rule, versions = rule or API_RULES[label], versions or VERSIONS[label]
+    payloads = cut(payloads.where(F.col("version").isin(versions["order"])))
+    rank = F.array_position(F.array(*map(F.lit, versions["order"])), F.col("version"))
+    found, wrong = [], [payloads.where("error is not null").select("board_url", "version", "page_no", "error")]
+    for v in versions["order"]:
+        shaped = rule | ({"lists": versions["lists"][v]} if v in versions["lists"] else {})
+        bodies = payloads.where((F.col("version") == v) & F.col("error").isNull())
+        found.append(api_postings(bodies, label, ["board_url", "version"], shaped))
+        wrong.append(api_errors(bodies, label, ["version"], shaped).select("board_url", "version", "page_no", "error"))
+    postings, errors = cut(reduce(DataFrame.unionByName, found)), cut(reduce(DataFrame.unionByName, wrong))
+    counts = postings.groupBy("board_url", "version").agg(F.count("*").alias("jobs"))
+    sound = payloads.select("board_url", "version").distinct().join(errors.select("board_url", "version"), ["board_url", "version"], "left_anti").join(counts, ["board_url", "version"], "left").fillna(0, ["jobs"])
+    chosen = cut((sound.where("jobs > 0") if versions["page"] else sound).groupBy("board_url").agg(F.min_by(F.struct("version", "jobs"), rank).alias("x")).select("board_url", "x.*"))
+    place = F.col("page_no").cast("bigint") * F.lit(1 << 32) + F.col("seq")
+    rows = postings.join(chosen.select("board_url", "version"), ["board_url", "version"]).select("board_url", "version", place.alias("place"), *FIELDS)
+    boards = payloads.select("board_url").unionByName(pages.select(F.col("url").alias("board_url"))).distinct()
+    if versions["page"]:
+        still = pages.join(chosen.select(F.col("board_url").alias("url")), "url", "left_anti")
+        read = chain(parsed(still)).join(pages.select("page_id", F.col("url").alias("board_url")), "page_id")
+        read = cut(read.select("board_url", F.lit(PAGE).alias("version"), (F.col("rank") * F.lit(1 << 44) + F.col("pos")).alias("place"), *FIELDS))
+        rows = rows.unionByName(read)
+        chosen = chosen.unionByName(read.groupBy("board_url", "version").agg(F.count("*").alias("jobs")))
+    first = errors.groupBy("board_url").agg(F.min_by("error", F.struct(rank.alias("rank"), "page_no")).alias("error"))
+    empty = (sound if versions["page"] else sound.limit(0)).groupBy("board_url").agg(F.min_by("version", rank).alias("said_none"))
+    told = boards.join(chosen, "board_url", "left").join(empty, "board_url", "left").join(first, "board_url", "left")
+    # a version that was read and is empty isn't an error
+    return rows, told.select("board_url", F.coalesce("version", "said_none").alias("version"), F.coalesce("jobs", F.lit(0)).cast("bigint").alias("jobs"), F.when(F.coalesce("version", "said_none").isNull(), F.col("error")).alias("error"))
 
 
 def hosted_postings(pages: DataFrame) -> DataFrame:
     """Postings of hosted boards' pages by their vendor's URL pattern (by `platform`), else by any page's ways."""
+    return chain(parsed(pages), pattern_of(F.col("platform")))
+
+
+def pattern_of(platform: Column, rules: list[tuple] | None = None) -> Column:
+    """The pattern that a platform's posting URLs follow; null for one without."""
     pattern = F.lit(None).cast("string")
-    for label, _, regex, _ in HOSTED_RULES:
+    for label, _, regex, _ in rules or HOSTED_RULES:
         if regex:
-            pattern = F.when(F.col("platform") == label, f"(?i){regex}").otherwise(pattern)
-    return chain(parsed(pages), pattern)
+            pattern = F.when(platform == label, f"(?i){regex}").otherwise(pattern)
+    return pattern
 
 
 def eightfold_domain(url: Column, markup: Column) -> Column:
