@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage in the shared checkpoint folder."""
     use_shared_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared checkpoint folder."""
+    use_shared_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

@@ -14,6 +14,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from gleaner.functions import texts, urls
 from gleaner.functions.binding import bound
@@ -208,7 +209,7 @@ def _plain(value: Column) -> Column:
     return F.when(~text.rlike(r"^[\[{]") & ~text.isin("", "true", "false", "null"), text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _deep_text(values: pd.Series) -> pd.Series:
     """dom.text_of of JSON objects and lists, however deep; null for what isn't JSON."""
     return values.map(lambda v: None if v is None else dom.text_of(dom.decoded(v)))
@@ -219,7 +220,7 @@ def _said(value: Column) -> Column:
     return F.coalesce(_plain(value), F.nullif(_deep_text(F.when(value.rlike(r"^[\[{]"), value)), F.lit("")))
 
 
-@F.pandas_udf("error string, items array<string>")
+@F.pandas_udf(StructType([StructField("error", StringType()), StructField("items", ArrayType(StringType()))]))
 def _feed_items(bodies: pd.Series) -> pd.DataFrame:
     """Postings of a feed as JSON objects, from the elements `position` at any depth; or why it can't be read."""
     rows = []

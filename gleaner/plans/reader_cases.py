@@ -212,7 +212,10 @@ VENDORS = {
     "Rippling": ("https://ats.rippling.com/acme{k}/jobs", "https://ats.rippling.com/acme{k}/jobs", [
         Case('[{"uuid": "1{k}", "name": "Mason {k}", "url": "https://x.example/{k}", "workLocation": {"label": "Leeds, UK"}}, {"id": "2{k}", "title": "Tiler {k}", "locations": ["Oslo", "Bergen, Norway", "Oslo"]}]',
              [("Mason {k}", "https://x.example/{k}", "Leeds, UK", _UK), ("Tiler {k}", "https://ats.rippling.com/acme{k}/jobs/2{k}", "Oslo, Bergen, Norway", "Norway")]),
-        Case('{"results": [{"uuid": "3{k}", "name": "Smith {k}", "workLocation": false, "location": {"city": "Austin", "state": "TX"}}]}', [("Smith {k}", "https://ats.rippling.com/acme{k}/jobs/3{k}", "Austin, TX", _US)])]),
+        Case('{"results": [{"uuid": "3{k}", "name": "Smith {k}", "workLocation": false, "location": {"city": "Austin", "state": "TX"}}]}', [("Smith {k}", "https://ats.rippling.com/acme{k}/jobs/3{k}", "Austin, TX", _US)]),
+        Case('[{"uuid": "4{k}", "name": "Nurse {k}", "workLocation": {"address": {"city": "Oslo", "country": "Norway"}}}, {"uuid": "5{k}", "name": "Cook {k}", "location": {"city": {"label": {"text": "Oslo"}}}},'
+             ' {"uuid": "6{k}", "name": "Guard {k}", "locations": [{"place": 1}, {"name": {"value": {"title": {"name": "Rome, Italy"}}}}]}]',
+             [("Nurse {k}", "https://ats.rippling.com/acme{k}/jobs/4{k}", "Oslo, Norway", "Norway"), ("Cook {k}", "https://ats.rippling.com/acme{k}/jobs/5{k}", "Oslo", ""), ("Guard {k}", "https://ats.rippling.com/acme{k}/jobs/6{k}", "Rome, Italy", "Italy")])]),
     "Pinpoint": ("https://acme{k}.pinpointhq.com/postings", "https://acme{k}.pinpointhq.com", [
         Case('{"data": [{"title": "Mason {k}", "url": "https://x.example/{k}", "location": {"name": "Leeds", "country": "United Kingdom"}}, {"name": "Tiler {k}", "public_url": "https://x.example/t{k}", "location": {"city": "Bonn", "region": "NRW", "country": "Germany"}}, {"title": "Smith {k}", "url": "https://x.example/s{k}", "location_name": "Oslo", "country": "Norway"}]}',
              [("Mason {k}", "https://x.example/{k}", "Leeds", _UK), ("Tiler {k}", "https://x.example/t{k}", "Bonn, NRW, Germany", "Germany"), ("Smith {k}", "https://x.example/s{k}", "Oslo", "Norway")])]),
@@ -238,7 +241,9 @@ VENDORS = {
     "Personio": ("https://acme{k}.jobs.personio.de/?language=en", "https://acme{k}.jobs.personio.de", [
         Case('<?xml version="1.0" encoding="UTF-8"?>\n<workzag-jobs><position><id>1{k}</id><office>Munich, Germany</office><name>Mason &amp; Tiler {k}</name></position><position><id>2{k}</id><name><![CDATA[Smith {k}]]></name><subcompany>Acme</subcompany></position><position><id></id><name>No id</name></position></workzag-jobs>',
              [("Mason & Tiler {k}", "https://acme{k}.jobs.personio.de/job/1{k}", "Munich, Germany", "Germany"), ("Smith {k}", "https://acme{k}.jobs.personio.de/job/2{k}", "Acme", "")]),
-        Case("<workzag-jobs><position><id>3", []), Case("<workzag-jobs/>", []), Case("not xml", [])]),
+        Case("<workzag-jobs><position><id>3", []), Case("<workzag-jobs/>", []), Case("not xml", []),
+        Case('<f:jobs xmlns:f="https://x.example/ns" xmlns="https://x.example/other"><department><name>Works</name><team><f:position><id>4{k}</id><f:name>Nurse {k}</f:name><office>Lyon, France</office></f:position></team><position><id>5{k}</id><name>Cook {k}</name></position></department></f:jobs>',
+             [("Nurse {k}", "https://acme{k}.jobs.personio.de/job/4{k}", "Lyon, France", "France"), ("Cook {k}", "https://acme{k}.jobs.personio.de/job/5{k}", "", "")])]),
     "ADP Recruiting Management": ("https://myjobs.adp.com/acme{k}/cx/job-listing", "https://myjobs.adp.com/acme{k}/cx/job-listing", [
         Case('{"jobRequisitions": [{"reqId": "R{k}", "title": "Mason {k}", "location": "Leeds, UK"}, {"reqId": "S{k}", "title": "Tiler {k}", "location": {"city": "Austin", "state": "TX"}}], "menu": [{"title": "Start page", "href": "/"}]}',
              [("Mason {k}", "https://myjobs.adp.com/acme{k}/cx/job-details?reqId=R{k}", "Leeds, UK", _UK), ("Tiler {k}", "https://myjobs.adp.com/acme{k}/cx/job-details?reqId=S{k}", "Austin, TX", _US)]),

@@ -176,6 +176,17 @@ def api_errors(s: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+_FEEDS = [("<workzag-jobs><position>", "AdapterHttpError: the body isn't XML"), ("not xml {k}", "AdapterHttpError: the body isn't XML"), ("<workzag-jobs/>", None), ("<a><b><position><id>{k}</id></position></b></a>", None),
+          ('<!DOCTYPE a [<!ENTITY x "{k}">]><a>&x;</a>', "AdapterHttpError: the body isn't XML"), ("", "AdapterHttpError: the body isn't XML")]
+
+
+@_query("feed_errors", _union([f"SELECT s_suppkey * 100 + {i} AS page_no, {text(error)} AS error FROM supplier" for i, (_, error) in enumerate(_FEEDS) if error]))
+def feed_errors(s: SparkSession, sf: str) -> DataFrame:
+    """Feeds that can't be read, apart from those without postings."""
+    bodies = _payloads(s, sf, "https://acme{k}.jobs.personio.de", [Case(body, []) for body, _ in _FEEDS])
+    return vendors.api_errors(bodies, "Personio").select("page_no", "error")
+
+
 @_query("board_url_errors", _union([f"SELECT s_suppkey AS key, {_put(url)} AS url, {text(error) if error else 'NULL'} AS error FROM supplier" for url, error in BOARD_URLS]))
 def board_url_errors(s: SparkSession, sf: str) -> DataFrame:
     """F18."""
@@ -215,15 +226,19 @@ def career_page_discovery(s: SparkSession, sf: str) -> DataFrame:
     return links.discovered(sites.select("x.*"), _pages(s, sf, cases).select("page_id", "url", "html"))
 
 
-@_query("captured_json", _union([f"SELECT {_put('https://acme.example.com/{k}')} AS page_url, CAST({p} AS BIGINT) AS pos FROM supplier" for p in (0, 2, 4)]))
+#: More bodies than the 120 of a page that are read: the first six, then lists.
+_MORE = 130
+
+
+@_query("captured_json", f"SELECT {_put('https://acme.example.com/{k}')} AS page_url, CAST(unnest(list_concat([0, 2, 4, 5], range(6, 122))) AS BIGINT) AS pos FROM supplier")
 def captured_json(s: SparkSession, sf: str) -> DataFrame:
-    """Responses that hold JSON, the first three of each page."""
-    kinds = [("application/json", '{"a": {k}}'), ("text/html", "<p>"), ("", "[1]"), ("application/json", "no json"), ("APPLICATION/JSON; charset=utf-8", "[{k}]"), ("application/json", "[2]")]
+    """Responses that hold JSON, the first 120 of each page."""
+    kinds = [("application/json", '{"a": {k}}'), ("text/html", "<p>"), ("", "[1]"), ("application/json", "no json"), ("APPLICATION/JSON; charset=utf-8", "[{k}]"), ("application/json", "[2]")] + [("application/json", "[3]")] * _MORE
     one = lambda i, kind, body: F.struct(
         _filled("https://acme.example.com/{k}").alias("page_url"), F.lit(i).cast("bigint").alias("pos"), F.lit("https://acme.example.com/d.json" if i == 2 else "https://acme.example.com/d").alias("url"),
         F.lit(kind).alias("content_type"), _filled(body).alias("body"))
     rows = _keys(s, sf).select(F.explode(F.array(*[one(i, *x) for i, x in enumerate(kinds)])).alias("x")).select("x.*")
-    return links.captured_json(rows, most=3).select("page_url", "pos")
+    return links.captured_json(rows).select("page_url", "pos")
 
 
 def queries() -> dict[str, Query]:

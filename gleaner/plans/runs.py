@@ -10,9 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.lineage import shared_path
 from gleaner.operators import markup, paging, replay, reports, sourcing, vendors
+from gleaner.plans import derived as d
 from gleaner.plans.derived import derived, sql, table
 from gleaner.plans.oracles import text
+from gleaner.sources import datasources
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -59,6 +62,19 @@ def _next(href: str) -> str:
     return f'<a rel="next" href="{href}">onwards</a>'
 
 
+# ---- S1, S2, N4, X1, X2: a sheet whose columns go by other names ----
+
+
+@_query("csv_alias_scan", f"SELECT company, coalesce(trim(website), '') AS website, coalesce(trim(career_url), '') AS career_url, coalesce(trim(it_link), '') AS it_link FROM {sql(d.COMPANIES)}")
+def csv_alias_scan(s: SparkSession, sf: str) -> DataFrame:
+    """Every company, written as a sheet with headers of other names in another order, and read back."""
+    datasources.register(s)
+    rows = derived(s, sf, d.COMPANIES).select(F.col("website").alias(" Web-Site "), F.lit("x").alias("Remarks"), F.col("it_link").alias("IT Link"), F.col("career_url").alias("CAREERS URL"), F.col("company").alias("Company_Name"))
+    at = shared_path(s, "sheet")
+    rows.write.csv(at, header=True, quote='"', escape='"')
+    return s.read.format("company_sheet").schema("company string, website string, career_url string, it_link string").load(at)
+
+
 # ---- P2, C10, U1, A17: a walk over a board's pages that reads them ----
 
 #: (URL, markup)
@@ -106,19 +122,19 @@ def _walked(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return keyed.join(first.withColumnRenamed("key", "posting"), ["board", "posting", "step"], "left_semi"), told
 
 
-_NUMBER = [F.floor(F.col("board") / 10).alias("key"), (F.col("board") % 10).alias("number")]
+_NUMBER = ["floor(board / 10) AS key", "board % 10 AS number"]
 
 
 @_query("board_walk_postings", _wanted([(n, step, title, _B + url) for n, step, title, url in _WALKED], ["number", "step", "job_title", "job_url"]))
 def board_walk_postings(s: SparkSession, sf: str) -> DataFrame:
     """Postings of whole boards, each where it is first read."""
-    return _walked(s, sf)[0].select(*_NUMBER, "step", "job_title", "job_url")
+    return _walked(s, sf)[0].selectExpr(*_NUMBER, "step", "job_title", "job_url")
 
 
 @_query("board_walk_ends", _wanted(_ENDS, ["number", "pages", "keys", "reason"]))
 def board_walk_ends(s: SparkSession, sf: str) -> DataFrame:
     """How many pages each walk has read, and why it ended."""
-    return _walked(s, sf)[1].select(*_NUMBER, "pages", "keys", "reason")
+    return _walked(s, sf)[1].selectExpr(*_NUMBER, "pages", "keys", "reason")
 
 
 # ---- C4, C8, U2, F15: sources of one page ----
@@ -150,19 +166,19 @@ def _sourced(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return sourcing.page_postings(pages, responses, rendered)
 
 
-_PAGE = [F.floor(F.col("page_id") / 10).alias("key"), (F.col("page_id") % 10).alias("number")]
+_PAGE = ["floor(page_id / 10) AS key", "page_id % 10 AS number"]
 
 
 @_query("page_sources", _wanted([(n, source, title, _B + url, place) for n, source, title, url, place in _SOURCED], ["number", "source", "job_title", "job_url", "location"]))
 def page_sources(s: SparkSession, sf: str) -> DataFrame:
     """Postings of pages by the first of their sources that has any; all responses of a page together."""
-    return _sourced(s, sf)[0].select(*_PAGE, "source", "job_title", "job_url", "location")
+    return _sourced(s, sf)[0].selectExpr(*_PAGE, "source", "job_title", "job_url", "location")
 
 
 @_query("page_source_status", _wanted(_STATUS, ["number", "source", "jobs", "error"]))
 def page_source_status(s: SparkSession, sf: str) -> DataFrame:
     """Pages that failed stay apart from empty ones, and refused URLs aren't asked again."""
-    return _sourced(s, sf)[1].select(*_PAGE, "source", "jobs", "error")
+    return _sourced(s, sf)[1].selectExpr(*_PAGE, "source", "jobs", "error")
 
 
 # ---- P9: chains of pages by token ----
@@ -238,7 +254,7 @@ def _versions(s: SparkSession, sf: str, label: str) -> tuple[DataFrame, DataFram
     payloads = _laid(s, sf, rows, ["board_url", "version", "page_no", "body", "error"], ("page_no",)).withColumn("company_name", F.lit("Acme")).drop("key")
     pages = _laid(s, sf, [(n, url, html or "") for n, url, _, html in cases], ["number", "url", "html"], ("number",))
     pages = pages.select((F.col("key") * 10 + F.col("number")).alias("page_id"), "url", "html", F.lit("Acme").alias("company_name"), F.lit(label).alias("platform"), F.col("url").alias("career_page_url"))
-    names = pages.select(F.col("url").alias("board_url"), *_PAGE)
+    names = pages.selectExpr("url AS board_url", *_PAGE)
     postings, status = vendors.versioned_postings(payloads, pages, label)
     return postings.join(names, "board_url"), status.join(names, "board_url")
 
@@ -302,20 +318,20 @@ def _replayed(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return replay.replayed(companies, captures)
 
 
-_ROW = [F.floor(F.col("row_id") / 100).alias("key"), (F.col("row_id") % 100).alias("number")]
+_ROW = ["floor(row_id / 100) AS key", "row_id % 100 AS number"]
 _RESULT_COLUMNS = ["number", "platform", "seed_url", "seed_field", "jobs", "error", "discovered"]
 
 
 @_query("capture_replay", _wanted(RESULTS, _RESULT_COLUMNS))
 def capture_replay(s: SparkSession, sf: str) -> DataFrame:
     """From companies, pages and payloads to a result for each company."""
-    return _replayed(s, sf)[0].select(*_ROW, *_RESULT_COLUMNS[1:])
+    return _replayed(s, sf)[0].selectExpr(*_ROW, *_RESULT_COLUMNS[1:])
 
 
 @_query("capture_replay_postings", _wanted(_POSTED, ["number", "job_title", "job_url", "country"]))
 def capture_replay_postings(s: SparkSession, sf: str) -> DataFrame:
     """The postings of the same run."""
-    return _replayed(s, sf)[1].select(*_ROW, "job_title", "job_url", "country")
+    return _replayed(s, sf)[1].selectExpr(*_ROW, "job_title", "job_url", "country")
 
 
 _OUTCOMES = {n: "jobs" if jobs else "no_jobs" if not error else "technical" for n, _, _, _, jobs, error, _ in RESULTS}

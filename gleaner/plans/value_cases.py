@@ -1,4 +1,4 @@
-"""Named queries over values written out by hand, with what each must give: nothing here is taken from the tables of fixed values."""
+"""Named queries over values written out by hand, laid out for every supplier, with what each must give: nothing here is taken from the tables of fixed values."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import places, platforms, texts, urls
+from gleaner.plans.derived import table
 from gleaner.plans.oracles import text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,26 +60,30 @@ ABSOLUTE = [
 ]
 
 
-def _cases(values: list[tuple], of: Callable[[SparkSession, DataFrame], DataFrame]) -> tuple[Query, str]:
+def _cases(values: list[tuple], by: Callable[[Column], Column] | None) -> tuple[Query, str]:
+    """Each value for every supplier's key; `by` is the expression that is held against what was written out (None: the platform)."""
     rows = [(str(v), w) for v, w in values]
     kind = "boolean" if isinstance(rows[0][1], bool) else "string"
     wanted = ", ".join(f"({text(v)}, {str(w).lower() if kind == 'boolean' else text(w)})" for v, w in rows)
-    return (lambda s, sf: of(s, s.createDataFrame([(v,) for v, _ in rows], "value string"))), f"SELECT * FROM (VALUES {wanted}) AS cases(value, found)"
 
+    def run(s: SparkSession, sf: str) -> DataFrame:
+        given = table(s, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.explode(F.array(*[F.lit(v) for v, _ in rows])).alias("value"))
+        if by is None:
+            return platforms.with_platform(given, "value", "found").select("key", "value", "found")
+        return given.select("key", "value", by(F.col("value")).alias("found"))
 
-def _told(by: Callable[[Column], Column]) -> Callable[[SparkSession, DataFrame], DataFrame]:
-    return lambda s, rows: rows.select("value", by(F.col("value")).alias("found"))
+    return run, f"SELECT s_suppkey AS key, value, found FROM supplier, (VALUES {wanted}) AS cases(value, found)"
 
 
 _ALL = {
-    "platform_cases": _cases(PLATFORMS, lambda s, rows: platforms.with_platform(rows, "value", "found").select("value", "found")),
-    "country_cases": _cases(COUNTRIES, _told(places.derive_country)),
-    "location_split_cases": _cases(SPLITS, _told(lambda c: F.array_join(places.split_locations(c), "#"))),
-    "title_cases": _cases(TITLES, _told(texts.looks_like_title)),
-    "url_cases": _cases(NORMALISED, _told(urls.normalised)),
-    "absolute_url_cases": _cases(ABSOLUTE, _told(lambda c: urls.absolute(F.lit("https://a.example/d/e?q=1"), c))),
-    "reason_cases": _cases(REASONS, _told(texts.reason_family)),
-    "elapsed_cases": _cases(ELAPSED, _told(lambda c: texts.elapsed(c.cast("double")))),
+    "platform_cases": _cases(PLATFORMS, None),
+    "country_cases": _cases(COUNTRIES, places.derive_country),
+    "location_split_cases": _cases(SPLITS, lambda c: F.array_join(places.split_locations(c), "#")),
+    "title_cases": _cases(TITLES, texts.looks_like_title),
+    "url_cases": _cases(NORMALISED, urls.normalised),
+    "absolute_url_cases": _cases(ABSOLUTE, lambda c: urls.absolute(F.lit("https://a.example/d/e?q=1"), c)),
+    "reason_cases": _cases(REASONS, texts.reason_family),
+    "elapsed_cases": _cases(ELAPSED, lambda c: texts.elapsed(c.cast("double"))),
 }
 
 

@@ -7,7 +7,7 @@ import pytest
 
 from gleaner.functions.lineage import use_shared_checkpoints
 from gleaner.operators import dom, paging
-from gleaner.plans import readers, value_cases
+from gleaner.plans import readers, runs, value_cases
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,8 +20,8 @@ def duck():
     return con
 
 
-_QUERIES = readers.queries() | value_cases.queries()
-_SQL = readers.oracle_sql() | value_cases.oracle_sql()
+_QUERIES = readers.queries() | runs.queries() | value_cases.queries()
+_SQL = readers.oracle_sql() | runs.oracle_sql() | value_cases.oracle_sql()
 
 
 @pytest.mark.parametrize("name", _SQL)
