@@ -8,9 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_known: dict = {}
+
+
+def once(name: str, make: Callable[[], object]) -> object:
+    """What make() gives, made once for a JVM: large expressions on columns of fixed names take thousands of calls to build."""
+    key = (id(SparkContext._gateway), name)
+    if key not in _known:
+        _known[key] = make()
+    return _known[key]
+
 
 def bound(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with the value worked out once: for use within expressions on array elements."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.binding import held
+from gleaner.functions.binding import held, once
 from gleaner.functions.fixed import EXPORT_COLUMNS
 from gleaner.functions.places import derive_country
 from gleaner.functions.urls import stripped
@@ -33,7 +33,7 @@ def with_countries(jobs: DataFrame) -> DataFrame:
     """
     open_place = F.when((F.col("country") == "") & (F.col("location") != ""), F.col("location"))
     places = jobs.select(open_place.alias("__place")).where("__place is not null").distinct()
-    told = held(places, {"__told": derive_country(F.col("__place"))})
+    told = held(places, {"__told": once("the country of __place", lambda: derive_country(F.col("__place")))})
     joined = jobs.withColumn("__open", open_place).join(told, F.col("__open") == F.col("__place"), "left")
     country = F.coalesce("__told", "country").alias("country")
     return joined.select(*[country if c == "country" else F.col(f"`{c}`") for c in jobs.columns])
@@ -75,9 +75,14 @@ def dedupe(jobs: DataFrame, order: list[str], scope: list[str] | None = None) ->
     return first_of_each(jobs, keys, order)
 
 
+def first_stated(raw: DataFrame, order: list[str], scope: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """first_jobs with the countries that were given alone."""
+    return dedupe(stated_jobs(raw, *(keep or order)), order, scope)
+
+
 def first_jobs(raw: DataFrame, order: list[str], scope: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """The first posting of each company and URL among raw rows (see stated_jobs), with countries only for what stays."""
-    return with_countries(dedupe(stated_jobs(raw, *(keep or order)), order, scope))
+    return with_countries(first_stated(raw, order, scope, keep))
 
 
 def column_widths(jobs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import texts, urls
 from gleaner.functions.fixed import COUNTRY_KEYS, LOCATION_KEYS, LOCATION_TEXT, SIGNAL_KEYS, TITLE_KEYS, URL_KEYS
-from gleaner.functions.binding import held
+from gleaner.functions.binding import held, once
 from gleaner.functions.lineage import cut
 from gleaner.operators import dom
 from gleaner.operators.jobs import dedupe, stated_jobs, with_countries
@@ -79,11 +79,11 @@ def parsed(pages: DataFrame, layouts: dict[str, dict] | None = None) -> DataFram
     cols = [F.col("page_id").cast("bigint").alias("page_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in PAGE[2:]], F.col("html").cast("string").alias("html")]
     nodes = spread(pages.select(*cols)).mapInArrow(run, _NODES)
     is_link = F.col("kind") == "link"
-    nodes = held(nodes, {"target": F.when(is_link | (F.col("kind") == "row"), urls.absolute(F.col("url"), F.col("href")))})
+    nodes = held(nodes, {"target": F.when(is_link | (F.col("kind") == "row"), once("href at url", lambda: urls.absolute(F.col("url"), F.col("href"))))})
     first_title = lambda c: F.try_element_at(F.filter(c, texts.looks_like_title), F.lit(1))
-    told = {
+    told = once("links told", lambda: {
         "job": is_link & texts.looks_like_job_url(F.col("target")), "titled": is_link & texts.looks_like_title(F.col("text")),
-        "inner_titled": is_link & (F.col("text") == "") & texts.looks_like_title(F.col("inner")), "lead": F.when(is_link, first_title("near")), "head": F.when(is_link, first_title("heads"))}
+        "inner_titled": is_link & (F.col("text") == "") & texts.looks_like_title(F.col("inner")), "lead": F.when(is_link, first_title("near")), "head": F.when(is_link, first_title("heads"))})
     return cut(held(nodes, told).drop("near", "heads"))
 
 

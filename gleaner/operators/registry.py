@@ -88,7 +88,7 @@ class Registry:
 
     def rules(self) -> list[tuple]:
         """Host rules for detection, a user's own first."""
-        return [*self.hosts, *fixed.RULES]
+        return [*self.hosts, *fixed.RULES] if self.hosts else fixed.RULES
 
     def pattern(self, platform: Column) -> Column:
         return vendors.pattern_of(platform, self.hosted)
@@ -105,7 +105,8 @@ class Registry:
         return out
 
     def api_postings(self, payloads: DataFrame, label: str, keep: list[str] | None = None) -> DataFrame:
-        return vendors.api_postings(payloads, label, keep, self.api[label])
+        """Postings with the countries that their vendor states; others aren't derived yet."""
+        return vendors.api_postings(payloads, label, keep, self.api[label], countries=False)
 
     def api_errors(self, payloads: DataFrame, label: str, keep: list[str] | None = None) -> DataFrame:
         return vendors.api_errors(payloads, label, keep, self.api[label])

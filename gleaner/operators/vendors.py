@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from gleaner.functions import texts, urls
-from gleaner.functions.binding import bound
+from gleaner.functions.binding import bound, once
 from gleaner.functions.lineage import cut
 from gleaner.operators import dom
-from gleaner.operators.jobs import FIELDS, first_jobs
-from gleaner.operators.markup import chain, from_payloads, parsed
+from gleaner.operators.jobs import FIELDS, first_jobs, first_stated, with_countries
+from gleaner.operators.markup import chain, first_way, from_payloads, parsed, ways
 
 # ---- fixed values: patterns of posting URLs on hosted boards (label, hosts, pattern, how its pages follow) ----
 HOSTED_RULES = [
@@ -278,21 +278,23 @@ def parts_of(url: Column, label: str, rule: dict) -> dict[str, Column]:
     """The parts of a board's URL: a rule's own patterns (name -> pattern with one group), else what the vendor is known for."""
     if "parts" in rule:
         return {name: F.nullif(F.regexp_extract(F.trim(url), pattern, 1), F.lit("")) for name, pattern in rule["parts"].items()} | {"url": F.trim(url)}
-    return board_parts(url)[label] | {"url": F.trim(url)}
+    parts = once("parts of board_url", lambda: board_parts(F.col("board_url"))) if str(url) == str(F.col("board_url")) else board_parts(url)
+    return parts[label] | {"url": F.trim(url)}
 
 
-def api_postings(payloads: DataFrame, label: str, keep: list[str] | None = None, rule: dict | None = None) -> DataFrame:
+def api_postings(payloads: DataFrame, label: str, keep: list[str] | None = None, rule: dict | None = None, countries: bool = True) -> DataFrame:
     """Postings of captured bodies(board_url, company_name, page_no, body) of one vendor, of repeats the first.
 
     Bodies that aren't JSON (or XML, for a feed), or hold no list where the vendor keeps it, and boards whose URL
     doesn't name the vendor's parts, yield nothing: see api_errors. Columns `keep` are carried, and tell boards apart.
     """
     rule, keep = rule or API_RULES[label], keep or []
+    first = lambda raw: (first_jobs if countries else first_stated)(raw, ["page_no", "seq"], ["career_page_url", *keep], ["page_no", "seq", *keep])
     parts = parts_of(F.col("board_url"), label, rule)
     board = _filled(rule["board"], parts).alias("career_page_url")
     named = _usable(payloads, parts)
     if rule.get("shape"):
-        return first_jobs(_by_shape(named, label, rule, parts, board, keep), ["page_no", "seq"], ["career_page_url", *keep], ["page_no", "seq", *keep])
+        return first(_by_shape(named, label, rule, parts, board, keep))
     if rule.get("xml"):
         found = _feed_items(F.col("body"))["items"]
     else:
@@ -314,7 +316,7 @@ def api_postings(payloads: DataFrame, label: str, keep: list[str] | None = None,
     raw = rows.select(
         "page_no", "seq", *keep, "company_name", board, F.lit(label).alias("platform"), _first(p, rule["title"]).alias("title"),
         F.coalesce(own, F.lit("")).alias("url"), place.alias("location"), _first(p, rule.get("country", [])).alias("country"))
-    return first_jobs(raw, ["page_no", "seq"], ["career_page_url", *keep], ["page_no", "seq", *keep])
+    return first(raw)
 
 
 def _by_shape(named: DataFrame, label: str, rule: dict, parts: dict[str, Column], board: Column, keep: list[str]) -> DataFrame:
@@ -371,7 +373,7 @@ def versioned_postings(payloads: DataFrame, pages: DataFrame, label: str, rule:
     for v in versions["order"]:
         shaped = rule | ({"lists": versions["lists"][v]} if v in versions["lists"] else {})
         bodies = payloads.where((F.col("version") == v) & F.col("error").isNull())
-        found.append(api_postings(bodies, label, ["board_url", "version"], shaped))
+        found.append(api_postings(bodies, label, ["board_url", "version"], shaped, countries=False))
         wrong.append(api_errors(bodies, label, ["version"], shaped).select("board_url", "version", "page_no", "error"))
     postings, errors = cut(reduce(DataFrame.unionByName, found)), cut(reduce(DataFrame.unionByName, wrong))
     counts = postings.groupBy("board_url", "version").agg(F.count("*").alias("jobs"))
@@ -382,7 +384,7 @@ def versioned_postings(payloads: DataFrame, pages: DataFrame, label: str, rule:
     boards = payloads.select("board_url").unionByName(pages.select(F.col("url").alias("board_url"))).distinct()
     if versions["page"]:
         still = pages.join(chosen.select(F.col("board_url").alias("url")), "url", "left_anti")
-        read = chain(parsed(still)).join(pages.select("page_id", F.col("url").alias("board_url")), "page_id")
+        read = first_way(ways(parsed(still))).join(pages.select("page_id", F.col("url").alias("board_url")), "page_id")
         read = cut(read.select("board_url", F.lit(PAGE).alias("version"), (F.col("rank") * F.lit(1 << 44) + F.col("pos")).alias("place"), *FIELDS))
         rows = rows.unionByName(read)
         chosen = chosen.unionByName(read.groupBy("board_url", "version").agg(F.count("*").alias("jobs")))
@@ -390,7 +392,7 @@ def versioned_postings(payloads: DataFrame, pages: DataFrame, label: str, rule:
     empty = (sound if versions["page"] else sound.limit(0)).groupBy("board_url").agg(F.min_by("version", rank).alias("said_none"))
     told = boards.join(chosen, "board_url", "left").join(empty, "board_url", "left").join(first, "board_url", "left")
     # a version that was read and is empty isn't an error
-    return rows, told.select("board_url", F.coalesce("version", "said_none").alias("version"), F.coalesce("jobs", F.lit(0)).cast("bigint").alias("jobs"), F.when(F.coalesce("version", "said_none").isNull(), F.col("error")).alias("error"))
+    return with_countries(rows), told.select("board_url", F.coalesce("version", "said_none").alias("version"), F.coalesce("jobs", F.lit(0)).cast("bigint").alias("jobs"), F.when(F.coalesce("version", "said_none").isNull(), F.col("error")).alias("error"))
 
 
 def hosted_postings(pages: DataFrame) -> DataFrame:

@@ -13,11 +13,13 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from urllib.parse import unquote
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -38,6 +40,9 @@ MARK = b"\xef\xbb\xbf"
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it; Spark and Hadoop write local URIs with one slash or three."""
+    if re.match("file:/", path):
+        return fs.LocalFileSystem(), unquote(re.sub("^file:/+", "/", path))
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
