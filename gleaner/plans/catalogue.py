@@ -108,6 +108,13 @@ def unsupported_platforms(s: SparkSession, sf: str) -> DataFrame:
     return reports.without_adapter(_results(s, sf), _supported(s))
 
 
+@query("platforms_beyond_support", f"SELECT platform FROM {o.selected(C)} WHERE platform NOT IN {SUPPORTED_SQL} GROUP BY platform")
+def platforms_beyond_support(s: SparkSession, sf: str) -> DataFrame:
+    """The platforms that the seeds name less those that are supported."""
+    named = seeds.selected_seeds(_companies(s, sf)).select("platform").distinct()
+    return named.exceptAll(_supported(s))
+
+
 @query("supported_semi_sample", f"""WITH x AS (SELECT row_id, platform, row_number() OVER (ORDER BY row_id) - 1 AS n, count(*) OVER () AS total FROM {o.selected(C)} WHERE platform IN {SUPPORTED_SQL})
 SELECT row_id, platform FROM x WHERE total <= 40 OR (n % greatest(total // 40, 1) = 0 AND n < 40 * greatest(total // 40, 1))""")
 def supported_semi_sample(s: SparkSession, sf: str) -> DataFrame:

@@ -119,6 +119,40 @@ def strategy_chain(s: SparkSession, sf: str) -> DataFrame:
     return markup.extract_jobs(_pages(s, sf, CHAIN)).select(*FOUND)
 
 
+def _amid(cases: list[Case], platform: str = "Generic HTML") -> str:
+    """SQL for the rows of cases whose markup stands in the given pages, by page_id."""
+    put = lambda value: _put(value).replace("s_suppkey", "page_id")
+    return " UNION ALL ".join(
+        f"SELECT page_id, {put(r[0])} AS job_title, {put(r[1])} AS job_url, {put(r[2])} AS location, {text(r[3])} AS country, {put(c.url or PAGE_URL)} AS career_page_url, {text(c.platform or platform)} AS platform FROM pages WHERE page_id % {len(cases)} = {i}"
+        for i, c in enumerate(cases) for r in c.rows)
+
+
+def _given(s: SparkSession, sf: str, cases: list[Case], platform: str = "Generic HTML") -> DataFrame:
+    """The given pages, each with the markup of one case before its own."""
+    rows = table(s, sf, "pages").select("page_id", F.col("page_id").cast("string").alias("k"), F.coalesce("html", F.lit("")).alias("own"))
+    one = lambda c: F.struct(_filled(c.url or PAGE_URL).alias("url"), _filled(c.source).alias("case"), F.lit(c.platform or platform).alias("platform"))
+    held = rows.select("page_id", "k", "own", F.get(F.array(*map(one, cases)), (F.col("page_id") % len(cases)).cast("int")).alias("x"))
+    return held.select("page_id", "x.url", F.concat("x.case", "own").alias("html"), _filled(COMPANY).alias("company_name"), "x.platform", F.col("x.url").alias("career_page_url"))
+
+
+@_query("strategy_chain_pages", _amid(CHAIN))
+def strategy_chain_pages(s: SparkSession, sf: str) -> DataFrame:
+    """C6, S8 over the given pages, whose own links and scripts are no postings."""
+    return markup.extract_jobs(_given(s, sf, CHAIN)).select(*FOUND)
+
+
+@_query("linked_data_pages", _amid(LINKED_DATA))
+def linked_data_pages(s: SparkSession, sf: str) -> DataFrame:
+    """S9, J9 over the given pages."""
+    return markup.finished(markup.from_linked_data(markup.parsed(_given(s, sf, LINKED_DATA)))).select(*FOUND)
+
+
+@_query("embedded_state_pages", _amid(STATE))
+def embedded_state_pages(s: SparkSession, sf: str) -> DataFrame:
+    """S10, C9 over the given pages."""
+    return markup.finished(markup.from_state(markup.parsed(_given(s, sf, STATE)))).select(*FOUND)
+
+
 # ---- vendors' pages ----
 
 
