@@ -15,13 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """Three edits of every document: a cut at a quarter, an insertion in the middle, a change at three quarters."""
-    docs = table(spark, sf_dir, "documents")
-    n = F.length(F.coalesce("text", F.lit("")))
+    """Three edits of every document's stored tree: a cut at a quarter, an insertion in the middle, a change at three quarters."""
+    trees = tokens.stored(tokens.planted(table(spark, sf_dir, "documents"), vocabulary))
+    n = F.length("text")
     edit = lambda seq, share, removed, added: F.struct(
         F.lit(seq).cast("bigint").alias("seq"), F.floor(n * share).cast("bigint").alias("at"), F.lit(removed).cast("bigint").alias("removed"), F.lit(added).alias("added"))
     edits = F.array(edit(0, 0.25, 5, ""), edit(1, 0.5, 0, " newly written "), edit(2, 0.75, 7, "\n\n  It's 42! "))
-    return tokens.counted(docs.select("doc_id", "text", edits.alias("edits")), vocabulary)
+    return tokens.regrown(trees.withColumn("edits", edits), vocabulary, trees=False)
 
 
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
