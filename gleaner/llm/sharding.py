@@ -17,8 +17,8 @@ from gleaner.llm.common import cut
 
 #: Shards in a rack and racks in a region.
 RACK, REGION = 4, 2
-#: Hash groups of a shard in which slots are counted.
-GROUPS = 1024
+#: Hash groups of a shard in which slots are counted, and copies of a row that one task lays out.
+GROUPS, SPREAD = 1024, 1 << 16
 _SPAN = float(1 << 52)
 
 
@@ -60,17 +60,22 @@ def place(rows: DataFrame, shards: int, name: str, key: str = "doc_id") -> DataF
 def slots(rows: DataFrame, shard: str, order: list[str]) -> DataFrame:
     """Adds `slot`: gapless numbers from 0 within each shard.
 
-    A shard is cut into GROUPS by a hash of the order columns: a group is numbered by itself, and groups begin
-    after those before them, by running sums over at most shards x GROUPS counts. So no shard is sorted in
-    one task; only rows equal in all order columns stay together.
+    rows are distinct and have a count `n`; each gives n rows. A shard is cut into GROUPS by a hash of the order
+    columns, which tell rows apart: a group is numbered by itself, by running sums of the counts, and groups begin
+    after those before them, by running sums over at most shards x GROUPS counts. So no shard is sorted in one task,
+    and a row that is repeated very often is one row until it is laid out: beyond SPREAD, in parts dealt over all tasks.
     """
     rows = rows.withColumn("__group", F.pmod(F.xxhash64(*order), F.lit(GROUPS)).cast("int"))
-    sizes = rows.groupBy(shard, "__group").agg(F.count("*").alias("__n"))
+    sizes = rows.groupBy(shard, "__group").agg(F.sum("n").alias("__n"))
     before = sizes.select(shard, "__group", (F.sum("__n").over(W.partitionBy(shard).orderBy("__group")) - F.col("__n")).alias("__before"))
-    in_group = F.row_number().over(W.partitionBy(shard, "__group").orderBy(*order)) - 1
-    numbered = rows.withColumn("__at", in_group)
+    at = F.sum("n").over(W.partitionBy(shard, "__group").orderBy(*order)) - F.col("n")
     # shards x GROUPS rows of 16 bytes
-    return numbered.join(F.broadcast(before), [shard, "__group"]).withColumn("slot", (F.col("__before") + F.col("__at")).cast("bigint")).drop("__group", "__at", "__before")
+    begun = cut(rows.withColumn("__at", at).join(F.broadcast(before), [shard, "__group"]).withColumn("__from", F.col("__before") + F.col("__at")).drop("__group", "__at", "__before"))
+    laid = lambda of, n: of.withColumn("slot", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("slot", (F.col("__from") + F.col("slot")).cast("bigint"))
+    few = laid(begun.where(F.col("n") <= SPREAD), F.col("n"))
+    parts = begun.where(F.col("n") > SPREAD).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SPREAD)))).repartition("__from", "part")
+    many = laid(parts.withColumn("__from", F.col("__from") + F.col("part") * SPREAD), F.least(F.lit(SPREAD), F.col("n") - F.col("part") * SPREAD)).drop("part")
+    return few.unionByName(many).drop("n", "__from")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
@@ -89,5 +94,6 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(raw) + 8).cast("bigint").alias("size"),
         F.crc32(F.encode(raw, "UTF-8")).cast("bigint").alias("text_crc32"), F.lit("key").alias("law"))
-    placed = cut(place(place(rows, shards, "shard"), shards + 1, "grown_shard"))
+    one = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    placed = place(place(cut(one), shards, "shard"), shards + 1, "grown_shard")
     return slots(placed, "shard", ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
