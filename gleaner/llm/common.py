@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, LongType, MapType, StructField, StructType, VariantType
 
 from gleaner.functions.lineage import cut, use_shared_checkpoints  # noqa: F401
 
@@ -24,6 +24,23 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def wide_key() -> Column:
+    """128 bits that part rows: the id, if any, with the text (null: empty). Rows equal in both share them."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.col("text").cast("string"), F.lit("")))))
+
+
+def told(rows: DataFrame) -> list[Column]:
+    """The columns of rows, of any names, in forms that can be hashed: maps and variants as JSON."""
+
+    def unhashed(kind: DataType) -> bool:
+        if isinstance(kind, StructType):
+            return any(unhashed(f.dataType) for f in kind.fields)
+        return unhashed(kind.elementType) if isinstance(kind, ArrayType) else isinstance(kind, (MapType, VariantType))
+
+    named = [(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType) for f in rows.schema.fields]
+    return [F.to_json(F.struct(c.alias("v"))) if unhashed(kind) else c for c, kind in named]
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows (nulls are empty)."""
     if column.null_count:
