@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from gleaner.llm.common import ascii_lower, byte_view, chunks, cut, mixed, short_batches, span_hashes, spans
 
@@ -38,8 +39,6 @@ THRESHOLD = 0.55
 OVERLAP = 0.7
 #: Share of the words of a whole undivided item that shared word triples have to cover: less than its first two thirds.
 WHOLE = 0.6
-#: Whole items of fewer words than this, but more than GRAM, may stand in aligned order instead: one changed word can break most of their triples.
-SHORT = 10
 #: Items in a block, bytes of item text in one broadcast index, and indexes that one pass over the documents holds.
 BLOCK, INDEX_BYTES, INDEXES = 16, 8 << 20, 8
 #: Share of an item's weight that its terms of least weight make up: they aren't essential.
@@ -91,22 +90,32 @@ def covered(part: np.ndarray, passage: dict[int, np.ndarray]) -> float:
     return float(mask.mean())
 
 
-def aligned(part: np.ndarray, passage: np.ndarray) -> float:
-    """Largest share of a part's words that stand in its order within one word more than it has."""
-    words, text, best = part.tolist(), passage.tolist(), 0
-    for s in range(max(1, len(text) - len(words))):
-        row = [0] * (len(words) + 1)
-        for t in text[s : s + len(words) + 1]:
-            before = row[:]
-            for i, w in enumerate(words):
-                row[i + 1] = before[i] + 1 if w == t else max(before[i + 1], row[i])
-        best = max(best, row[-1])
-    return best / len(words)
+def aligned(part: np.ndarray, passage: np.ndarray, least: float) -> bool:
+    """Whether at least that share of a part's words stands in its order within one word more than it has.
+
+    Only windows that hold so many words of the part at all are aligned; the longest common sequence is counted
+    with a bit for each word of the part.
+    """
+    n, size = len(part), min(len(part) + 1, len(passage))
+    need = max(int(np.ceil(least * n - ROUNDING)), 0)
+    own = np.concatenate([[0], np.cumsum(np.isin(passage, part))])
+    places: dict[int, int] = {}
+    for i, w in enumerate(part.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << n) - 1
+    for s in np.flatnonzero(own[size:] - own[: len(own) - size] >= need):
+        free = full
+        for w in passage[s : s + size].tolist():
+            met = free & places.get(w, 0)
+            free = (free + met | free - met) & full
+        if n - free.bit_count() >= need:
+            return True
+    return False
 
 
 def whole_held(item: np.ndarray, passage: np.ndarray, shared: dict[int, np.ndarray], whole: float, overlap: float) -> bool:
-    """Whether a passage holds enough of an item, whatever its parts are."""
-    return covered(item, shared) >= whole or (GRAM < len(item) < SHORT and aligned(item, passage) >= overlap)
+    """Whether a passage holds enough of an item, whatever its parts are: by triples, or, as changed words break these, in aligned order."""
+    return covered(item, shared) >= whole or (len(item) > GRAM and aligned(item, passage, overlap))
 
 
 @dataclass
@@ -298,7 +307,7 @@ def passages_above(words: np.ndarray, first: np.ndarray, index: Index, lookup: L
 
 
 _FOUND = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
-_FOUND_TYPES = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
+_FOUND_TYPES = "doc_id {}, item_id bigint, score double, question_overlap double, answer_overlap double"
 
 
 def leaks(words: np.ndarray, first: np.ndarray, index: Index, lookup: Lookup, threshold: float, overlap: float, whole: float | None) -> dict[tuple[int, int], tuple[float, float, float]]:
@@ -330,10 +339,10 @@ def find(docs: DataFrame, indexes: list[Index], threshold: float, overlap: float
                 for ix, lookup in ready:
                     out += [(ids[lo + r], ix.ids[i], *x) for (r, i), x in leaks(words, first, ix, lookup, threshold, overlap, whole).items()]
             cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            kinds = (b.column(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], _FOUND)
 
-    return docs.mapInArrow(run, _FOUND_TYPES)
+    return docs.mapInArrow(run, _FOUND_TYPES.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def _terms(items: DataFrame) -> DataFrame:
@@ -384,11 +393,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     found; a part without words counts as covered, one of fewer than three words if it stands whole in the
     passage; an item without an id is found under null; repeated rows and items each count; other columns aren't
     read. With `whole`, for items whose parts are made up, an item also counts if that share of question and
-    answer together is covered, or if `overlap` of one of 4 to 9 words stands in aligned order.
+    answer together is covered, or if `overlap` of one of more than three words stands in aligned order.
+    doc_id may also be binary, and is given back as it is.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    kind = "binary" if isinstance(docs.schema["doc_id"].dataType, BinaryType) else "bigint"
+    docs = docs.select(F.col("doc_id").cast(kind), F.col("text").cast("string"))
     items = cut(_in_blocks(items.select(F.col("item_id").cast("bigint"), F.col("question").cast("string"), F.col("answer").cast("string")), INDEX_BYTES))
     terms = cut(_terms(items))
     n_items, mean, longest = terms.where("n > 0").agg(F.count("*"), F.avg("n"), F.max("n")).first()
@@ -402,4 +413,4 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
             figures = Overall(n_items, mean, longest, {r["t"] & (2**64 - 1): r["df"] for r in own})
             indexes.append(build([(r["item_id"], r["question"], r["answer"]) for r in items.where(F.col("block") == k).collect()], figures))
         out.append(find(docs, [x for x in indexes if x], threshold, overlap, whole))
-    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], _FOUND_TYPES)
+    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], _FOUND_TYPES.format(kind))
