@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontaminate, linear, mixing, sharding, simhash
-from gleaner.llm.common import use_shared_checkpoints
+from gleaner.llm.common import use_shared_checkpoints, wide_key
 from gleaner.llm.queries import LANGUAGE_WEIGHTS, table
 
 
@@ -34,9 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that leak no benchmark item; of rows that share a doc_id only those whose text leaks go, repeated ones all."""
     items = decontaminate.split_items(table(spark, sf_dir, "benchmark"))
-    keyed = docs.select(mixing.row_key().alias("doc_id"), "text")  # a null id never equals another
+    keyed = docs.select(wide_key().alias("doc_id"), "text")  # a null id never equals another
     leaks = decontaminate.contaminated(keyed, items, whole=decontaminate.WHOLE).select(F.col("doc_id").alias("leak")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), mixing.row_key().alias("key"))
+    rows = docs.select(F.struct("*").alias("row"), wide_key().alias("key"))
     return rows.join(leaks, F.col("key") == F.col("leak"), "left_anti").select("row.*")
 
 
