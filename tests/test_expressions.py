@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +43,12 @@ def test_titles(spark, text, wanted):
 def test_elapsed_and_reasons(spark):
     assert _each(spark, lambda c: texts.elapsed(c.cast("int")), ["9", "249", "3849"]) == ["9s", "4m 09s", "1h 04m 09s"]
     assert _each(spark, texts.reason_family, ["no adapter for Gem", "E: HTTP 403 for https://a.b/c (x)", "V"]) == ["no adapter for Gem", "E: HTTP 403 for <url>", "V"]
+
+
+def test_tenths_by_exact_values(spark):
+    rng = random.Random(2)
+    inputs = [0.0, -0.0, 0.05, 0.15, 0.25, 0.35, 0.75, 0.95, 12.25, 49.95, 2.5, 9.96, 1e-20, 5e-324, -0.25, -3.15, 0.049999999999999996, 2.0**52 - 0.5, 2.0**51 + 0.25, 2.0**52]
+    inputs += [round(rng.uniform(0, 60), 2) for _ in range(300)] + [rng.randrange(2000) / 20 for _ in range(300)] + [math.nextafter(rng.randrange(2000) / 20, rng.choice([0, 99])) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(inputs)), "i int, x double")
+    got = [r.y for r in rows.select("i", texts.tenths(F.col("x")).alias("y")).orderBy("i").collect()]
+    assert got == [f"{x:.1f}" for x in inputs]
