@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import places, platforms, texts, urls
-from gleaner.plans.derived import table
+from gleaner.plans.derived import supplier_keys
 from gleaner.plans.oracles import text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,7 +67,7 @@ def _cases(values: list[tuple], by: Callable[[Column], Column] | None) -> tuple[
     wanted = ", ".join(f"({text(v)}, {str(w).lower() if kind == 'boolean' else text(w)})" for v, w in rows)
 
     def run(s: SparkSession, sf: str) -> DataFrame:
-        given = table(s, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.explode(F.array(*[F.lit(v) for v, _ in rows])).alias("value"))
+        given = supplier_keys(s, sf).select("key", F.explode(F.array(*[F.lit(v) for v, _ in rows])).alias("value"))
         if by is None:
             return platforms.with_platform(given, "value", "found").select("key", "value", "found")
         return given.select("key", "value", by(F.col("value")).alias("found"))
